@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PIECE = r"\w+|[^\w\s]"
 
@@ -20,7 +21,7 @@ def token_count_with(load_encoder: Callable[[], Callable[[str], list]]) -> Calla
     """A counter for any tokenizer: ``load_encoder`` runs once per task and returns
     a function from text to tokens."""
 
-    @F.pandas_udf("bigint")
+    @F.pandas_udf(T.LongType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = load_encoder()
         for batch in batches:

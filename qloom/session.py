@@ -13,6 +13,7 @@ def local_session(cores: str | int = 8, app: str = "qloom", **conf: str) -> Spar
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("QLOOM_DRIVER_MEMORY", "8g"),
         "spark.driver.bindAddress": "127.0.0.1",
         "spark.driver.host": "127.0.0.1",
