@@ -14,8 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The patterns and word lists that decide results.
-FENCED_BLOCK = r"(?is)```(?:sql)?\s*(.*?)```"
-STATEMENT_START = r"(?is)\b(?:WITH|SELECT)\b.*$"
+FENCED_BLOCK = r"(?is)^.*?```(?:sql)?\s*(.*?)```.*$"
+STATEMENT_START = r"(?is)^.*?(\b(?:WITH|SELECT)\b.*)$"
 EDGE_FENCES = r"(?i)^```(?:sql)?|```$"
 EDGE_FENCES_AND_SPACE = r"(?i)^```(?:sql)?\s*|\s*```$"
 BLOCK_COMMENT = r"(?s)/\*.*?\*/"
@@ -65,10 +65,9 @@ def _without_terminator(text: Column) -> Column:
 
 def extract_sql(reply: Column) -> Column:
     """The first SQL statement of a model reply, or the reply itself if it has none."""
-    text = strip(reply)
-    text = F.when(text.rlike(FENCED_BLOCK), strip(F.regexp_extract(text, FENCED_BLOCK, 1))).otherwise(text)
-    text = F.when(text.rlike(STATEMENT_START), F.regexp_extract(text, STATEMENT_START, 0)).otherwise(text)
-    return _without_terminator(text)
+    # A pattern that does not match leaves the text as it is.
+    text = strip(_drop(strip(reply), FENCED_BLOCK, "$1"))
+    return _without_terminator(_drop(text, STATEMENT_START, "$1"))
 
 
 def extract_after_marker(reply: Column, marker: str = "SQL:") -> Column:

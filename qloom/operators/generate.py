@@ -63,9 +63,11 @@ def retry_until_valid(
     sanitize: bool = False,
     max_attempts: int = 7,
     concurrency: int = 8,
+    ask_again: Callable[[Column, int], Column] = lambda value, attempt: value,
 ) -> DataFrame:
     """Adds ``sql``, ``attempts`` and ``status``: rows whose statement is not valid
     are asked again, up to ``max_attempts`` times, then marked ``error``.
+    ``ask_again`` may reword the prompt for a given attempt.
 
     Every round is checkpointed, so a lost executor does not repeat its calls,
     and only the rows still open enter the next one.
@@ -73,7 +75,8 @@ def retry_until_valid(
     columns = prompts.columns
     open_rows, finished = prompts, None
     for attempt in range(1, max_attempts + 1):
-        asked = batch_generate(open_rows, fn, prompt, concurrency)
+        worded = open_rows.withColumn("__prompt", ask_again(F.col(prompt), attempt))
+        asked = batch_generate(worded, fn, "__prompt", concurrency).drop("__prompt")
         reply = text.sanitize_sql(F.col("reply")) if sanitize else text.strip(F.col("reply"))
         cleaned = asked.withColumn("sql", text.strip_comments(reply))
         judged = cut_lineage(cleaned.withColumn("__ok", F.coalesce(validator(F.col("sql")), F.lit(False))))

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qloom.functions import text
 from qloom.plans import cut_lineage
 
 
 def shingles(column: Column, n: int = 4) -> Column:
-    """Distinct word n-grams of a text. The word list is zipped with its own
-    shifts: one linear pass per text."""
-    words = F.split(text.strip(F.lower(column)), r"\s+")
-    shifted = [F.slice(words, i + 1, F.greatest(F.size(words) - (n - 1), F.lit(0))).alias(f"w{i}") for i in range(n)]
-    grams = F.transform(F.arrays_zip(*shifted), lambda g: F.concat_ws(" ", *[g[f"w{i}"] for i in range(n)]))
-    return F.array_distinct(grams)
+    """Distinct word n-grams of a text: the word list, bound once, is zipped with
+    its own shifts in one linear pass."""
+
+    def grams(words: Column) -> Column:
+        count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        shifted = F.arrays_zip(*[F.slice(words, i + 1, count).alias(f"w{i}") for i in range(n)])
+        return F.array_distinct(F.transform(shifted, lambda g: F.concat_ws(" ", *[g[f"w{i}"] for i in range(n)])))
+
+    words = F.array_remove(F.split(F.lower(column), r"\s+"), "")
+    return F.transform(F.array(words), grams)[0]
 
 
 def ngram_overlap(

@@ -2,12 +2,21 @@
 not funnel through one task, checked broadcasts and lineage cuts."""
 
 from qloom.plans.lineage import cut_lineage
-from qloom.plans.ranking import first_by_hash, hash_key, hash_cutoffs, order_statistics, ranks_of_values, top_per_group
+from qloom.plans.ranking import (
+    exact_median,
+    first_by_hash,
+    hash_cutoffs,
+    hash_key,
+    order_statistics,
+    ranks_of_values,
+    top_per_group,
+)
 from qloom.plans.sizing import inline_if_small
 from qloom.plans.skew import lookup_join
 
 __all__ = [
     "cut_lineage",
+    "exact_median",
     "first_by_hash",
     "hash_cutoffs",
     "hash_key",

@@ -169,6 +169,14 @@ def order_statistics(
     )
 
 
+def exact_median(df: DataFrame, groups: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """(groups, n, median): the mean of the two middle values for even n."""
+    middle = order_statistics(
+        df, groups, value, {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.ceil((n + 1) / 2)}
+    )
+    return middle.groupBy(*groups, "n").agg(F.avg(F.col("value").cast("double")).alias(name))
+
+
 def ranks_of_values(df: DataFrame, value: str, descending: bool = True) -> DataFrame:
     """``rank()`` over the whole frame, as a table (value, rank) with one row per
     distinct value; no un-partitioned window is involved. NULLs are left out."""

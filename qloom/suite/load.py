@@ -1,6 +1,6 @@
 """Imports every suite module, so the registry is complete."""
 
-from qloom.suite import curation, scoring, sqltext  # noqa: F401
+from qloom.suite import curation, mining, profiling, scoring, sqltext  # noqa: F401
 from qloom.suite.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
