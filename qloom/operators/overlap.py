@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qloom.functions.binding import let
 from qloom.plans import cut_lineage
 
 
@@ -18,7 +19,7 @@ def shingles(column: Column, n: int = 4) -> Column:
         return F.array_distinct(F.transform(shifted, lambda g: F.concat_ws(" ", *[g[f"w{i}"] for i in range(n)])))
 
     words = F.array_remove(F.split(F.lower(column), r"\s+"), "")
-    return F.transform(F.array(words), grams)[0]
+    return let(words, grams)
 
 
 def ngram_overlap(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qloom.functions import text
+from qloom.functions.binding import let
 from qloom.functions.tokens import token_count
 from qloom.operators.workload import referenced_columns
 from qloom.plans import first_by_hash, hash_key, lookup_join, top_per_group
@@ -84,46 +85,52 @@ def noise_correction_task(
 ) -> DataFrame:
     """A statement with one referenced column swapped for another column of the
     same database; the target is the original. Unchanged rows go."""
-    known = pairs.join(schema, "db_id").withColumn(
-        "__used", F.array_intersect("known_columns", text.words(F.col("sql")))
-    )
-    victim = _drawn(F.col("__used"), f"{seed}|victim", F.col("pair_id"))
-    drawn = known.withColumn("__victim", victim)
-    others = F.filter("known_columns", lambda c: c != F.col("__victim"))
-    swapped = drawn.withColumn("__other", _drawn(others, f"{seed}|other", F.col("pair_id")))
-    broken = F.regexp_replace(
-        F.col("sql"), F.concat(F.lit(r"(?s)^(.*?)\b"), "__victim", F.lit(r"\b")), F.concat(F.lit("$1"), "__other")
-    )
-    noisy = swapped.withColumn("__broken", broken).filter(
-        text.strip(F.lower("__broken")) != text.strip(F.lower("sql"))
+    def swapped(victim: Column) -> Column:
+        others = F.filter("known_columns", lambda c: c != victim)
+        once = F.concat(F.lit(r"(?s)^(.*?)\b"), victim, F.lit(r"\b"))
+        other = _drawn(others, f"{seed}|other", F.col("pair_id"))
+        return F.regexp_replace(F.col("sql"), once, F.concat(F.lit("$1"), other))
+
+    used = F.array_intersect("known_columns", text.words(F.col("sql")))
+    broken = let(_drawn(used, f"{seed}|victim", F.col("pair_id")), swapped)
+    noisy = (
+        pairs.join(schema, "db_id")
+        # Unfolding keeps the filter behind the swap, which is then computed once.
+        .select(*pairs.columns, F.explode(F.array(broken)).alias("__broken"))
+        .filter(text.strip(F.lower("__broken")) != text.strip(F.lower("sql")))
     )
     user = F.concat(F.lit("question: "), "question", F.lit("\nSQL: "), "__broken")
     return _record(noisy, "noise_correction", user, F.col("sql"), templates)
 
 
 def cut_at_middle_clause(sql: Column) -> Column:
-    """struct<prefix, suffix>: the statement cut in front of its middle clause
-    keyword; NULL when it has none."""
-    keywords = F.regexp_extract_all(sql, F.lit(text.CLAUSE_KEYWORD), F.lit(0))
-    pieces = F.split(sql, text.CLAUSE_KEYWORD)
-    middle = F.floor(F.size(keywords) / 2).cast("int")
-    length = F.length(F.array_join(F.slice(pieces, 1, middle + 1), "")) + F.length(
-        F.array_join(F.slice(keywords, F.lit(1), middle), "")
-    )
-    halves = F.struct(
-        text.strip(F.substring(sql, F.lit(1), length)).alias("prefix"),
-        text.strip(F.substring(sql, length + 1, F.length(sql))).alias("suffix"),
-    )
-    return F.when(F.size(keywords) > 0, halves)
+    """array<struct<prefix, suffix>>: the statement cut in front of its middle
+    clause keyword; empty when it has none."""
+
+    def halves(keywords: Column) -> Column:
+        middle = F.floor(F.size(keywords) / 2).cast("int")
+        pieces = F.slice(F.split(sql, text.CLAUSE_KEYWORD), F.lit(1), middle + 1)
+        between = F.slice(keywords, F.lit(1), middle)
+        length = F.length(F.array_join(pieces, "")) + F.length(F.array_join(between, ""))
+        cut = let(
+            length,
+            lambda at: F.struct(
+                text.strip(F.substring(sql, F.lit(1), at)).alias("prefix"),
+                text.strip(F.substring(sql, at + 1, F.length(sql))).alias("suffix"),
+            ),
+        )
+        return F.when(F.size(keywords) > 0, F.array(cut))
+
+    return let(F.regexp_extract_all(sql, F.lit(text.CLAUSE_KEYWORD), F.lit(0)), halves)
 
 
 def continuation_task(pairs: DataFrame, templates: Mapping[str, str] = DEFAULT_TEMPLATES) -> DataFrame:
     """The head of a statement in the prompt, its tail as target."""
-    cut = pairs.withColumn("__cut", cut_at_middle_clause(F.col("sql"))).filter(
-        (F.col("__cut.prefix") != "") & (F.col("__cut.suffix") != "")
+    cut = pairs.select(*pairs.columns, F.inline(cut_at_middle_clause(F.col("sql")))).filter(
+        (F.col("prefix") != "") & (F.col("suffix") != "")
     )
-    user = F.concat(F.lit("question: "), "question", F.lit("\nSQL so far: "), "__cut.prefix")
-    return _record(cut, "continuation_writing", user, F.col("__cut.suffix"), templates)
+    user = F.concat(F.lit("question: "), "question", F.lit("\nSQL so far: "), "prefix")
+    return _record(cut, "continuation_writing", user, F.col("suffix"), templates)
 
 
 def derive_tasks(
