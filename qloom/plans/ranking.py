@@ -106,21 +106,27 @@ def first_by_hash(
 
 
 def _with_interval(freq: DataFrame, groups: Sequence[str], value: str) -> tuple[DataFrame, bool]:
-    """Attach the interval number of each distinct value.
+    """Attach the interval number of each distinct value, and tell whether the
+    groups were counted to be few.
 
     The split points are ``SPLITS`` distinct values per group picked in hash
     order, so the intervals hold about equally many distinct values whatever
     the type or distribution of the column.
     """
-    drawn = top_per_group(freq.select(*groups, value), groups, [F.xxhash64(value), F.col(value)], SPLITS)
-    splits = drawn.groupBy(*groups).agg(F.sort_array(F.collect_list(value)).alias("__splits"))
-    splits, small = inline_if_small(splits)
-    if small:
-        placed = freq.join(F.broadcast(splits), list(groups), "inner")
+    in_hash_order = [F.xxhash64(value), F.col(value)]
+    gathered = F.sort_array(F.collect_list(value)).alias("__splits")
+    if groups:
+        drawn = top_per_group(freq.select(*groups, value), groups, in_hash_order, SPLITS)
+        splits, few = inline_if_small(drawn.groupBy(*groups).agg(gathered))
+        if few:
+            placed = freq.join(F.broadcast(splits), list(groups), "inner")
+        else:
+            placed = lookup_join(freq, splits, groups, "inner")
     else:
-        placed = lookup_join(freq, splits, groups, "inner")
+        drawn = freq.select(value).orderBy(*in_hash_order).limit(SPLITS)
+        placed, few = freq.withColumn("__splits", drawn.agg(gathered).scalar()), True
     interval = F.expr(f"size(filter(__splits, s -> s < `{value}`))")
-    return placed.withColumn("__i", interval).drop("__splits"), small
+    return placed.withColumn("__i", interval).drop("__splits"), few
 
 
 def order_statistics(
@@ -134,12 +140,11 @@ def order_statistics(
     ``ranks`` maps a label to a function of the row count. Returns (groups,
     label, n, value). Only intervals holding a wanted rank are sorted.
     """
-    groups = list(groups)
-    keyed = df if groups else df.withColumn("__all", F.lit(0))
-    keys = groups or ["__all"]
-    freq = keyed.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    placed, small = _with_interval(freq, keys, value)
+    keys = list(groups)
+    freq = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    placed, few = _with_interval(freq, keys, value)
 
+    # At most SPLITS + 1 rows per group reach these windows.
     whole = Window.partitionBy(*keys)
     running = whole.orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     intervals = placed.groupBy(*keys, "__i").agg(F.sum("__c").alias("__ic"))
@@ -158,14 +163,14 @@ def order_statistics(
         .select(*keys, "label", "n", "__i", (F.col("__rank") - F.col("__end") + F.col("__ic")).alias("__need"))
     )
     # Rows of targets = groups x labels, and the groups were counted above.
-    inside = placed.join(F.broadcast(targets) if small else targets, [*keys, "__i"])
+    inside = placed.join(F.broadcast(targets) if few else targets, [*keys, "__i"])
     order = (
         Window.partitionBy(*keys, "label").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         inside.withColumn("__run", F.sum("__c").over(order))
         .filter((F.col("__run") - F.col("__c") < F.col("__need")) & (F.col("__need") <= F.col("__run")))
-        .select(*groups, "label", "n", F.col(value).alias("value"))
+        .select(*keys, "label", "n", F.col(value).alias("value"))
     )
 
 
@@ -180,25 +185,15 @@ def exact_median(df: DataFrame, groups: Sequence[str], value: str, name: str = "
 def ranks_of_values(df: DataFrame, value: str, descending: bool = True) -> DataFrame:
     """``rank()`` over the whole frame, as a table (value, rank) with one row per
     distinct value; no un-partitioned window is involved. NULLs are left out."""
-    freq = (
-        df.filter(F.col(value).isNotNull())
-        .withColumn("__all", F.lit(0))
-        .groupBy("__all", value)
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    placed, _ = _with_interval(freq, ["__all"], value)
-    sign = -1 if descending else 1
-    placed = placed.withColumn("__i", F.col("__i") * sign)
-    before = (
-        Window.partitionBy("__all").orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    totals = placed.groupBy("__all", "__i").agg(F.sum("__c").alias("__ic"))
+    freq = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
+    placed, _ = _with_interval(freq, [], value)
+    placed = placed.withColumn("__i", F.col("__i") * (-1 if descending else 1))
+    # One row per interval, so at most SPLITS + 1.
+    before = Window.orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = placed.groupBy("__i").agg(F.sum("__c").alias("__ic"))
     totals = totals.select("__i", (F.sum("__ic").over(before) - F.col("__ic")).alias("__before"))
     by_value = F.col(value).desc() if descending else F.col(value).asc()
-    inside = (
-        Window.partitionBy("__i").orderBy(by_value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    # totals has at most SPLITS + 1 rows.
+    inside = Window.partitionBy("__i").orderBy(by_value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return placed.join(F.broadcast(totals), "__i").select(
         value, (F.col("__before") + F.sum("__c").over(inside) - F.col("__c") + 1).cast("bigint").alias("rank")
     )
