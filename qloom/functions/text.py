@@ -2,8 +2,8 @@
 
 Every function takes and returns columns built from JVM expressions only.
 ``\\w``, ``\\b`` and ``\\s`` are ASCII unless ``unicode=True`` is offered and set.
-Literals are written as regexes with ``\\s`` trimming, because SQL ``trim``
-leaves line breaks in place.
+Trimming names its whitespace, because SQL ``trim`` alone leaves line breaks in
+place.
 """
 
 from __future__ import annotations
@@ -13,13 +13,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from qloom.functions.binding import let
+
 # The patterns and word lists that decide results.
 FENCED_BLOCK = r"(?is)^.*?```(?:sql)?\s*(.*?)```.*$"
 STATEMENT_START = r"(?is)^.*?(\b(?:WITH|SELECT)\b.*)$"
 EDGE_FENCES = r"(?i)^```(?:sql)?|```$"
 EDGE_FENCES_AND_SPACE = r"(?i)^```(?:sql)?\s*|\s*```$"
+WHITESPACE = " \t\n\r\f\v"
 BLOCK_COMMENT = r"(?s)/\*.*?\*/"
 LINE_COMMENT = r"--[^\n]*"
+COMMENT_OR_LITERAL = r"(?s)/\*.*?\*/|--[^\n]*|'[^']*'"
+COMMENT_LITERAL_OR_NAME = COMMENT_OR_LITERAL + r'|"[^"]*"'
 DANGLING_ENDS = ("WHERE", "JOIN", "FROM", "ON", "AND", "OR")
 WRITE_VERBS = ("DROP", "DELETE", "UPDATE", "CREATE", "INSERT", "ALTER")
 LEAK_KEY_STEPS = (
@@ -56,11 +61,11 @@ def _drop(text: Column, pattern: str, replacement: str = "") -> Column:
 
 def strip(text: Column) -> Column:
     """Trim all whitespace at both ends, line breaks included."""
-    return _drop(text, r"^\s+|\s+$")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def _without_terminator(text: Column) -> Column:
-    return strip(_drop(strip(text), r";+$"))
+    return strip(F.rtrim(strip(text), F.lit(";")))
 
 
 def extract_sql(reply: Column) -> Column:
@@ -111,14 +116,14 @@ def is_complete(sql: Column) -> Column:
 
 
 def without_literals(sql: Column) -> Column:
-    """The statement without comments, string literals and quoted names."""
-    text = _drop(_drop(sql, BLOCK_COMMENT, " "), LINE_COMMENT, " ")
-    return _drop(text, r"'[^']*'", "''")
+    """The statement with every comment and string literal blanked in one pass, so
+    a dash inside a literal starts no comment and a quote in a comment no literal."""
+    return _drop(sql, COMMENT_OR_LITERAL, " ")
 
 
 def is_read_only(sql: Column) -> Column:
     """No writing verb outside comments, literals and quoted names."""
-    bare = _drop(without_literals(sql), r'"[^"]*"', " ")
+    bare = _drop(sql, COMMENT_LITERAL_OR_NAME, " ")
     return ~bare.rlike(r"(?i)\b(?:" + "|".join(WRITE_VERBS) + r")\b")
 
 
@@ -152,36 +157,46 @@ def leak_key(sql: Column, unicode: bool = False) -> Column:
 
 def is_trivial(sql: Column) -> Column:
     """A star projection with no filter, grouping, join, order or aggregate."""
-    bare = without_literals(sql)
-    logic = bare.rlike(LOGIC_WORDS) | bare.rlike(AGGREGATE_CALL) | bare.rlike(COMMA_JOIN)
-    return bare.rlike(SELECT_STAR) & ~logic
+
+    def judge(bare: Column) -> Column:
+        logic = bare.rlike(LOGIC_WORDS) | bare.rlike(AGGREGATE_CALL) | bare.rlike(COMMA_JOIN)
+        return bare.rlike(SELECT_STAR) & ~logic
+
+    # Most statements have no star at all and skip the patterns.
+    return sql.contains("*") & let(without_literals(sql), judge)
 
 
 def comparable(sql: Column) -> Column:
     """Text under which two predictions agree; NULL counts as empty."""
-    text = _drop(strip(F.coalesce(sql, F.lit(""))), r";+$")
+    text = F.rtrim(strip(F.coalesce(sql, F.lit(""))), F.lit(";"))
     return F.lower(_drop(text, r"\s+", " "))
 
 
-def table_references(sql: Column) -> Column:
-    """array<struct<alias, name>>: each table under its name and under its alias."""
-    bare = without_literals(sql)
+def _references(bare: Column) -> Column:
     names = F.regexp_extract_all(bare, F.lit(TABLE_REFERENCE), F.lit(1))
     aliases = F.regexp_extract_all(bare, F.lit(TABLE_REFERENCE), F.lit(2))
-    pairs = F.arrays_zip(names.alias("name"), aliases.alias("alias"))
 
     def both(p: Column) -> Column:
         own = F.struct(p["name"].alias("alias"), p["name"].alias("name"))
         aliased = F.struct(p["alias"].alias("alias"), p["name"].alias("name"))
         return F.when(p["alias"] != "", F.array(own, aliased)).otherwise(F.array(own))
 
-    return F.flatten(F.transform(pairs, both))
+    return F.flatten(F.transform(F.arrays_zip(names.alias("name"), aliases.alias("alias")), both))
+
+
+def table_references(sql: Column) -> Column:
+    """array<struct<alias, name>>: each table under its name and under its alias."""
+    return let(without_literals(sql), _references)
+
+
+def _tables(bare: Column) -> Column:
+    names = F.regexp_extract_all(bare, F.lit(TABLE_REFERENCE), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(names, F.lower)))
 
 
 def accessed_tables(sql: Column) -> Column:
     """Sorted, lower-cased, distinct table names."""
-    names = F.regexp_extract_all(without_literals(sql), F.lit(TABLE_REFERENCE), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(names, F.lower)))
+    return _tables(without_literals(sql))
 
 
 def resolve_alias(references: Column, alias: Column) -> Column:
@@ -190,31 +205,47 @@ def resolve_alias(references: Column, alias: Column) -> Column:
     return F.try_element_at(hits, F.lit(-1))["name"]
 
 
+def _groups(bare: Column, pattern: str, *names: str) -> Column:
+    """array<struct>: the groups of every match of a pattern."""
+    lists = [F.regexp_extract_all(bare, F.lit(pattern), F.lit(i)).alias(n) for i, n in enumerate(names, start=1)]
+    return F.arrays_zip(*lists)
+
+
 def join_keys(sql: Column) -> Column:
     """array<string> of ``t.c = u.c``, one per column equality between two tables."""
-    bare = without_literals(sql)
-    references = table_references(sql)
-
-    def group(i: int, name: str) -> Column:
-        return F.regexp_extract_all(bare, F.lit(COLUMN_EQUALITY), F.lit(i)).alias(name)
-
-    equalities = F.arrays_zip(group(1, "lq"), group(2, "lc"), group(3, "rq"), group(4, "rc"))
-    resolved = F.transform(
-        equalities,
-        lambda e: F.struct(
-            resolve_alias(references, e["lq"]).alias("lt"),
-            e["lc"].alias("lc"),
-            resolve_alias(references, e["rq"]).alias("rt"),
-            e["rc"].alias("rc"),
-        ),
-    )
-    between = F.filter(resolved, lambda e: e["lt"].isNotNull() & e["rt"].isNotNull() & (e["lt"] != e["rt"]))
-    return F.transform(
-        between,
-        lambda e: F.array_join(
-            F.array_sort(F.array(F.concat_ws(".", e["lt"], e["lc"]), F.concat_ws(".", e["rt"], e["rc"]))), " = "
-        ),
-    )
+
+    def keys(bare: Column) -> Column:
+        def between(references: Column) -> Column:
+            resolved = F.transform(
+                _groups(bare, COLUMN_EQUALITY, "lq", "lc", "rq", "rc"),
+                lambda e: F.struct(
+                    resolve_alias(references, e["lq"]).alias("lt"),
+                    e["lc"].alias("lc"),
+                    resolve_alias(references, e["rq"]).alias("rt"),
+                    e["rc"].alias("rc"),
+                ),
+            )
+            return F.filter(resolved, lambda e: e["lt"].isNotNull() & e["rt"].isNotNull() & (e["lt"] != e["rt"]))
+
+        return F.transform(
+            let(_references(bare), between),
+            lambda e: F.array_join(
+                F.array_sort(F.array(F.concat_ws(".", e["lt"], e["lc"]), F.concat_ws(".", e["rt"], e["rc"]))), " = "
+            ),
+        )
+
+    return let(without_literals(sql), keys)
+
+
+def used_names(sql: Column, known_columns: Column) -> Column:
+    """struct<tables, columns>: table names of the statement, and those of the
+    known columns it mentions, both sorted and distinct."""
+
+    def names(bare: Column) -> Column:
+        mentioned = F.array_intersect(known_columns, F.regexp_extract_all(bare, F.lit(WORD), F.lit(0)))
+        return F.struct(_tables(bare).alias("tables"), F.array_sort(mentioned).alias("columns"))
+
+    return let(without_literals(sql), names)
 
 
 def words(sql: Column) -> Column:
@@ -224,16 +255,17 @@ def words(sql: Column) -> Column:
 
 def qualified_columns(sql: Column) -> Column:
     """array<string> of ``table.column`` with aliases resolved; unknown aliases are left out."""
-    bare = without_literals(sql)
-    references = table_references(sql)
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(bare, F.lit(QUALIFIED_COLUMN), F.lit(1)).alias("q"),
-        F.regexp_extract_all(bare, F.lit(QUALIFIED_COLUMN), F.lit(2)).alias("c"),
-    )
-    resolved = F.transform(
-        pairs, lambda p: F.concat(resolve_alias(references, p["q"]), F.lit("."), p["c"])
-    )
-    return F.array_distinct(F.filter(resolved, lambda r: r.isNotNull()))
+
+    def resolved(bare: Column) -> Column:
+        def named(references: Column) -> Column:
+            return F.transform(
+                _groups(bare, QUALIFIED_COLUMN, "q", "c"),
+                lambda p: F.concat(resolve_alias(references, p["q"]), F.lit("."), p["c"]),
+            )
+
+        return F.array_distinct(F.filter(let(_references(bare), named), lambda r: r.isNotNull()))
+
+    return let(without_literals(sql), resolved)
 
 
 def truncate_text(value: Column, limit: int = 120) -> Column:

@@ -8,7 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qloom.functions import text
-from qloom.plans import first_by_hash, hash_cutoffs, hash_key, lookup_join, top_per_group
+from qloom.plans import (
+    HOT_ROWS,
+    first_by_hash,
+    hash_cutoffs,
+    hash_key,
+    hot_keys,
+    lookup_join,
+    most_rows,
+    row_sample,
+    top_per_group,
+)
 
 KEPT = "kept"
 UNPARSABLE = "unparsable"
@@ -36,8 +46,12 @@ def filter_pairs(pairs: DataFrame, position: str = "pair_id") -> DataFrame:
         }
     )
     sound = F.col("parse_ok") & ~F.col("__trivial") & F.col("exec_ok") & (F.col("row_count") > 0)
-    first_kept = judged.filter(sound).groupBy("__fp").agg(F.min(position).alias("__first"))
-    placed = lookup_join(judged, first_kept, ["__fp"])
+    texts = judged.groupBy("__fp").agg(
+        F.min(F.when(sound, F.col(position))).alias("__first"), F.count(F.lit(1)).alias("__n")
+    )
+    # The counts tell which texts are shared by too many rows for one task.
+    hot = most_rows(texts, ["__fp"], "__n", HOT_ROWS)
+    placed = lookup_join(judged, texts.drop("__n"), ["__fp"], hot=hot)
     reason = (
         F.when(~F.col("parse_ok"), UNPARSABLE)
         .when(F.col("__trivial"), TRIVIAL)
@@ -92,18 +106,25 @@ def eval_keys(eval_set: DataFrame, sql: str = "gold_sql") -> DataFrame:
     )
 
 
+def _against(train: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__key", _leak_hash("sql"))
+
+    on = ["db_id", "__key"]
+    # Sampling comes before the key is computed, so only sampled rows pay for it.
+    hot = hot_keys(keyed(row_sample(train.select("db_id", "sql"))), on)
+    return lookup_join(keyed(train), keys, on, how, hot).drop("__key")
+
+
 def find_leaks(train: DataFrame, eval_set: DataFrame) -> DataFrame:
     """Training rows whose statement is an evaluation answer of the same database."""
-    keyed = train.withColumn("__key", _leak_hash("sql"))
-    return lookup_join(keyed, eval_keys(eval_set), ["db_id", "__key"], "inner").drop("__key")
+    return _against(train, eval_keys(eval_set), "inner")
 
 
 def drop_leaks(train: DataFrame, eval_set: DataFrame) -> DataFrame:
     """Training rows without the leaking ones; databases outside the evaluation
     file stay whole."""
-    keyed = train.withColumn("__key", _leak_hash("sql"))
-    keys = eval_keys(eval_set).drop("question_id")
-    return lookup_join(keyed, keys, ["db_id", "__key"], "left_anti").drop("__key")
+    return _against(train, eval_keys(eval_set).drop("question_id"), "left_anti")
 
 
 def leak_report(train: DataFrame, eval_set: DataFrame, shown: int = 5) -> DataFrame:

@@ -158,12 +158,13 @@ def histogram_bounds(name: str, df: DataFrame, column: str, buckets: int = 10) -
     """Equi-depth bounds 0…buckets: the smallest value, then the last value of each
     of ``buckets`` equally large parts. Exact for any orderable type."""
 
-    def rank_of(i: int):
-        return lambda n: F.greatest(F.lit(1), F.ceil(n * i / buckets))
+    def ranks(n: Column) -> Column:
+        last = lambda i: F.greatest(F.lit(1), F.ceil(n * i / buckets)).cast("bigint")
+        return F.transform(F.sequence(F.lit(0), F.lit(buckets)), lambda i: F.struct(i.cast("bigint"), last(i)))
 
-    stats = order_statistics(df.select(column), [], column, {str(i): rank_of(i) for i in range(buckets + 1)})
+    stats = order_statistics(df.select(column), [], column, ranks)
     return stats.select(
-        F.lit(name).alias("table"), F.lit(column).alias("column"), F.col("label").cast("bigint").alias("bound"), "value"
+        F.lit(name).alias("table"), F.lit(column).alias("column"), F.col("label").alias("bound"), "value"
     )
 
 

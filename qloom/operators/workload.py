@@ -118,12 +118,11 @@ def referenced_columns(statements: DataFrame, schema: DataFrame, sql: str = "sql
     """Adds ``tables`` and ``columns``: sorted, distinct names of the statement that
     the schema knows. ``schema`` is ``inventory_arrays``, a row per database."""
     known = statements.join(schema, "db_id")
-    return known.withColumns(
-        {
-            "tables": F.array_intersect(text.accessed_tables(F.col(sql)), "known_tables"),
-            "columns": F.array_sort(F.array_intersect("known_columns", text.words(F.col(sql)))),
-        }
-    ).drop("known_tables", "known_columns", "known_names")
+    # Unfolding keeps later filters behind the extraction, which then runs once.
+    named = known.select(
+        *statements.columns, "known_tables", F.inline(F.array(text.used_names(F.col(sql), F.col("known_columns"))))
+    )
+    return named.withColumn("tables", F.array_intersect("tables", "known_tables")).drop("known_tables")
 
 
 def schema_validity(predictions: DataFrame, schema: DataFrame, sql: str = "sql", by: str = "arm") -> DataFrame:

@@ -12,17 +12,21 @@ from qloom.plans.ranking import (
     top_per_group,
 )
 from qloom.plans.sizing import inline_if_small
-from qloom.plans.skew import lookup_join
+from qloom.plans.skew import HOT_ROWS, hot_keys, lookup_join, most_rows, row_sample
 
 __all__ = [
+    "HOT_ROWS",
     "cut_lineage",
     "exact_median",
     "first_by_hash",
     "hash_cutoffs",
     "hash_key",
+    "hot_keys",
     "inline_if_small",
     "lookup_join",
+    "most_rows",
     "order_statistics",
     "ranks_of_values",
+    "row_sample",
     "top_per_group",
 ]

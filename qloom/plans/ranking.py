@@ -125,20 +125,25 @@ def _with_interval(freq: DataFrame, groups: Sequence[str], value: str) -> tuple[
     else:
         drawn = freq.select(value).orderBy(*in_hash_order).limit(SPLITS)
         placed, few = freq.withColumn("__splits", drawn.agg(gathered).scalar()), True
-    interval = F.expr(f"size(filter(__splits, s -> s < `{value}`))")
-    return placed.withColumn("__i", interval).drop("__splits"), few
+    # Every 16th split point first, then the 15 behind it.
+    coarse = F.expr(f"size(filter(slice(__marks, 1, 16), s -> s < `{value}`)) * 16")
+    fine = F.expr(f"size(filter(slice(__splits, __coarse + 1, 16), s -> s < `{value}`))")
+    marks = F.expr("filter(__splits, (s, i) -> i % 16 = 15)")
+    placed = placed.withColumn("__marks", marks).withColumn("__coarse", coarse)
+    return placed.withColumn("__i", F.col("__coarse") + fine).drop("__splits", "__marks", "__coarse"), few
 
 
 def order_statistics(
     df: DataFrame,
     groups: Sequence[str],
     value: str,
-    ranks: Mapping[str, Callable[[Column], Column]],
+    ranks: Mapping[str, Callable[[Column], Column]] | Callable[[Column], Column],
 ) -> DataFrame:
     """Exact values at given 1-based ranks per group, NULLs left out.
 
-    ``ranks`` maps a label to a function of the row count. Returns (groups,
-    label, n, value). Only intervals holding a wanted rank are sorted.
+    ``ranks`` maps a label to a function of the row count, or is one function
+    giving an array of (label, rank). Returns (groups, label, n, value). Only
+    intervals holding a wanted rank are sorted.
     """
     keys = list(groups)
     freq = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
@@ -151,14 +156,12 @@ def order_statistics(
     intervals = intervals.select(
         *keys, "__i", "__ic", F.sum("__ic").over(running).alias("__end"), F.sum("__ic").over(whole).alias("n")
     )
-    wanted = F.array(
-        *[
-            F.struct(F.lit(label).alias("label"), rank(F.col("n")).cast("bigint").alias("__rank"))
-            for label, rank in ranks.items()
-        ]
-    )
+    if callable(ranks):
+        wanted = ranks(F.col("n"))
+    else:
+        wanted = F.array(*[F.struct(F.lit(label), rank(F.col("n")).cast("bigint")) for label, rank in ranks.items()])
     targets = (
-        intervals.select("*", F.inline(wanted))
+        intervals.select("*", F.inline(wanted).alias("label", "__rank"))
         .filter((F.col("__end") - F.col("__ic") < F.col("__rank")) & (F.col("__rank") <= F.col("__end")))
         .select(*keys, "label", "n", "__i", (F.col("__rank") - F.col("__end") + F.col("__ic")).alias("__need"))
     )

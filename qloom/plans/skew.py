@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 HOT_KEYS = 256
 SAMPLE_FRACTION = 0.02
 MIN_SAMPLED_ROWS = 1000
+HOT_ROWS = int(MIN_SAMPLED_ROWS / SAMPLE_FRACTION)
 SPREAD = 1024
 
 _HOT = "__hot"
@@ -17,39 +18,46 @@ _SALT = "__salt"
 _FOUND = "__found"
 
 
-def _hot_keys(facts: DataFrame, on: Sequence[str]) -> DataFrame:
+def row_sample(df: DataFrame) -> DataFrame:
+    """The rows hot keys are looked for in."""
+    return df.sample(fraction=SAMPLE_FRACTION, seed=11)
+
+
+def hot_keys(sampled: DataFrame, on: Sequence[str], min_rows: int | None = None) -> DataFrame:
     """The most frequent keys of a row sample, at most ``HOT_KEYS`` of them.
 
     A key that holds a share worth splitting is in every sample of that size; a
     missed or a spurious key changes only the route its rows take, never the
     result.
     """
-    sampled = facts.select(*on).sample(fraction=SAMPLE_FRACTION, seed=11)
-    return (
-        sampled.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") >= MIN_SAMPLED_ROWS)
-        .orderBy(F.desc("__n"))
-        .limit(HOT_KEYS)
-        .select(*on)
-    )
+    counts = sampled.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    return most_rows(counts, on, "__n", MIN_SAMPLED_ROWS if min_rows is None else min_rows)
+
+
+def most_rows(counts: DataFrame, on: Sequence[str], n: str, min_rows: int) -> DataFrame:
+    """Keys with the largest counts, at most ``HOT_KEYS``."""
+    return counts.filter(F.col(n) >= min_rows).orderBy(F.desc(n)).limit(HOT_KEYS).select(*on)
 
 
-def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+def lookup_join(
+    facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", hot: DataFrame | None = None
+) -> DataFrame:
     """Join ``facts`` to ``lookup`` (one row per key) without a hot reducer.
 
     Rows of hot keys meet their lookup rows through a broadcast of at most
     ``HOT_KEYS`` rows and are then spread over ``SPREAD`` salts, where they match
     nothing; all other rows take an ordinary shuffle join. ``how`` is ``left``,
-    ``inner``, ``left_semi`` or ``left_anti``.
+    ``inner``, ``left_semi`` or ``left_anti``. ``hot`` gives the hot keys when
+    the caller knows them more cheaply than a sample of ``facts`` tells.
     """
     on = list(on)
     payload = [c for c in lookup.columns if c not in on]
     flagged = lookup.withColumn(_FOUND, F.lit(True))
 
-    hot_keys = _hot_keys(facts, on)
+    if hot is None:
+        hot = hot_keys(row_sample(facts.select(*on)), on)
     # A hot key without a lookup row is settled too: it is known to match nothing.
-    hot_rows = hot_keys.join(flagged, on, "left").select(
+    hot_rows = hot.limit(HOT_KEYS).join(flagged, on, "left").select(
         *on,
         *[F.col(c).alias(f"{c}{_HOT}") for c in payload],
         F.coalesce(F.col(_FOUND), F.lit(False)).alias(f"{_FOUND}{_HOT}"),
