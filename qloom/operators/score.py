@@ -31,22 +31,25 @@ def with_ratio(scored: DataFrame) -> DataFrame:
     return scored.withColumn("exec_ratio", exec_ratio(F.col("score"), F.col("t_gold"), F.col("t_pred")))
 
 
-def _levels(scored: DataFrame, by: str, *measures: Column) -> DataFrame:
-    """Overall and per value of ``by`` in one pass."""
-    return (
-        scored.rollup(by)
-        .agg(F.grouping(by).alias("__all"), F.count(F.lit(1)).alias("n"), *measures)
-        .withColumn("level", F.when(F.col("__all") == 1, F.lit("overall")).otherwise(F.lit(by)))
-        .drop("__all")
+def _levels(scored: DataFrame, by: str, name: str, measure: Column) -> DataFrame:
+    """Overall and per value of ``by`` in one pass; without rows the overall is 0."""
+    levels = scored.rollup(by).agg(
+        F.when(F.grouping(by) == 1, "overall").otherwise(by).alias("level"),
+        F.count(F.lit(1)).alias("n"),
+        F.round(measure, 6).alias(name),
+    )
+    nothing = scored.sparkSession.range(1).select(
+        F.lit(None).cast("string").alias(by), F.lit("overall").alias("level"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias(name)
     )
+    return levels.unionByName(nothing).groupBy(by, "level").agg(F.max("n").alias("n"), F.max(name).alias(name))
 
 
 def execution_accuracy(scored: DataFrame, by: str = "difficulty") -> DataFrame:
-    return _levels(scored, by, F.round(_ex(), 6).alias("ex"))
+    return _levels(scored, by, "ex", _ex())
 
 
 def efficiency_score(scored: DataFrame, by: str = "difficulty") -> DataFrame:
-    return _levels(with_ratio(scored), by, F.round(_ves(), 6).alias("ves"))
+    return _levels(with_ratio(scored), by, "ves", _ves())
 
 
 def upper_median_time(samples: DataFrame, by: Sequence[str], seconds: str) -> DataFrame:

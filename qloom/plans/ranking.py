@@ -9,6 +9,7 @@ drawn from the data itself.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ from qloom.plans.sizing import inline_if_small
 from qloom.plans.skew import lookup_join
 
 PREFIX_DIGITS = 4
-SPLITS = 255
+STRIDE = 32
+SPLITS = STRIDE * STRIDE - 1
+MAX_SPLIT_GROUPS = 256
 
 
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, rank: str = "rn") -> DataFrame:
@@ -109,28 +112,36 @@ def _with_interval(freq: DataFrame, groups: Sequence[str], value: str) -> tuple[
     """Attach the interval number of each distinct value, and tell whether the
     groups were counted to be few.
 
-    The split points are ``SPLITS`` distinct values per group picked in hash
-    order, so the intervals hold about equally many distinct values whatever
-    the type or distribution of the column.
+    The split points are up to ``SPLITS`` distinct values per group picked in
+    hash order, so the intervals hold about equally many distinct values
+    whatever the type or distribution of the column.
     """
     in_hash_order = [F.xxhash64(value), F.col(value)]
-    gathered = F.sort_array(F.collect_list(value)).alias("__splits")
+    gathered = F.sort_array(F.collect_list(value)).alias("s")
+    every = F.expr(f"filter(s, (v, i) -> i % {STRIDE} = {STRIDE - 1})").alias("m")
     if groups:
         drawn = top_per_group(freq.select(*groups, value), groups, in_hash_order, SPLITS)
-        splits, few = inline_if_small(drawn.groupBy(*groups).agg(gathered))
+        splits = drawn.groupBy(*groups).agg(gathered).select(*groups, F.struct("s", every).alias("__sp"))
+        splits, few = inline_if_small(splits, MAX_SPLIT_GROUPS)
         if few:
             placed = freq.join(F.broadcast(splits), list(groups), "inner")
         else:
             placed = lookup_join(freq, splits, groups, "inner")
     else:
         drawn = freq.select(value).orderBy(*in_hash_order).limit(SPLITS)
-        placed, few = freq.withColumn("__splits", drawn.agg(gathered).scalar()), True
-    # Every 16th split point first, then the 15 behind it.
-    coarse = F.expr(f"size(filter(slice(__marks, 1, 16), s -> s < `{value}`)) * 16")
-    fine = F.expr(f"size(filter(slice(__splits, __coarse + 1, 16), s -> s < `{value}`))")
-    marks = F.expr("filter(__splits, (s, i) -> i % 16 = 15)")
-    placed = placed.withColumn("__marks", marks).withColumn("__coarse", coarse)
-    return placed.withColumn("__i", F.col("__coarse") + fine).drop("__splits", "__marks", "__coarse"), few
+        splits = drawn.agg(gathered).select(F.struct("s", every))
+        placed, few = freq.withColumn("__sp", splits.scalar()), True
+
+    # Split points below the value: every STRIDE-th first, then those behind it.
+    # Written out term by term, which stays in generated code.
+    def below(points: str, start: Column, count: int) -> Column:
+        terms = [F.when(F.get(points, start + j) < F.col(value), 1).otherwise(0) for j in range(count)]
+        return reduce(lambda x, y: x + y, terms)
+
+    coarse = below("__sp.m", F.lit(0), SPLITS // STRIDE) * STRIDE
+    placed = placed.withColumn("__coarse", coarse)
+    fine = below("__sp.s", F.col("__coarse"), STRIDE)
+    return placed.withColumn("__i", F.col("__coarse") + fine).drop("__sp", "__coarse"), few
 
 
 def order_statistics(

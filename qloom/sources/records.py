@@ -51,9 +51,7 @@ def load_predictions(
     """(arm, seed, question_id, sql) of id-to-SQL maps; arm and seed come from the
     file name. With ``whole_file=False`` each line is a map, so large sets split."""
     raw = (
-        spark.read.option("wholetext", whole_file)
-        .option("recursiveFileLookup", True)
-        .text(paths)
+        spark.read.text(paths, wholetext=whole_file, recursiveFileLookup=True)
         .select("value", F.col("_metadata.file_path").alias("__file"))
     )
     seed = F.nullif(F.regexp_extract("__file", name_pattern, 2), F.lit("")).cast("int")
