@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qloom.functions import text
+from qloom.plans import local_frame
 
 AMBIGUOUS = "ambiguous"
 ERROR = "error"
@@ -29,7 +30,7 @@ OUTCOME_SCHEMA = T.StructType(
 
 def guard(spark: SparkSession, statements: Iterable[tuple[str, str]]) -> dict[str, bool]:
     """Which statements may run at all: complete and read-only."""
-    frame = spark.createDataFrame(list(statements), "statement_id string, sql string")
+    frame = local_frame(spark, statements, "statement_id string, sql string")
     checked = frame.select("statement_id", text.is_valid(F.col("sql")).alias("ok"))
     return {row.statement_id: row.ok for row in checked.collect()}
 
@@ -94,7 +95,7 @@ def run_candidates(
 
     with ThreadPoolExecutor(max_workers=concurrency) as pool:
         list(pool.map(work, statements))
-    return spark.createDataFrame(sorted(rows), OUTCOME_SCHEMA)
+    return local_frame(spark, sorted(rows), OUTCOME_SCHEMA)
 
 
 def _family(data_type: T.DataType) -> str:

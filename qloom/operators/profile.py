@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qloom.functions import text
-from qloom.plans import order_statistics, top_per_group
+from qloom.plans import local_frame, order_statistics, top_per_group
 
 # Fixed values of the profile format.
 ALL_VALUES_MAX = 15
@@ -59,7 +59,7 @@ def schema_inventory(spark: SparkSession, tables: Tables) -> DataFrame:
         for name, df in tables.items()
         for i, field in enumerate(df.schema, start=1)
     ]
-    return spark.createDataFrame(rows, INVENTORY_SCHEMA)
+    return local_frame(spark, rows, INVENTORY_SCHEMA)
 
 
 def row_counts(tables: Tables) -> DataFrame:
@@ -129,7 +129,7 @@ def n_distinct(name: str, df: DataFrame, columns: Sequence[str] | None = None) -
     columns = list(columns or scalar_columns(df))
     total = df.agg(F.count(F.lit(1))).scalar()
     counted = value_frequencies(name, df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
-    listed = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    listed = local_frame(df.sparkSession, [(c,) for c in columns], "column string")
     return (
         listed.join(counted, "column", "left")
         .withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
@@ -196,7 +196,8 @@ def value_domain_or_error(name: str, df: DataFrame, columns: Sequence[str]) -> D
     and leaves the others alone."""
     good = [c for c in columns if c in df.columns and is_scalar(df.schema[c].dataType)]
     bad = [c for c in columns if c not in good]
-    errors = df.sparkSession.createDataFrame(
+    errors = local_frame(
+        df.sparkSession,
         [(name, c, "error", [f"column {c} cannot be listed"[:80]]) for c in bad],
         "table string, column string, kind string, values array<string>",
     )
@@ -318,7 +319,7 @@ def discover_keys(tables: Tables, max_share_missing: float = 0.1) -> DataFrame:
                 .select(F.lit(name).alias("table"), F.lit(c).alias("column"))
             )
     spark = next(iter(tables.values())).sparkSession
-    return union_all(frames) if frames else spark.createDataFrame([], "table string, column string")
+    return union_all(frames) if frames else local_frame(spark, [], "table string, column string")
 
 
 Pair = tuple[tuple[str, str], tuple[str, str]]

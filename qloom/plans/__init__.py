@@ -11,7 +11,7 @@ from qloom.plans.ranking import (
     ranks_of_values,
     top_per_group,
 )
-from qloom.plans.sizing import inline_if_small
+from qloom.plans.sizing import inline_if_small, local_frame
 from qloom.plans.skew import HOT_ROWS, hot_keys, lookup_join, most_rows, row_sample
 
 __all__ = [
@@ -23,6 +23,7 @@ __all__ = [
     "hash_key",
     "hot_keys",
     "inline_if_small",
+    "local_frame",
     "lookup_join",
     "most_rows",
     "order_statistics",

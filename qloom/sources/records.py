@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qloom.plans import local_frame
+
 PAIR_SCHEMA = T.StructType(
     [
         T.StructField("db_id", T.StringType()),
@@ -115,7 +117,7 @@ def short_sha1(content: Column) -> Column:
 
 def fingerprint_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(path, sha256, sha1): short content hashes, NULL for files that are not there."""
-    wanted = spark.createDataFrame([(p,) for p in paths], "path string")
+    wanted = local_frame(spark, [(p,) for p in paths], "path string")
     present = [p for p in paths if _exists(spark, p)]
     if not present:
         return wanted.selectExpr("path", "CAST(NULL AS STRING) AS sha256", "CAST(NULL AS STRING) AS sha1")

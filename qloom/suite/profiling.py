@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qloom.operators import profile, schema_text
+from qloom.plans import local_frame
 from qloom.suite import fixtures
 from qloom.suite.registry import query, table
 
@@ -228,7 +229,7 @@ def first_keys(spark, sf_dir):
     """(table, order, column, ordinal): the leftmost single-column key of each table."""
     opened = tables(spark, sf_dir)
     inventory = profile.schema_inventory(spark, opened)
-    order = spark.createDataFrame(list(enumerate(opened)), "order int, table string")
+    order = local_frame(spark, enumerate(opened), "order int, table string")
     found = profile.discover_keys(opened).join(inventory, ["table", "column"]).join(order, "table")
     return found.groupBy("table", "order").agg(F.min_by("column", "ordinal").alias("column"))
 
@@ -248,7 +249,7 @@ def implied_edges(spark, sf_dir):
     bare = F.regexp_replace("column", "^[a-z]+_", "")
     inventory = profile.schema_inventory(spark, tables(spark, sf_dir)).withColumn("column", bare)
     keys = first_keys(spark, sf_dir).select("table", "order", F.array(bare).alias("key"))
-    declared = spark.createDataFrame([("orders", ["custkey"])], "table string, columns array<string>")
+    declared = local_frame(spark, [("orders", ["custkey"])], "table string, columns array<string>")
     return profile.implied_edges(inventory, keys, declared)
 
 
@@ -285,7 +286,7 @@ def discover_edges(spark, sf_dir):
 def column_rows(spark, sf_dir, names, with_examples):
     """Schema rows in the shape the renderers take; keys are the first columns."""
     opened = tables(spark, sf_dir, names)
-    order = spark.createDataFrame(list(enumerate(names)), "table_order int, table string")
+    order = local_frame(spark, enumerate(names), "table_order int, table string")
     rows = profile.schema_inventory(spark, opened).join(order, "table")
     rows = rows.withColumns(
         {
@@ -305,8 +306,8 @@ RENDERED = ["region", "nation", "customer", "supplier", "part", "orders"]
 
 def edge_rows(spark, names, implied=False):
     rows = [(i, *e, implied) for i, e in enumerate(EDGES) if e[0] in names]
-    return spark.createDataFrame(
-        rows, "position int, table string, column string, to_table string, to_column string, implied boolean"
+    return local_frame(
+        spark, rows, "position int, table string, column string, to_table string, to_column string, implied boolean"
     )
 
 
