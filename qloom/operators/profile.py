@@ -101,12 +101,23 @@ def null_fraction(name: str, df: DataFrame, keep_zero: bool = False) -> DataFram
     return stats.select(F.lit(name).alias("table"), "column", "nulls", F.round("null_frac", 3).alias("null_frac"))
 
 
+def counting_key(value: Column) -> Column:
+    """Text that stands for a value while it is counted. A long value goes as the
+    part that is ever shown and the hash of all of it, so documents are told apart
+    by their whole text without being shuffled."""
+    short = F.concat(F.substring(value, 1, TEXT_MAX), F.md5(value))
+    return F.when(F.length(value) > TEXT_MAX + 32, short).otherwise(value)
+
+
 def value_frequencies(name: str, df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(table, column, value as text, n), NULLs left out: every scalar column is
     unpivoted and counted with partial aggregation before the one shuffle."""
     columns = list(columns or scalar_columns(df))
     cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]
+        *[
+            F.struct(F.lit(c).alias("column"), counting_key(F.col(f"`{c}`").cast("string")).alias("value"))
+            for c in columns
+        ]
     )
     return (
         df.select(F.inline(cells))
@@ -150,7 +161,12 @@ def most_common_values(name: str, df: DataFrame, k: int = 10, columns: Sequence[
         value_frequencies(name, df, columns), ["table", "column"], [F.desc("n"), F.col("value")], k, "rank"
     )
     return frequent.withColumn("rows", total).select(
-        "table", "column", "rank", "value", "n", F.round(F.col("n") / F.col("rows"), 6).alias("freq")
+        "table",
+        "column",
+        "rank",
+        text.truncate_text(F.col("value"), TEXT_MAX).alias("value"),
+        "n",
+        F.round(F.col("n") / F.col("rows"), 6).alias("freq"),
     )
 
 
@@ -296,28 +312,33 @@ def sketched_distinct(column: Column, log_buckets: int = 12) -> Column:
 def discover_keys(tables: Tables, max_share_missing: float = 0.1) -> DataFrame:
     """(table, column) of columns without NULLs whose values are all distinct.
 
-    A sketch rules out columns that are clearly repeated; the rest are counted
-    exactly, value by value.
+    One sketch job over all tables rules out columns that are clearly repeated; it
+    returns a row per column of the schema. The rest are counted exactly, value
+    by value.
     """
-    frames = []
+    sketches = []
     for name, df in tables.items():
         columns = scalar_columns(df)
-        sketch = df.agg(
-            F.count(F.lit(1)).alias("__rows"),
-            *[sketched_distinct(F.col(f"`{c}`")).alias(c) for c in columns],
-            *[F.count(F.col(f"`{c}`")).alias(f"{c}/n") for c in columns],
-        ).first()
-        rows = sketch["__rows"]
-        likely = [
-            c for c in columns if rows and sketch[f"{c}/n"] == rows and sketch[c] >= rows * (1 - max_share_missing)
-        ]
-        for c in likely:
-            repeats = df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1)
-            frames.append(
-                repeats.agg(F.count(F.lit(1)).alias("repeats"))
-                .filter(F.col("repeats") == 0)
-                .select(F.lit(name).alias("table"), F.lit(c).alias("column"))
-            )
+        measures: dict[str, Column] = {}
+        for c in columns:
+            ref = F.col(f"`{c}`")
+            measures[f"{c}/rows"] = F.count(F.lit(1))
+            measures[f"{c}/filled"] = F.count(ref)
+            measures[f"{c}/distinct_values"] = sketched_distinct(ref)
+        sketches.append(_per_column(df, columns, measures).withColumn("table", F.lit(name)))
+    enough = F.col("distinct_values") >= F.col("rows") * (1 - max_share_missing)
+    likely = union_all(sketches).filter((F.col("rows") > 0) & (F.col("filled") == F.col("rows")) & enough)
+
+    frames = []
+    for row in likely.select("table", "column").collect():
+        counts = tables[row.table].groupBy(row.column).agg(F.count(F.lit(1)).alias("n"))
+        frames.append(
+            counts.filter("n > 1")
+            .limit(1)
+            .agg(F.count(F.lit(1)).alias("repeats"))
+            .filter(F.col("repeats") == 0)
+            .select(F.lit(row.table).alias("table"), F.lit(row.column).alias("column"))
+        )
     spark = next(iter(tables.values())).sparkSession
     return union_all(frames) if frames else local_frame(spark, [], "table string, column string")
 

@@ -279,6 +279,15 @@ def test_value_domain_lists_or_samples(spark):
     assert got == {"few": ("all_values", 15), "many": ("sample_values", 5), "nested": ("error", 1), "absent": ("error", 1)}
 
 
+def test_long_texts_are_told_apart_by_their_ends(rows):
+    stem = "x" * 300
+    df = rows([(stem + "a",), (stem + "b",), (stem + "b",), ("short",)], "t string")
+    assert profile.n_distinct("t", df).first().distinct_values == 3
+    top = profile.most_common_values("t", df, 1).first()
+    assert (top.value, top.n) == ("x" * 120 + "...", 2)
+    assert profile.value_domain("t", df).first()["values"] == ["short", "x" * 120 + "...", "x" * 120 + "..."]
+
+
 def test_sketch_profile_is_close(spark):
     df = spark.range(20000).select(F.col("id"), (F.col("id") % 7).cast("string").alias("s"))
     got = {r.column: r for r in profile.profile_columns("t", df).collect()}
