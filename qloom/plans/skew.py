@@ -14,7 +14,7 @@ HOT_ROWS = int(MIN_SAMPLED_ROWS / SAMPLE_FRACTION)
 SPREAD = 1024
 
 _HOT = "__hot"
-_SALT = "__salt"
+_ROUTE = "__route"
 _FOUND = "__found"
 
 
@@ -45,14 +45,16 @@ def lookup_join(
     """Join ``facts`` to ``lookup`` (one row per key) without a hot reducer.
 
     Rows of hot keys meet their lookup rows through a broadcast of at most
-    ``HOT_KEYS`` rows and are then spread over ``SPREAD`` salts, where they match
-    nothing; all other rows take an ordinary shuffle join. ``how`` is ``left``,
+    ``HOT_KEYS`` rows and are then spread over ``SPREAD`` routes, where they match
+    nothing new; all other rows take an ordinary shuffle join. ``how`` is ``left``,
     ``inner``, ``left_semi`` or ``left_anti``. ``hot`` gives the hot keys when
     the caller knows them more cheaply than a sample of ``facts`` tells.
     """
     on = list(on)
     payload = [c for c in lookup.columns if c not in on]
-    flagged = lookup.withColumn(_FOUND, F.lit(True))
+    # One key type on both sides, since the route is a hash of the key.
+    typed = lookup.withColumns({c: F.col(c).cast(facts.schema[c].dataType) for c in on})
+    flagged = typed.withColumn(_FOUND, F.lit(True))
 
     if hot is None:
         hot = hot_keys(row_sample(facts.select(*on)), on)
@@ -62,15 +64,15 @@ def lookup_join(
         *[F.col(c).alias(f"{c}{_HOT}") for c in payload],
         F.coalesce(F.col(_FOUND), F.lit(False)).alias(f"{_FOUND}{_HOT}"),
     )
-    # NULL keys match nothing, so they are spread as well.
+    # NULL keys match nothing, so they are spread as well. The route is computed from
+    # the key on both sides: a constant would be folded away and spread nothing.
     settled = F.col(f"{_FOUND}{_HOT}").isNotNull()
     for column in on:
         settled = settled | F.col(column).isNull()
     spread = 1 + F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns if _hashable(facts, c)]), F.lit(SPREAD))
-    routed = facts.join(F.broadcast(hot_rows), on, "left").withColumn(
-        _SALT, F.when(settled, spread).otherwise(F.lit(0).cast("bigint"))
-    )
-    joined = routed.join(flagged.withColumn(_SALT, F.lit(0).cast("bigint")), [*on, _SALT], "left")
+    route = F.xxhash64(*on)
+    routed = facts.join(F.broadcast(hot_rows), on, "left").withColumn(_ROUTE, F.when(settled, spread).otherwise(route))
+    joined = routed.join(flagged.withColumn(_ROUTE, route), [*on, _ROUTE], "left")
     found = F.coalesce(F.col(f"{_FOUND}{_HOT}"), F.col(_FOUND), F.lit(False))
 
     if how == "left_anti":

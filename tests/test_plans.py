@@ -41,6 +41,30 @@ def test_lookup_join_equals_plain_join(spark, skewed, how, hot, monkeypatch):
     assert got == want
 
 
+def test_hot_rows_leave_their_reducer(spark, skewed, monkeypatch):
+    monkeypatch.setattr(skew, "SAMPLE_FRACTION", 1.0)
+    monkeypatch.setattr(skew, "MIN_SAMPLED_ROWS", 500)
+    lookup = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {name: spark.conf.get(name) for name in off}
+    for name, value in off.items():
+        spark.conf.set(name, value)
+    try:
+        joined = lookup_join(skewed, lookup, ["k"]).withColumn("part", F.spark_partition_id())
+        sizes = {r.part: r["count"] for r in joined.filter("k = 7").groupBy("part").count().collect()}
+        nulls = joined.filter("k IS NULL").select("part").distinct().count()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(sizes) == 8 and max(sizes.values()) < 300 and nulls > 1
+    assert sum(sizes.values()) == skewed.filter("k = 7").count()
+
+
+def test_lookup_keys_of_another_width_still_match(spark, skewed):
+    narrow = spark.range(40).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("v"))
+    assert lookup_join(skewed, narrow, ["k"], "inner").count() == skewed.filter("k IS NOT NULL").count()
+
+
 def test_order_statistics_match_sorting(spark):
     rng = random.Random(5)
     data = [("hot", rng.choice([1.5, rng.random()])) for _ in range(2500)] + [("cold", float(i)) for i in range(7)] + [("cold", None)]
