@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qloom.functions.binding import let
-from qloom.plans import cut_lineage
+from qloom.plans import cut_lineage, lookup_join
 
 
 def shingles(column: Column, n: int = 4) -> Column:
@@ -63,7 +63,10 @@ def ngram_overlap(
     candidates = held.join(probes, "__g").select(train_id, eval_id).distinct()
 
     # A candidate brings its item's n-grams (bounded by one text) and looks each up.
-    probe_rows = candidates.join(items, eval_id).select(train_id, eval_id, "total", F.explode("__grams").alias("__g"))
+    # An item that very many texts copied is a hot key here.
+    probe_rows = lookup_join(candidates, items, [eval_id], "inner").select(
+        train_id, eval_id, "total", F.explode("__grams").alias("__g")
+    )
     shared = (
         probe_rows.join(held, [train_id, "__g"], "left_semi")
         .groupBy(train_id, eval_id, "total")
