@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qloom.llm import packing, tokens, urls
+from qloom.llm import exact, near, packing, tokens, urls
 from qloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,17 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query(
+    "op1_exact_duplicates",
+    """WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+sha256(t) AS text_sha256 FROM n WINDOW g AS (PARTITION BY t)""",
+)
+def exact_duplicates(spark, sf_dir):
+    return exact.exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 @query("op7_pack_sequences")
 def pack_sequences(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"), word_vocabulary())
@@ -71,3 +82,22 @@ strict_hits, soft_hits FROM c""",
 )
 def filter_urls(spark, sf_dir):
     return urls.filter_urls(read_table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op9_near_duplicates",
+    r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN [w[1]]
+ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION
+SELECT r.doc_id, e.b FROM r JOIN (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) e ON r.other = e.a),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept
+FROM c LEFT JOIN n ON c.doc_id = n.doc_id""",
+)
+def near_duplicates(spark, sf_dir):
+    return near.near_duplicates(read_table(spark, sf_dir, "documents"))
