@@ -104,7 +104,7 @@ class PreTokens:
             try:
                 yield b"".join([cache[t] for t in tokens])
             except KeyError:
-                missing = list(set(tokens) - cache.keys())
+                missing = [t for t in set(tokens) if t not in cache]
                 if len(cache) + len(missing) > CACHE_ENTRIES:
                     cache.clear()
                     missing = list(set(tokens))
