@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qloom.llm import exact, language, near, packing, tokens, urls
+from qloom.llm import exact, language, near, packing, pii, tokens, urls
 from qloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def predict_languages(spark, sf_dir):
     return language.predict_languages(read_table(spark, sf_dir, "documents"))
 
 
+@query("op5_personal_data")
+def personal_data(spark, sf_dir):
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 @query("op7_pack_sequences")
 def pack_sequences(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"), word_vocabulary())
