@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qloom.llm import exact, language, near, packing, pii, tokens, urls
+from qloom.llm import decontam, exact, language, near, packing, pii, tokens, urls
 from qloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ def personal_data(spark, sf_dir):
     return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
 
 
+@query("op6_benchmark_passages")
+def benchmark_passages(spark, sf_dir):
+    return decontam.find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_pack_sequences")
 def pack_sequences(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"), word_vocabulary())
