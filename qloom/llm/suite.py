@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qloom.llm import decontam, exact, language, near, packing, pii, tokens, toxicity, urls
+from qloom.llm import decontam, exact, language, near, packing, passages, pii, tokens, toxicity, urls
 from qloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def predict_languages(spark, sf_dir):
     return language.predict_languages(read_table(spark, sf_dir, "documents"))
 
 
+@query("op3_repeated_passages")
+def repeated_passages(spark, sf_dir):
+    return passages.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 @query("op4_toxicity")
 def score_toxicity(spark, sf_dir):
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
