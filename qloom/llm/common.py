@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
@@ -84,3 +84,26 @@ def text_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         end = min(end, rows)
         yield row, end, whole[ends[row] : ends[end]], ends[row : end + 1] - ends[row]
         row = end
+
+
+def keep_rows(docs: DataFrame, decide: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """Rows of ``docs``, all columns as they are, whose text is approved of where it is
+    read; no row is moved. ``decide`` is called once per task and gives a function from
+    texts (NULL as empty) to flags."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        approve = decide()
+        for batch in batches:
+            texts = pc.fill_null(batch.column(at), "")
+            yield batch.filter(pa.array(approve(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is among ``ids``, all columns as they are. Of
+    rows repeated with id and text one is kept; a NULL id is never among them."""
+    held = docs.join(ids.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct(), "doc_id", "left_semi")
+    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    return held.withColumn("__copy", F.row_number().over(copies)).filter("__copy = 1").drop("__copy")

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qloom.llm.common import documents_of, text_chunks
+from qloom.llm.common import documents_of, keep_rows, text_chunks
 from qloom.llm.words import NOT_ALNUM, Hasher, Words, find_words, mix, seeded
 
 #: Items searched for in one pass; more go in blocks of this size, a pass each.
@@ -311,15 +311,46 @@ def find_passages(
     strings. Candidates are verified by exact edit distance. The
     items of one block are broadcast; a larger benchmark is searched in blocks.
     """
-    spark = docs.sparkSession
+    found = [_search(docs, shared) for shared in broadcast_blocks(docs, benchmark, share, block_items)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def broadcast_blocks(docs: DataFrame, benchmark: DataFrame, share: float, block_items: int) -> Iterator:
+    """The index of each block of items, broadcast."""
     wanted = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text IS NOT NULL")
     blocks = max(1, math.ceil(wanted.count() / block_items))
-    found = []
     for block in range(blocks):
         part = wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").toArrow()
         index = Index(part.column("item_id").to_pylist(), part.column("text").to_pylist(), share)
-        found.append(_search(docs, spark.sparkContext.broadcast(vars(index))))
-    return reduce(DataFrame.unionByName, found)
+        yield docs.sparkSession.sparkContext.broadcast(vars(index))
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, block_items: int = BLOCK_ITEMS
+) -> DataFrame:
+    """``docs``, all columns, without the rows that hold an item as ``find_passages`` finds it."""
+    for shared in broadcast_blocks(docs, benchmark, share, block_items):
+        docs = keep_rows(docs, _free_of(shared))
+    return docs
+
+
+def _free_of(shared):
+    def decide():
+        index, hasher = Index.__new__(Index), Hasher()
+        vars(index).update(shared.value)
+
+        def approve(texts: pa.Array) -> np.ndarray:
+            good = np.ones(len(texts), bool)
+            for first, _, data, offsets in text_chunks(pc.utf8_lower(texts), CHUNK):
+                words = split(data, offsets)
+                hashes = hasher.ranges(hasher.prefix(data), words.starts, words.ends)
+                for row, *_ in index.matches(hashes, words.rows):
+                    good[first + row] = False
+            return good
+
+        return approve
+
+    return decide
 
 
 def _search(docs: DataFrame, shared) -> DataFrame:

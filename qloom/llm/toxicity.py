@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qloom.llm import crf
-from qloom.llm.common import documents_of, fold_of, text_chunks
+from qloom.llm.common import documents_of, fold_of, keep_rows, text_chunks
 from qloom.llm.decontam import split
 from qloom.llm.words import Hasher, Words, seeded, sentence_starts
 
@@ -284,6 +284,26 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     return documents_of(docs).mapInArrow(score, schema)
 
 
+def reject_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs``, all columns, without the rows that score ``threshold`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
+
+    def decide():
+        own, hasher = Model(*shared.value), Hasher()
+
+        def approve(texts: pa.Array) -> np.ndarray:
+            good = np.ones(len(texts), bool)
+            for first, end, data, offsets in text_chunks(pc.utf8_lower(texts)):
+                tokens = tokens_of(data, offsets, hasher)
+                x = sums_of(mark(tokens, own.weights, own.transition), tokens.words.rows)
+                good[first:end] = probability(x, own.document) < threshold
+            return good
+
+        return approve
+
+    return keep_rows(docs, decide)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from two folds of three, score every row: doc_id, held_out, score, predicted, spans.
 
