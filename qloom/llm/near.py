@@ -127,16 +127,30 @@ def prints_of(docs: DataFrame, size: int) -> DataFrame:
 
 
 def star_edges(members: DataFrame, key: str, node: str) -> DataFrame:
-    """Distinct (a, b) edges from the smallest node of each key to its other nodes.
+    """Candidates (a, b, first) from stars within each key.
 
-    Keys of one node only drop out after a map-side minimum and maximum.
+    ``first`` marks edges from the smallest node of a key, which is mostly the same one in
+    all keys of a group. The others come from two nodes that each key draws by a
+    hash, so a node meets other ones in every key. Keys of one node only drop out
+    after map-side minima and maxima; a key of n nodes gives 3 (n - 1) edges at most.
     """
-    ranges = members.groupBy(key).agg(F.min(node).alias("a"), F.max(node).alias("z")).filter("a <> z")
+    drawn = F.xxhash64(node, key)
+    centers = (
+        members.groupBy(key)
+        .agg(
+            F.min(node).alias("a"),
+            F.max(node).alias("z"),
+            F.min_by(node, drawn).alias("p"),
+            F.max_by(node, drawn).alias("q"),
+        )
+        .filter("a <> z")
+    )
+    rays = F.array(*[F.struct(F.col(c).alias("center"), F.lit(c == "a").alias("first")) for c in ("a", "p", "q")])
+    met = members.join(centers.select(key, rays.alias("rays")), key).select(node, F.inline("rays"))
     return (
-        members.join(ranges.select(key, "a"), key)
-        .filter(F.col(node) != F.col("a"))
-        .select("a", F.col(node).alias("b"))
-        .distinct()
+        met.filter(F.col(node) != F.col("center"))
+        .groupBy(F.least(node, "center").alias("a"), F.greatest(node, "center").alias("b"))
+        .agg(F.max("first").alias("first"))
     )
 
 
@@ -175,9 +189,10 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     table gives an empty table; other columns are ignored.
 
     Equal sets are one class from the start. Between classes, candidates share a
-    band of the sketch; each bucket gives a star around its smallest
-    class, so n members cost n - 1 candidates, and every candidate is checked on
-    the full sets (64-bit hashes of all shingles).
+    band of the sketch. Each bucket gives a star around its smallest class; what these
+    leave apart is tried again with stars around two classes that each bucket draws, so n
+    members cost 3 (n - 1) candidates at most. Every candidate is checked on the full sets
+    (64-bit hashes of all shingles).
     """
     prints = stored(prints_of(docs, size))
     signature = ["n_shingles", "sig1", "sig2"]
@@ -186,8 +201,18 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     banded = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     buckets = banded.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
     candidates = stored(star_edges(buckets, "band", "node"))
-    links = confirmed(candidates, docs, size, percent).distinct()
-    labels = connected_components(links).withColumnRenamed("node", "rep")
+    links = confirmed(candidates.filter("first").select("a", "b"), docs, size, percent).distinct()
+    labels = stored(connected_components(links))
+    # Of the other candidates those count that would join two groups.
+    ends = [labels.select(F.col("node").alias(n), F.col("component").alias(f"label_{n}")) for n in ("a", "b")]
+    others = candidates.filter("not first").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    others = others.select("a", "b", F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y"))
+    others = stored(others.filter("x <> y"))
+    joining = confirmed(others.select("a", "b"), docs, size, percent).join(others, ["a", "b"])
+    merged = connected_components(joining.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    labels = classes.select("rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    labels = labels.select("rep", F.coalesce("component", "rep").alias("node"))
+    labels = labels.join(merged, "node", "left").select("rep", F.coalesce("component", "node").alias("component"))
     named = classes.join(labels, "rep", "left").select(
         *signature, F.coalesce("component", "rep").alias("component_id")
     )
