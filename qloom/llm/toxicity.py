@@ -29,6 +29,10 @@ LONGEST_CHAIN = 128
 RATIO, SHARE, SUPPORT = 6.0, 0.01, 4
 #: Tokens that explain a toxic text.
 NEED = 2
+#: Words added to a text when its density is taken, so a few words are no evidence.
+FILL = 50
+#: Marginals below this one add up to nothing, however long a text is.
+FLOOR = 0.15
 MOST_CHAINS = 30_000
 
 
@@ -71,15 +75,15 @@ class Model(NamedTuple):
 
 def sums_of(marginal: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """(rows, 3): log(1 + expected toxic tokens), the largest marginal, and log(1 + expected
-    toxic tokens of a hundred); 0 without words."""
+    toxic tokens of a hundred), where a text counts as ``FILL`` words longer; 0 without words."""
     out = np.zeros((len(rows) - 1, 3))
     sizes = np.diff(rows)
     some = np.flatnonzero(sizes)
     if len(some):
-        expected = np.add.reduceat(marginal, rows[some])
+        expected = np.add.reduceat(np.where(marginal >= FLOOR, marginal, 0.0), rows[some])
         out[some, 0] = np.log1p(expected)
         out[some, 1] = np.maximum.reduceat(marginal, rows[some])
-        out[some, 2] = np.log1p(100 * expected / sizes[some])
+        out[some, 2] = np.log1p(100 * expected / (sizes[some] + FILL))
     return out
 
 
