@@ -19,7 +19,7 @@ from qloom.llm.words import Hasher, Words, seeded, sentence_starts
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Labelled rows of each class the model is fitted on, drawn by a hash of the id.
-SAMPLE_PER_CLASS = 3000
+SAMPLE_PER_CLASS = 2000
 BITS = 18
 #: Beginnings of words that are features beside the word, in bytes.
 BEGINNINGS = (4, 5, 6, 7, 8)
