@@ -24,7 +24,12 @@ WHITESPACE = " \t\n\r\f\v"
 BLOCK_COMMENT = r"(?s)/\*.*?\*/"
 LINE_COMMENT = r"--[^\n]*"
 COMMENT_OR_LITERAL = r"(?s)/\*.*?\*/|--[^\n]*|'[^']*'"
-COMMENT_LITERAL_OR_NAME = COMMENT_OR_LITERAL + r'|"[^"]*"'
+COMMENT_LITERAL_OR_NAME = COMMENT_OR_LITERAL + r'|"[^"]*"|`[^`]*`'
+QUERY_START = r"(?i)^[\s(]*(?:select|with)\b"
+# FROM that names no table.
+FROM_IN_CALL = r"(?i)\b((?:extract|trim|substring|overlay)\s*\([^()]*?)\bfrom\b"
+DISTINCT_FROM = r"(?i)\bis\s+(?:not\s+)?distinct\s+from\b"
+QUOTED_NAME = r"[`\"]([A-Za-z_]\w*)[`\"]"
 DANGLING_ENDS = ("WHERE", "JOIN", "FROM", "ON", "AND", "OR")
 WRITE_VERBS = ("DROP", "DELETE", "UPDATE", "CREATE", "INSERT", "ALTER")
 LEAK_KEY_STEPS = (
@@ -47,7 +52,7 @@ NOT_AN_ALIAS = (
     "group", "order", "having", "limit", "offset", "union", "intersect", "except",
 )
 TABLE_REFERENCE = (
-    r'(?i)\b(?:from|join)\s+"?([a-z_]\w*)"?(?:\s+(?:as\s+)?"?(?!(?:' + "|".join(NOT_AN_ALIAS) + r')\b)([a-z_]\w*)"?)?'
+    r'(?i)\b(?:from|join)\s+(?:[a-z_]\w*\.)*"?([a-z_]\w*)"?(?:\s+(?:as\s+)?"?(?!(?:' + "|".join(NOT_AN_ALIAS) + r')\b)([a-z_]\w*)"?)?'
 )
 COLUMN_EQUALITY = r"(?i)\b([a-z_]\w*)\.([a-z_]\w*)\s*=\s*([a-z_]\w*)\.([a-z_]\w*)"
 QUALIFIED_COLUMN = r"(?i)\b([a-z_]\w*)\.([a-z_]\w*)"
@@ -121,10 +126,18 @@ def without_literals(sql: Column) -> Column:
     return _drop(sql, COMMENT_OR_LITERAL, " ")
 
 
+def statement_text(sql: Column) -> Column:
+    """What names of tables and columns are looked for in: no comments and literals,
+    plain names without their quotes, and no FROM but those that name a table."""
+    bare = _drop(without_literals(sql), QUOTED_NAME, "$1")
+    return _drop(_drop(bare, DISTINCT_FROM, "<>"), FROM_IN_CALL, "$1 ")
+
+
 def is_read_only(sql: Column) -> Column:
-    """No writing verb outside comments, literals and quoted names."""
+    """A query: it starts with SELECT or WITH and has no writing verb outside comments,
+    literals and quoted names."""
     bare = _drop(sql, COMMENT_LITERAL_OR_NAME, " ")
-    return ~bare.rlike(r"(?i)\b(?:" + "|".join(WRITE_VERBS) + r")\b")
+    return bare.rlike(QUERY_START) & ~bare.rlike(r"(?i)\b(?:" + "|".join(WRITE_VERBS) + r")\b")
 
 
 def is_valid(sql: Column) -> Column:
@@ -186,7 +199,7 @@ def _references(bare: Column) -> Column:
 
 def table_references(sql: Column) -> Column:
     """array<struct<alias, name>>: each table under its name and under its alias."""
-    return let(without_literals(sql), _references)
+    return let(statement_text(sql), _references)
 
 
 def _tables(bare: Column) -> Column:
@@ -196,7 +209,7 @@ def _tables(bare: Column) -> Column:
 
 def accessed_tables(sql: Column) -> Column:
     """Sorted, lower-cased, distinct table names."""
-    return _tables(without_literals(sql))
+    return _tables(statement_text(sql))
 
 
 def resolve_alias(references: Column, alias: Column) -> Column:
@@ -234,7 +247,7 @@ def join_keys(sql: Column) -> Column:
             ),
         )
 
-    return let(without_literals(sql), keys)
+    return let(statement_text(sql), keys)
 
 
 def used_names(sql: Column, known_columns: Column) -> Column:
@@ -245,7 +258,7 @@ def used_names(sql: Column, known_columns: Column) -> Column:
         mentioned = F.array_intersect(known_columns, F.regexp_extract_all(bare, F.lit(WORD), F.lit(0)))
         return F.struct(_tables(bare).alias("tables"), F.array_sort(mentioned).alias("columns"))
 
-    return let(without_literals(sql), names)
+    return let(statement_text(sql), names)
 
 
 def words(sql: Column) -> Column:
@@ -265,7 +278,7 @@ def qualified_columns(sql: Column) -> Column:
 
         return F.array_distinct(F.filter(let(_references(bare), named), lambda r: r.isNotNull()))
 
-    return let(without_literals(sql), resolved)
+    return let(statement_text(sql), resolved)
 
 
 def truncate_text(value: Column, limit: int = 120) -> Column:

@@ -17,7 +17,6 @@ from qloom.plans import (
     lookup_join,
     most_rows,
     row_sample,
-    top_per_group,
 )
 
 KEPT = "kept"
@@ -45,7 +44,10 @@ def filter_pairs(pairs: DataFrame, position: str = "pair_id") -> DataFrame:
             "__trivial": text.is_trivial(F.col("sql")),
         }
     )
-    sound = F.col("parse_ok") & ~F.col("__trivial") & F.col("exec_ok") & (F.col("row_count") > 0)
+    # What is not known to have been parsed or run has not.
+    parsed = F.coalesce("parse_ok", F.lit(False))
+    ran = F.coalesce("exec_ok", F.lit(False)) & F.col("row_count").isNotNull()
+    sound = parsed & ~F.col("__trivial") & ran & (F.col("row_count") > 0)
     texts = judged.groupBy("__fp").agg(
         F.min(F.when(sound, F.col(position))).alias("__first"), F.count(F.lit(1)).alias("__n")
     )
@@ -53,10 +55,10 @@ def filter_pairs(pairs: DataFrame, position: str = "pair_id") -> DataFrame:
     hot = most_rows(texts, ["__fp"], "__n", HOT_ROWS)
     placed = lookup_join(judged, texts.drop("__n"), ["__fp"], hot=hot)
     reason = (
-        F.when(~F.col("parse_ok"), UNPARSABLE)
+        F.when(~parsed, UNPARSABLE)
         .when(F.col("__trivial"), TRIVIAL)
         .when(F.col("__first") < F.col(position), DUPLICATE)
-        .when(~F.col("exec_ok"), FAILS)
+        .when(~ran, FAILS)
         .when(F.col("row_count") == 0, EMPTY)
         .otherwise(KEPT)
     )
@@ -127,18 +129,16 @@ def drop_leaks(train: DataFrame, eval_set: DataFrame) -> DataFrame:
     return _against(train, eval_keys(eval_set).drop("question_id"), "left_anti")
 
 
-def leak_report(train: DataFrame, eval_set: DataFrame, shown: int = 5) -> DataFrame:
-    """Contaminated questions: how many training pairs hit each, and the first
-    ``shown`` of their questions. The complete list is ``find_leaks``."""
+def leak_report(train: DataFrame, eval_set: DataFrame) -> DataFrame:
+    """(question_id, pair_id, train_question): every training pair that hits a contaminated question."""
     leaks = find_leaks(train.select("pair_id", "db_id", "question", "sql"), eval_set)
-    hits = leaks.groupBy("question_id").agg(F.count(F.lit(1)).alias("train_hits"))
-    first = top_per_group(leaks.select("question_id", "pair_id", "question"), ["question_id"], [F.col("pair_id")], shown)
-    listed = first.groupBy("question_id").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("pair_id", "question"))), lambda s: s["question"]), " | "
-        ).alias("train_questions")
-    )
-    return hits.join(listed, "question_id")
+    return leaks.select("question_id", "pair_id", F.col("question").alias("train_question"))
+
+
+def leak_counts(train: DataFrame, eval_set: DataFrame) -> DataFrame:
+    """(question_id, train_hits): how many training pairs hit each contaminated question."""
+    leaks = find_leaks(train.select("pair_id", "db_id", "sql"), eval_set)
+    return leaks.groupBy("question_id").agg(F.count(F.lit(1)).alias("train_hits"))
 
 
 def leak_totals(train: DataFrame, eval_set: DataFrame) -> DataFrame:

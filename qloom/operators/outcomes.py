@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import InheritableThread
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,7 +45,7 @@ def run_candidates(
     """Run read-only statements and record how each one ended.
 
     The driver submits statements, at most ``concurrency`` at a time; each runs
-    distributed and only its row count comes back. A statement over the time
+    distributed, computes all its columns, and only its row count comes back. A statement over the time
     limit is cancelled by its job tag.
     """
     statements = list(statements)
@@ -66,8 +66,13 @@ def run_candidates(
         context.addJobTag(tag)
         timer.start()
         try:
+            # Every column is computed: a bare count would let the optimizer drop the select list.
             frame = spark.sql(sql)
-            n = frame.count()
+            counted = Observation()
+            cells = [f"c{i}" for i in range(len(frame.columns))]
+            whole = frame.toDF(*cells).observe(counted, F.count(F.lit(1)).alias("n"))
+            whole.write.format("noop").mode("overwrite").save()
+            n = counted.get["n"]
         except Exception as exc:
             reason = "timeout" if timed_out.is_set() else (str(exc).splitlines() or [type(exc).__name__])[0][:150]
             return statement_id, ERROR, None, None, reason
@@ -108,6 +113,23 @@ def _family(data_type: T.DataType) -> str:
     return data_type.typeName()
 
 
+def _decimal_of(data_type: T.DataType) -> T.DecimalType:
+    return data_type if isinstance(data_type, T.DecimalType) else T.DecimalType(19, 0)
+
+
+def _exact(own: T.DataType, column: Column, other: T.DataType) -> Column:
+    """Decimals and whole numbers under one exact form: a decimal wide enough for both,
+    or their digits as text where none is."""
+    mine, theirs = _decimal_of(own), _decimal_of(other)
+    scale = max(mine.scale, theirs.scale)
+    whole = max(mine.precision - mine.scale, theirs.precision - theirs.scale)
+    number = column.cast("bigint") if isinstance(own, T.BooleanType) else column
+    if whole + scale <= 38:
+        return number.cast(T.DecimalType(whole + scale, scale))
+    digits = number.cast(T.DecimalType(38, mine.scale)).cast("string")
+    return F.regexp_replace(digits, r"(?<=\.\d{0,40})0+$|\.0*$", "") if mine.scale else digits
+
+
 def _comparable_pair(left: T.DataType, right: T.DataType, l_col: Column, r_col: Column, strict: bool):
     """Two columns brought to one type under which equal Python values are equal."""
     families = {_family(left), _family(right)} - {"null"}
@@ -120,11 +142,12 @@ def _comparable_pair(left: T.DataType, right: T.DataType, l_col: Column, r_col:
         exact = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
         if isinstance(left, exact) and isinstance(right, exact):
             return l_col.cast("bigint"), r_col.cast("bigint")
+        fraction = (T.FloatType, T.DoubleType)
+        if not isinstance(left, fraction) and not isinstance(right, fraction):
+            return _exact(left, l_col, right), _exact(right, r_col, left)
         if strict and isinstance(left, T.DecimalType) != isinstance(right, T.DecimalType):
-            fraction = T.FloatType, T.DoubleType
-            if isinstance(left, fraction) or isinstance(right, fraction):
-                # 0.1 as decimal is not 0.1 as binary fraction.
-                return l_col.cast("double").cast("decimal(38,30)"), r_col.cast("double").cast("decimal(38,30)")
+            # 0.1 as decimal is not 0.1 as binary fraction.
+            return l_col.cast("double").cast("decimal(38,30)"), r_col.cast("double").cast("decimal(38,30)")
         return l_col.cast("double"), r_col.cast("double")
     if families == {"map"}:
         return F.sort_array(F.map_entries(l_col)), F.sort_array(F.map_entries(r_col))

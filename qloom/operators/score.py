@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from qloom.functions import text
 from qloom.operators.outcomes import AMBIGUOUS
-from qloom.plans import lookup_join, order_statistics, top_per_group
+from qloom.plans import lookup_join, order_statistics
 
 DIFFICULTIES = ("simple", "moderate", "challenging")  # fixed values
 
@@ -269,9 +269,3 @@ def learning_curve(board: DataFrame, size: Column) -> DataFrame:
     return steps.select(
         "size", F.round("ex_mean", 6).alias("ex"), F.round(F.col("ex_mean") - F.lag("ex_mean").over(order), 6).alias("gain")
     )
-
-
-def first_failures(outcomes: DataFrame, groups: Sequence[str], order: Column, k: int = 20) -> DataFrame:
-    return top_per_group(outcomes, groups, [order], k)
-
-

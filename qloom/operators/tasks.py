@@ -87,9 +87,11 @@ def noise_correction_task(
     same database; the target is the original. Unchanged rows go."""
     def swapped(victim: Column) -> Column:
         others = F.filter("known_columns", lambda c: c != victim)
-        once = F.concat(F.lit(r"(?s)^(.*?)\b"), victim, F.lit(r"\b"))
-        other = _drawn(others, f"{seed}|other", F.col("pair_id"))
-        return F.regexp_replace(F.col("sql"), once, F.concat(F.lit("$1"), other))
+        # The first mention outside literals and comments; the possessive loop never steps back into one.
+        name = F.concat(F.lit(r"\b\Q"), victim, F.lit(r"\E\b"))
+        before = F.concat(F.lit(r"(?s)^((?:'[^']*'|--[^\n]*|/\*.*?\*/|(?!"), name, F.lit(r")[^'])*+)"))
+        other = F.replace(F.replace(_drawn(others, f"{seed}|other", F.col("pair_id")), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+        return F.regexp_replace(F.col("sql"), F.concat(before, name), F.concat(F.lit("$1"), other))
 
     used = F.array_intersect("known_columns", text.words(F.col("sql")))
     broken = let(_drawn(used, f"{seed}|victim", F.col("pair_id")), swapped)

@@ -32,10 +32,13 @@ QUESTION_SCHEMA = T.StructType(
 PREDICTION_FILE = r"query_results_(.+?)(?:_seed(\d+))?\.json"
 
 
-def load_records(spark: SparkSession, path: str | list[str], schema: T.StructType, array_file: bool = True) -> DataFrame:
+def load_records(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, array_file: bool = True, mode: str = "FAILFAST"
+) -> DataFrame:
     """Records of a JSON array file, or of a folder with one record per line, which
-    splits. A missing difficulty becomes ``unknown``."""
-    rows = spark.read.schema(schema).option("multiLine", array_file).json(path)
+    splits. A missing difficulty becomes ``unknown``. A malformed record fails the
+    job, unless ``mode`` asks for NULLs (``PERMISSIVE``)."""
+    rows = spark.read.schema(schema).option("multiLine", array_file).option("mode", mode).json(path)
     if "difficulty" in schema.names:
         rows = rows.withColumn("difficulty", F.coalesce("difficulty", F.lit("unknown")))
     return rows
@@ -51,16 +54,20 @@ def load_predictions(
     spark: SparkSession, paths: str | list[str], whole_file: bool = True, name_pattern: str = PREDICTION_FILE
 ) -> DataFrame:
     """(arm, seed, question_id, sql) of id-to-SQL maps; arm and seed come from the
-    file name. With ``whole_file=False`` each line is a map, so large sets split."""
+    file name. With ``whole_file=False`` each line is a map, so large sets split. A file
+    or line that is no map fails the job and is named; blank ones hold nothing."""
     raw = (
         spark.read.text(paths, wholetext=whole_file, recursiveFileLookup=True)
         .select("value", F.col("_metadata.file_path").alias("__file"))
+        .filter(F.col("value").rlike(r"\S"))
     )
+    parsed = F.from_json("value", "map<string, string>")
+    refused = F.raise_error(F.concat(F.lit("not a map of predictions: "), F.col("__file"))).cast("map<string, string>")
     seed = F.nullif(F.regexp_extract("__file", name_pattern, 2), F.lit("")).cast("int")
     entries = raw.select(
         F.regexp_extract("__file", name_pattern, 1).alias("arm"),
         F.coalesce(seed, F.lit(0)).alias("seed"),
-        F.explode(F.from_json("value", "map<string, string>")).alias("question_id", "__value"),
+        F.explode(F.coalesce(parsed, refused)).alias("question_id", "__value"),
     )
     return entries.select("arm", "seed", "question_id", prediction_text(F.col("__value")).alias("sql"))
 
@@ -116,35 +123,71 @@ def short_sha1(content: Column) -> Column:
 
 
 def fingerprint_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, sha256, sha1): short content hashes, NULL for files that are not there."""
-    wanted = local_frame(spark, [(p,) for p in paths], "path string")
+    """(path, sha256, sha1): short content hashes, NULL for files that are not there. A
+    folder's hashes are those of the sorted list of its files' names and hashes."""
+    wanted = local_frame(spark, [(p, _qualified(spark, p)) for p in paths], "path string, __full string")
     present = [p for p in paths if _exists(spark, p)]
     if not present:
         return wanted.selectExpr("path", "CAST(NULL AS STRING) AS sha256", "CAST(NULL AS STRING) AS sha1")
-    found = (
+    files = (
         spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
         .load(present)
         .select(
-            F.regexp_replace("path", "^file:/*", "/").alias("path"),
-            short_sha256(F.col("content")).alias("sha256"),
-            short_sha1(F.col("content")).alias("sha1"),
+            F.col("path").alias("__file"),
+            F.sha2("content", 256).alias("sha256"),
+            F.sha1("content").alias("sha1"),
         )
     )
-    return wanted.join(found, "path", "left")
+    # The wanted paths are a list the caller wrote down.
+    inside = F.col("__file").startswith(F.concat("__full", F.lit("/")))
+    held = files.join(F.broadcast(wanted), (F.col("__file") == F.col("__full")) | inside)
+    listed = F.struct(F.substr("__file", F.length("__full") + 1).alias("name"), "sha256", "sha1")
+    folded = held.groupBy("path", "__full").agg(
+        F.array_sort(F.collect_list(listed)).alias("__list"), F.bool_or(F.col("__file") == F.col("__full")).alias("__one")
+    )
 
+    def whole(kind: str, hashed) -> Column:
+        rows = F.transform("__list", lambda f: F.concat_ws(":", f["name"], f[kind]))
+        return F.when(F.col("__one"), F.col("__list")[0][kind]).otherwise(hashed(F.array_join(rows, "\n")))
 
-def _exists(spark: SparkSession, path: str) -> bool:
+    found = folded.select(
+        "path",
+        F.substring(whole("sha256", lambda t: F.sha2(t, 256)), 1, 16).alias("sha256"),
+        F.substring(whole("sha1", F.sha1), 1, 12).alias("sha1"),
+    )
+    return wanted.select("path").join(found, "path", "left")
+
+
+def _path(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target, system = _path(spark, path)
+    return system.exists(target)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    target, system = _path(spark, path)
+    return system.makeQualified(target).toString()
 
 
 def table_version(df: DataFrame) -> DataFrame:
-    """(rows, version): a content hash that does not depend on row order. The sum
-    beside the xor keeps copies of a row from cancelling each other."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    """(rows, version): a content hash that does not depend on row order; any engine with
+    md5 can repeat it. A cell is written with its length, NULL in its own way, so
+    no two rows look alike. Sums keep copies of a row from cancelling each other."""
+    cells = [F.col(f"`{c}`").cast("string") for c in df.columns]
+    marked = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cells]
+    row = F.md5(F.concat_ws("|", *marked))
+
+    def total(first: int) -> Column:
+        return F.sum(F.conv(F.substring(row, first, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.concat_ws("-", F.hex(F.bit_xor(row)), F.hex(F.sum(F.shiftrightunsigned(row, 32)))).alias("version"),
+        F.concat_ws("-", F.coalesce(total(1), F.lit("0")), F.coalesce(total(17), F.lit("0"))).alias("version"),
     )
 
 

@@ -96,18 +96,16 @@ def find_leaks(spark, sf_dir):
     return curate.find_leaks(train_rows(spark, sf_dir), asked(spark, sf_dir)).select("pair_id", "db_id", "question_id")
 
 
-@query(
-    "c5_leak_report",
-    f"""WITH {LEAKS},
-r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pair_id) AS rn FROM leaks)
-SELECT question_id, count(*) AS train_hits,
-       string_agg(question, ' | ' ORDER BY pair_id) FILTER (rn <= 5) AS train_questions FROM r GROUP BY question_id""",
-    PE,
-)
+@query("c5_leak_report", f"WITH {LEAKS} SELECT question_id, pair_id, question AS train_question FROM leaks", PE)
 def leak_report(spark, sf_dir):
     return curate.leak_report(train_rows(spark, sf_dir), asked(spark, sf_dir))
 
 
+@query("c5_leak_counts", f"WITH {LEAKS} SELECT question_id, count(*) AS train_hits FROM leaks GROUP BY question_id", PE)
+def leak_counts(spark, sf_dir):
+    return curate.leak_counts(train_rows(spark, sf_dir), asked(spark, sf_dir))
+
+
 @query(
     "c5_leak_totals",
     f"""WITH {LEAKS}

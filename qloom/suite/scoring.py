@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qloom.operators import outcomes, score
+from qloom.operators import curate, outcomes, score
 from qloom.suite import fixtures
+from qloom.suite.curation import LEAKS, asked, train_rows
 from qloom.suite.registry import query, table
 
 # Score, ratio, and per-seed EX/VES, shared by most SQL below.
@@ -287,28 +288,16 @@ def gap_in_sigma(spark, sf_dir):
 
 @query(
     "e16_leak_corrected_scores",
-    f"""WITH {SCORED},
-leaked AS (SELECT DISTINCT e.question_id FROM f_eval e JOIN f_pairs p ON e.db_id = p.db_id
-           AND e.question_id % 4 = 0 AND regexp_extract(e.gold_sql, '=(\\d+)$', 1) = regexp_extract(p.sql, '= (\\d+)', 1)
-           AND p.sql NOT LIKE '%ORDER BY%'
-           WHERE p.pair_id % 2 = 1)
+    f"""WITH {SCORED}, {LEAKS},
+leaked AS (SELECT DISTINCT question_id FROM leaks)
 SELECT arm, count(*) AS n, count(*) FILTER (l.question_id IS NULL) AS n_clean,
        round(100 * avg(CAST(score AS DOUBLE)), 6) AS ex,
        round(coalesce(100 * avg(CAST(score AS DOUBLE)) FILTER (l.question_id IS NULL), 0), 6) AS ex_clean
 FROM scored s LEFT JOIN leaked l USING (question_id) GROUP BY arm""",
-    ("f_scores", "f_pairs"),
+    ("f_scores", "f_pairs", "f_eval"),
 )
 def leak_corrected_scores(spark, sf_dir):
-    # Statements of this shape differ in nothing but the customer number.
-    number = F.regexp_extract("gold_sql", r"=(\d+)$", 1).alias("number")
-    asked = fixtures.eval_set(spark, sf_dir).filter("question_id % 4 = 0").select("question_id", "db_id", number)
-    trained = (
-        fixtures.pairs(spark, sf_dir)
-        .filter((F.col("pair_id") % 2 == 1) & ~F.col("sql").contains("ORDER BY"))
-        .select("db_id", F.regexp_extract("sql", r"= (\d+)", 1).alias("number"))
-        .distinct()
-    )
-    leaked = asked.join(trained, ["db_id", "number"], "left_semi")
+    leaked = curate.find_leaks(train_rows(spark, sf_dir), asked(spark, sf_dir)).select("question_id").distinct()
     return score.leak_corrected_scores(scored(spark, sf_dir), leaked)
 
 
