@@ -28,10 +28,11 @@ OUTCOME_SCHEMA = T.StructType(
 )
 
 
-def guard(spark: SparkSession, statements: Iterable[tuple[str, str]]) -> dict[str, bool]:
-    """Which statements may run at all: complete and read-only."""
+def guard(spark: SparkSession, statements: Iterable[tuple[str, str]], complete: bool = True) -> dict[str, bool]:
+    """Which statements may run at all: read-only ones, and ``complete`` ones if asked for."""
+    allowed = text.is_valid if complete else text.is_read_only
     frame = local_frame(spark, statements, "statement_id string, sql string")
-    checked = frame.select("statement_id", text.is_valid(F.col("sql")).alias("ok"))
+    checked = frame.select("statement_id", allowed(F.col("sql")).alias("ok"))
     return {row.statement_id: row.ok for row in checked.collect()}
 
 
@@ -41,15 +42,18 @@ def run_candidates(
     timeout_seconds: float = 30.0,
     concurrency: int = 8,
     empty_is_error: bool = False,
+    archive: str | None = None,
+    complete: bool = True,
 ) -> DataFrame:
     """Run read-only statements and record how each one ended.
 
     The driver submits statements, at most ``concurrency`` at a time; each runs
     distributed, computes all its columns, and only its row count comes back. A statement over the time
-    limit is cancelled by its job tag.
+    limit is cancelled by its job tag. With ``archive`` the rows of each statement
+    are kept in that shared folder, in the form of ``canonical_row``.
     """
     statements = list(statements)
-    allowed = guard(spark, statements)
+    allowed = guard(spark, statements, complete)
     context = spark.sparkContext
 
     def outcome(statement_id: str, sql: str) -> tuple:
@@ -71,7 +75,10 @@ def run_candidates(
             counted = Observation()
             cells = [f"c{i}" for i in range(len(frame.columns))]
             whole = frame.toDF(*cells).observe(counted, F.count(F.lit(1)).alias("n"))
-            whole.write.format("noop").mode("overwrite").save()
+            if archive is None:
+                whole.write.format("noop").mode("overwrite").save()
+            else:
+                whole.select(canonical_row(whole)).write.mode("overwrite").parquet(f"{archive}/statement={statement_id}")
             n = counted.get["n"]
         except Exception as exc:
             reason = "timeout" if timed_out.is_set() else (str(exc).splitlines() or [type(exc).__name__])[0][:150]
@@ -103,6 +110,101 @@ def run_candidates(
     return local_frame(spark, sorted(rows), OUTCOME_SCHEMA)
 
 
+def canonical_cell(data_type: T.DataType, column: Column) -> Column:
+    """Text under which equal values of any types are equal: 1, 1.0, TRUE and decimal 1 are one
+    number, text is never a number, NULL is NULL."""
+
+    def plain(digits: Column) -> Column:
+        short = F.regexp_replace(F.regexp_replace(digits, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        return F.when(short == "-0", F.lit("0")).otherwise(short)
+
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        printed = column.cast("string")
+        # A printed exponent is written out, as decimals print.
+        small = printed.contains("E") & (F.abs(column) < 1e17)
+        spelled = F.when(small, printed.try_cast("decimal(38,20)").cast("string")).otherwise(printed)
+        text_ = F.concat(F.lit("n"), plain(F.coalesce(spelled, printed)))
+    elif isinstance(data_type, T.DecimalType):
+        text_ = F.concat(F.lit("n"), plain(column.cast(T.DecimalType(38, data_type.scale)).cast("string")))
+    elif isinstance(data_type, T.BooleanType):
+        text_ = F.concat(F.lit("n"), column.cast("int").cast("string"))
+    elif isinstance(data_type, T.NumericType):
+        text_ = F.concat(F.lit("n"), column.cast("string"))
+    elif isinstance(data_type, (T.StringType, T.CharType, T.VarcharType)):
+        text_ = F.concat(F.lit("s"), column)
+    elif isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
+        text_ = F.concat(F.lit("j"), F.to_json(column))
+    elif isinstance(data_type, T.NullType):
+        text_ = F.lit(None).cast("string")
+    else:
+        text_ = F.concat(F.lit(f"{data_type.typeName()} "), column.cast("string"))
+    return F.coalesce(F.concat(F.length(text_).cast("string"), F.lit(":"), text_), F.lit("-"))
+
+
+def canonical_row(df: DataFrame) -> Column:
+    """One text per row; rows of results of any width and types are equal if their texts are."""
+    cells = [canonical_cell(f.dataType, F.col(f"`{f.name}`")) for f in df.schema]
+    return F.concat_ws("|", *cells).alias("row") if cells else F.lit("").alias("row")
+
+
+def evaluate(
+    spark: SparkSession,
+    predictions: Iterable[tuple[str, str, str]],
+    folder: str,
+    timeout_seconds: float = 30.0,
+    concurrency: int = 8,
+) -> DataFrame:
+    """Run gold and predicted statements, compare their rows, score every question.
+
+    ``predictions`` are (id, gold SQL, predicted SQL); ``folder`` is a shared folder for the
+    rows. Returns id, score, equal, error (of the prediction) and gold_error. A statement used
+    by many questions runs once; all comparisons are one job. "ambiguous" must be
+    said by both or neither; where either side fails to run, the score is 0.
+    """
+    asked = list(predictions)
+    said = dict.fromkeys(sql for _, gold, predicted in asked for sql in (gold, predicted) if sql not in (AMBIGUOUS, ERROR))
+    numbers = {sql: str(k) for k, sql in enumerate(said)}
+    ended = run_candidates(
+        spark, [(n, sql) for sql, n in numbers.items()], timeout_seconds, concurrency, archive=folder, complete=False
+    ).select(F.col("statement_id").alias("statement"), "status", F.col("error").alias("said"))
+    pairs = local_frame(
+        spark,
+        [(k, gold, predicted, numbers.get(gold), numbers.get(predicted)) for k, gold, predicted in asked],
+        "id string, gold_sql string, predicted_sql string, gold string, pred string",
+    )
+    sides = pairs.select("id", F.inline(F.array(
+        F.struct(F.lit("gold").alias("side"), F.col("gold").alias("statement")),
+        F.struct(F.lit("pred").alias("side"), F.col("pred").alias("statement")),
+    )))
+    if ended.filter("status = 'success'").isEmpty():
+        rows = local_frame(spark, [], "row string, statement string")
+    else:
+        rows = spark.read.schema("row string, statement string").parquet(folder)
+    results = rows.distinct().join(sides, "statement")
+    compared = batch_result_compare(results, ["row"], "id", questions=pairs)
+
+    def end_of(side: str) -> DataFrame:
+        return ended.select(
+            F.col("statement").alias(side), F.col("status").alias(f"{side}_status"), F.col("said").alias(f"{side}_said")
+        )
+
+    whole = pairs.join(compared, "id").join(end_of("gold"), "gold", "left").join(end_of("pred"), "pred", "left")
+
+    def failed(side: str, sql: str) -> Column:
+        return (F.col(sql) != AMBIGUOUS) & (F.coalesce(f"{side}_status", F.lit(ERROR)) != "success")
+
+    bad_gold, bad_pred = failed("gold", "gold_sql"), failed("pred", "predicted_sql")
+    equal = F.col("equal") & ~bad_gold & ~bad_pred
+    no_statement = F.lit("no statement")
+    return whole.select(
+        "id",
+        score_of(F.col("gold_sql"), F.col("predicted_sql"), equal, bad_gold | bad_pred).alias("score"),
+        equal.alias("equal"),
+        F.when(bad_pred, F.coalesce("pred_said", no_statement)).alias("error"),
+        F.when(bad_gold, F.coalesce("gold_said", no_statement)).alias("gold_error"),
+    )
+
+
 def _family(data_type: T.DataType) -> str:
     if isinstance(data_type, (T.NumericType, T.BooleanType)):
         return "number"

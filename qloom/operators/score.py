@@ -102,14 +102,15 @@ def _seed_scores(scored: DataFrame) -> DataFrame:
     return with_ratio(scored).groupBy("arm", "seed").agg(_ex().alias("ex"), _ves().alias("ves"))
 
 
-def leaderboard(scored: DataFrame, expected_seeds: int) -> DataFrame:
+def leaderboard(scored: DataFrame, expected_seeds: int | DataFrame) -> DataFrame:
     """Mean and population deviation of EX and VES over seeds; arms with a seed
-    missing are left out."""
+    missing are left out. ``expected_seeds`` is one number for all arms, or a frame of arms:
+    (arm, expected_seeds) and whatever else describes an arm, which is kept."""
     by_seed = _seed_scores(scored)
     values = F.transform(
         F.array_sort(F.collect_list(F.struct("seed", "ex"))), lambda s: F.format_string("%.2f", s["ex"])
     )
-    return (
+    board = (
         by_seed.groupBy("arm")
         .agg(
             F.count(F.lit(1)).alias("seeds"),
@@ -119,8 +120,10 @@ def leaderboard(scored: DataFrame, expected_seeds: int) -> DataFrame:
             F.round(F.stddev_pop("ves"), 6).alias("ves_sigma"),
             F.concat_ws(" / ", values).alias("ex_all"),
         )
-        .filter(F.col("seeds") == expected_seeds)
     )
+    if isinstance(expected_seeds, int):
+        return board.filter(F.col("seeds") == expected_seeds)
+    return board.join(expected_seeds, "arm").filter(F.col("seeds") == F.col("expected_seeds")).drop("expected_seeds")
 
 
 def first_seed_difficulty(scored: DataFrame) -> DataFrame:

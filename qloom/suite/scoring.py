@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qloom.operators import curate, outcomes, score
+from qloom.plans import local_frame
 from qloom.suite import fixtures
 from qloom.suite.curation import LEAKS, asked, train_rows
+from qloom.suite.calls import shared_folder
 from qloom.suite.registry import query, table
 
 # Score, ratio, and per-seed EX/VES, shared by most SQL below.
@@ -52,6 +54,40 @@ STATEMENTS = (
 )
 
 
+# (id, gold, prediction, score): the score is a query where both engines run both sides, else written by hand.
+_SAME = "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 100000"
+_DIFFER = "SELECT CASE WHEN EXISTS ((({0}) EXCEPT ({1})) UNION ALL (({1}) EXCEPT ({0}))) THEN 0 ELSE 1 END"
+EVALUATED = tuple(
+    (name, gold, predicted, _DIFFER.format(gold, predicted) if by_hand is None else f"SELECT {by_hand}")
+    for name, gold, predicted, by_hand in (
+        ("same_rows", _SAME, _SAME + " ORDER BY o_orderkey DESC", 1),
+        ("other_rows", _SAME, _SAME.replace("100000", "150000"), None),
+        ("copies", "SELECT o_orderstatus FROM orders", "SELECT DISTINCT o_orderstatus FROM orders", None),
+        ("wider", _SAME, _SAME.replace("o_orderstatus FROM", "o_orderstatus, 1 FROM"), 0),
+        ("whole_and_fraction", "SELECT n_nationkey FROM nation", "SELECT n_nationkey * 1.0 FROM nation", 1),
+        ("whole_and_double", "SELECT count(*) FROM lineitem", "SELECT CAST(count(*) AS DOUBLE) FROM lineitem", 1),
+        ("text_and_number", "SELECT n_nationkey FROM nation", "SELECT CAST(n_nationkey AS STRING) FROM nation", 0),
+        ("fails_while_running", _SAME, "SELECT CAST(o_orderstatus AS INT) FROM orders", 0),
+        ("gold_fails", "SELECT no_such_column FROM orders", _SAME, 0),
+        ("both_ambiguous", "ambiguous", "ambiguous", 1),
+        ("one_ambiguous", "ambiguous", _SAME, 0),
+        ("error", _SAME, "error", 0),
+        ("both_empty", "SELECT o_orderkey FROM orders WHERE o_totalprice < 0", "SELECT o_custkey FROM orders WHERE 1 = 0", None),
+    )
+)
+
+
+@query(
+    "e4_end_to_end",
+    " UNION ALL ".join(f"SELECT '{name}' AS id, CAST(({right}) AS BIGINT) AS score" for name, _, _, right in EVALUATED),
+)
+def end_to_end(spark, sf_dir):
+    for name in ("orders", "nation", "lineitem"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    asked = [(name, gold, predicted) for name, gold, predicted, _ in EVALUATED]
+    return outcomes.evaluate(spark, asked, shared_folder(spark)).select("id", "score")
+
+
 @query(
     "e1_run_candidates",
     " UNION ALL ".join(
@@ -236,6 +272,29 @@ def leaderboard(spark, sf_dir):
     return board(spark, sf_dir)
 
 
+# Arms of one and of three seeds; arm_2 lacks a seed and is left out.
+ARMS = (("arm_0", 3, "curve"), ("arm_1", 1, "canon"), ("arm_2", 3, "canon"))
+PRESENT = "(arm = 'arm_0' OR (arm = 'arm_1' AND seed = 0) OR (arm = 'arm_2' AND seed <> 1))"
+
+
+@query(
+    "e12_leaderboard_by_arm",
+    f"""WITH {SCORED},
+by_seed AS (SELECT arm, seed, 100 * avg(CAST(score AS DOUBLE)) AS ex, 100 * avg(exec_ratio) AS ves FROM rated
+  WHERE {PRESENT} GROUP BY arm, seed),
+arms(arm, expected, grp) AS (VALUES {", ".join(map(str, ARMS))})
+SELECT b.arm, grp AS board, count(*) AS seeds, CASE WHEN count(*) > 1 THEN printf('%.2f ± %.2f', round(avg(ex), 6),
+round(stddev_pop(ex), 6)) ELSE printf('%.2f', round(avg(ex), 6)) END AS ex FROM by_seed b JOIN arms a ON a.arm = b.arm
+GROUP BY b.arm, grp, expected HAVING count(*) = expected""",
+    S,
+)
+def leaderboard_by_arm(spark, sf_dir):
+    arms = local_frame(spark, ARMS, "arm string, expected_seeds int, board string")
+    found = score.leaderboard(scored(spark, sf_dir).filter(PRESENT), arms)
+    mean = score.plus_minus(F.col("ex_mean"), F.col("ex_sigma"), F.col("seeds"))
+    return found.select("arm", "board", "seeds", mean.alias("ex"))
+
+
 @query(
     "e12_first_seed_difficulty",
     f"""WITH {SCORED}
