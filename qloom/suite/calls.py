@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -109,7 +108,8 @@ def shared_folder(spark) -> str:
 @query("t5_usage_stream", TOTALS, C)
 def usage_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(str(Path(sf_dir)))
+    # A pattern matches the table whether it is one file or a folder of parts.
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     calls = source.selectExpr(
         "event_id AS call_id", "event_type AS arm", "50 + (event_id % 200) AS prompt_tokens",
         "5 + (user_id % 60) AS completion_tokens",
