@@ -16,7 +16,11 @@ from qloom.llm.words import SPACES, Hasher, ascii_lower, find_words, mix, seeded
 BINS = 128
 #: Bands and values per band: a pair at similarity 0.8 is missed by all with a chance of 5e-5.
 BANDS, ROWS = 25, 5
-PRINTS = "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, bands array<bigint>"
+#: Words of a set's parity bits; sets differ in at least as many shingles as in parity bits.
+PARITY = 16
+#: Members of a bucket that meet in one cell.
+BLOCK = 512
+PRINTS = "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, bands array<bigint>, parity binary"
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -96,18 +100,25 @@ def distinct_shingles(texts: pa.Array, size: int, hasher: Hasher) -> Iterator[np
             yield found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) > 1 else found
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """Of each bit whether an odd number of the shingles falls on it."""
+    counts = np.bincount((seeded(shingles, 9) >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY)
+    return np.packbits((counts & 1).astype(bool))
+
+
 def prints_of(docs: DataFrame, size: int) -> DataFrame:
-    """Set size, a 128-bit signature of the whole set, and band keys, per row."""
+    """Set size, a 128-bit signature of the whole set, band keys, and parity bits, per row."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, densifier = Hasher(), Densifier(BINS)
         for batch in batches:
-            sizes, one, two, keys = [], [], [], []
+            sizes, one, two, keys, parity = [], [], [], [], []
             for found in distinct_shingles(batch.column("text"), size, hasher):
                 sizes.append(len(found))
                 one.append(int(mix(found).sum().view(np.int64)) if len(found) else 0)
                 two.append(int(seeded(found, 5).sum().view(np.int64)) if len(found) else 0)
                 keys.append(band_keys(sketch(found, densifier), BANDS, ROWS).view(np.int64) if len(found) else None)
+                parity.append(parity_bits(found).tobytes())
             lengths = np.array([0 if k is None else BANDS for k in keys])
             flat = [k for k in keys if k is not None]
             values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))
@@ -119,8 +130,9 @@ def prints_of(docs: DataFrame, size: int) -> DataFrame:
                     pa.array(one, pa.int64()),
                     pa.array(two, pa.int64()),
                     pa.ListArray.from_arrays(ends, values),
+                    pa.array(parity, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "sig1", "sig2", "bands"],
+                ["doc_id", "n_shingles", "sig1", "sig2", "bands", "parity"],
             )
 
     return documents_of(docs).mapInArrow(make, PRINTS)
@@ -154,6 +166,76 @@ def star_edges(members: DataFrame, key: str, node: str) -> DataFrame:
     )
 
 
+def apart(buckets: DataFrame, labels: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """(a, b, x, y, differ): all pairs of a bucket, a of component x, b of y > x, that may be linked.
+
+    Buckets within one component are done. In the others, members of the largest component
+    meet all others, and those each other, in cells of two blocks of about ``BLOCK``
+    members, so no bucket meets in one task. Pairs with too many different parity bits hold too
+    few common shingles; that leaves no link out.
+    """
+    placed = buckets.join(labels.withColumnRenamed("rep", "node"), "node")
+    per = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    open_ = (
+        per.groupBy("band")
+        .agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", "n").alias("big"), F.count("n").alias("parts"))
+        .filter("parts > 1")
+        .select(
+            "band",
+            "big",
+            F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("others"),
+            F.ceil(F.col("most") / BLOCK).alias("bigs"),
+        )
+    )
+    mine = F.col("component") == F.col("big")
+    block = F.pmod(F.xxhash64("node"), F.when(mine, F.col("bigs")).otherwise(F.col("others")))
+    spread = placed.join(open_, "band").withColumn("part", F.when(mine, block + F.col("others")).otherwise(block))
+    meets = F.when(mine, F.expr("sequence(0L, others - 1)")).otherwise(F.expr("sequence(0L, others + bigs - 1)"))
+    members = stored(spread.select("band", "node", "component", "part", meets.alias("meets")))
+    bits = prints.select(F.col("doc_id").alias("node"), "n_shingles", "parity").join(
+        members.select("node").distinct(), "node", "left_semi"
+    ).dropDuplicates(["node"])
+    cells = members.join(bits, "node").withColumn("other", F.explode("meets"))
+    cells = cells.select(
+        "band",
+        F.least("part", "other").alias("low"),
+        F.greatest("part", "other").alias("high"),
+        *("node", "component", "part", "n_shingles", "parity"),
+    )
+
+    def meet(table: pa.Table) -> pa.Table:
+        node, component, part, size = (
+            table.column(c).to_numpy() for c in ("node", "component", "part", "n_shingles")
+        )
+        parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY)
+        alone = table.column("low")[0] == table.column("high")[0]
+        lefts = np.arange(len(node)) if alone else np.flatnonzero(part == part.min())
+        rights = lefts if alone else np.flatnonzero(part != part.min())
+        out = []
+        for k, left in enumerate(lefts.tolist()):
+            right = rights[k + 1 :] if alone else rights
+            right = right[component[right] != component[left]]
+            both = size[right] + size[left]
+            most = both - 2 * -(-percent * both // (100 + percent))
+            differ = np.bitwise_count(parity[right] ^ parity[left]).sum(1, dtype=np.int64)
+            hit = differ <= most
+            out.append(np.stack((np.full(hit.sum(), left), right[hit], differ[hit])))
+        one, two, differ = np.concatenate(out, 1) if out else np.zeros((3, 0), np.int64)
+        turn = component[one] > component[two]
+        one, two = np.where(turn, two, one), np.where(turn, one, two)
+        return pa.table({"a": node[one], "b": node[two], "x": component[one], "y": component[two], "differ": differ})
+
+    found = cells.groupBy("band", "low", "high").applyInArrow(meet, "a bigint, b bigint, x bigint, y bigint, differ bigint")
+    return found.distinct()
+
+
+def relabelled(labels: DataFrame, joining: DataFrame) -> DataFrame:
+    """(rep, component) after the components of (x, y) rows have become one."""
+    merged = connected_components(joining.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    old = labels.withColumnRenamed("component", "node")
+    return old.join(merged, "node", "left").select("rep", F.coalesce("component", "node").alias("component"))
+
+
 def confirmed(edges: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Edges whose full shingle sets A, B meet 100 |A and B| >= percent |A or B|."""
     texts = documents_of(docs)
@@ -191,8 +273,10 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     Equal sets are one class from the start. Between classes, candidates share a
     band of the sketch. Each bucket gives a star around its smallest class; what these
     leave apart is tried again with stars around two classes that each bucket draws, so n
-    members cost 3 (n - 1) candidates at most. Every candidate is checked on the full sets
-    (64-bit hashes of all shingles).
+    members cost 3 (n - 1) of these candidates at most. Every candidate is checked on the full sets
+    (64-bit hashes of all shingles). Where a bucket then holds several components, all pairs
+    across them are compared: the closest pair of two components first, the rest if that
+    has not joined them. A link is lost only if its pair shares no bucket.
     """
     prints = stored(prints_of(docs, size))
     signature = ["n_shingles", "sig1", "sig2"]
@@ -209,10 +293,21 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     others = others.select("a", "b", F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y"))
     others = stored(others.filter("x <> y"))
     joining = confirmed(others.select("a", "b"), docs, size, percent).join(others, ["a", "b"])
-    merged = connected_components(joining.select(F.col("x").alias("a"), F.col("y").alias("b")))
     labels = classes.select("rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    labels = labels.select("rep", F.coalesce("component", "rep").alias("node"))
-    labels = labels.join(merged, "node", "left").select("rep", F.coalesce("component", "node").alias("component"))
+    labels = stored(relabelled(labels.select("rep", F.coalesce("component", "rep").alias("component")), joining))
+    # Pairs of a bucket that are still in two components: the closest of each two, then all.
+    left = stored(apart(buckets, labels, prints, percent))
+    closest = left.groupBy("x", "y").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b", "x", "y")
+    closest = stored(closest)
+    joining = confirmed(closest.select("a", "b"), docs, size, percent).join(closest, ["a", "b"])
+    merged = stored(connected_components(joining.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    ends = [merged.select(F.col("node").alias(n), F.col("component").alias(f"new_{n}")) for n in ("x", "y")]
+    left = left.join(closest.select("a", "b"), ["a", "b"], "left_anti").join(ends[0], "x", "left").join(ends[1], "y", "left")
+    left = left.select("a", "b", F.coalesce("new_x", "x").alias("x"), F.coalesce("new_y", "y").alias("y"))
+    left = stored(left.filter("x <> y"))
+    labels = labels.withColumnRenamed("component", "node").join(merged, "node", "left")
+    labels = labels.select("rep", F.coalesce("component", "node").alias("component"))
+    labels = relabelled(labels, confirmed(left.select("a", "b"), docs, size, percent).join(left, ["a", "b"]))
     named = classes.join(labels, "rep", "left").select(
         *signature, F.coalesce("component", "rep").alias("component_id")
     )

@@ -91,3 +91,24 @@ def test_components_of_chains_and_stars(spark):
     label = {r.node: r.component for r in found}
     assert len(found) == len(label) == 41 + 200 + 1
     assert {label[k] for k in range(41)} == {0} and {label[k] for k in [*range(100, 300), 400]} == {100}
+
+
+def test_templated_texts_with_planted_pairs(documents):
+    """Forms of one template resemble each other, not enough for a link; some have a near copy."""
+    rng = random.Random(4)
+    form = [f"t{k}" for k in range(200)]
+    slots, texts = range(5, 197, 12), []
+    for k in range(500):
+        form = list(form)
+        for at in slots:
+            form[at] = f"own{rng.random()}"
+        texts.append(" ".join(form))
+        if k % 5 == 0:
+            copy = list(form)
+            for at in slots[:10]:
+                copy[at] = f"new{rng.random()}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    expected = brute(texts)
+    assert sum(not kept for *_, kept in expected) == 100
+    assert collect(near_duplicates(documents(texts))) == expected
