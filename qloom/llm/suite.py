@@ -5,8 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from qloom.llm import decontam, exact, language, near, packing, passages, pii, tokens, toxicity, urls
+from pyspark.sql import functions as F
+
+from qloom.llm import (
+    decontam,
+    exact,
+    language,
+    near,
+    packing,
+    passages,
+    periodic,
+    pii,
+    tokens,
+    toxicity,
+    urls,
+    whitening,
+)
 from qloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +140,31 @@ FROM c LEFT JOIN n ON c.doc_id = n.doc_id""",
 )
 def near_duplicates(spark, sf_dir):
     return near.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("op11_whiten_embeddings")
+def whiten_embeddings(spark, sf_dir):
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_periodic_runs")
+def periodic_runs(spark, sf_dir):
+    found = periodic.periodic_runs(read_table(spark, sf_dir, "documents"), rotate=True)
+    # Runs come by start, then period, so of equal exponents the first stays.
+    best = F.expr(
+        """aggregate(runs, CAST(NULL AS struct<start: bigint, length: bigint, period: bigint>),
+        (b, r) -> if(b IS NULL OR r.length * b.period > b.length * r.period, r, b))"""
+    )
+    lines = F.array_join(
+        F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n"
+    )
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )

@@ -11,7 +11,7 @@ from qloom.llm import suite
 def test_registered():
     names = set(entry.queries())
     assert set(suite.QUERIES) | {"pipeline"} <= names
-    assert {n.split("_")[0] for n in suite.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in suite.QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", ["op1_exact_duplicates", "op9_near_duplicates", "op10_filter_urls"])
