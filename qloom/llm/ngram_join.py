@@ -15,17 +15,19 @@ meet again under a much rarer key. That goes on until no key is crowded, and los
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qloom.llm.common import documents_of, stored
 from qloom.llm.components import connected_components
 from qloom.llm.near import distinct_shingles
+from qloom.llm.passages import BitTable, bit_table
 from qloom.llm.words import Hasher, mix, seeded
 
 #: Counters of the estimate of how many sets hold a shingle, in so many blocks.
@@ -38,6 +40,10 @@ MOST_MATCHES = 4
 COMPARE_ROWS, COMPARE_SHINGLES = 4, 16
 #: Sets that meet under one key in pairs; more are written as differences.
 CROWD = 32
+#: Sets of a group that tell what most of its sets hold. Any answer gives right results.
+ASKED = 32
+#: Sets of a group that meet one copy of that answer.
+SPREAD = 512
 PRINTS = "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, matches int, prefix array<bigint>"
 
 
@@ -66,14 +72,15 @@ class Rule(NamedTuple):
         return both > 0 and 100 * both >= self.percent * (one + other - both)
 
 
-def _set_hashes(docs: DataFrame, size: int, make: Callable, schema: str, *more: str) -> DataFrame:
-    """``make`` over batches with the sets of their texts, each sorted."""
+def _set_hashes(texts: DataFrame, size: int, make: Callable, schema: str, keep: Callable | None = None) -> DataFrame:
+    """``make`` over batches, of the rows that ``keep`` flags, with the sets of their texts, each sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        yield from make((batch, distinct_shingles(batch.column("text"), size, hasher)) for batch in batches)
+        held = batches if keep is None else (b.filter(pa.array(keep(b))) for b in batches)
+        yield from make((batch, distinct_shingles(batch.column("text"), size, hasher)) for batch in held)
 
-    return documents_of(docs, *more).mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def counter_of(shingles: np.ndarray) -> np.ndarray:
@@ -105,7 +112,7 @@ def estimated_counts(docs: DataFrame, size: int) -> np.ndarray:
         return pa.Table.from_batches([_lines([table.column("block")[0].as_py()], [group // FAN_IN], [total])])
 
     schema = "block bigint, part bigint, counts binary"
-    parts = _set_hashes(docs, size, count, schema)
+    parts = _set_hashes(documents_of(docs), size, count, schema)
     for _ in range(2):
         parts = parts.groupBy("block", "part").applyInArrow(add, schema)
     out = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.int64)
@@ -174,7 +181,7 @@ def prints_of(docs: DataFrame, size: int, counters, rule: Rule) -> DataFrame:
                 ["doc_id", "n_shingles", "sig1", "sig2", "matches", "prefix"],
             )
 
-    return _set_hashes(docs, size, make, PRINTS)
+    return _set_hashes(documents_of(docs), size, make, PRINTS)
 
 
 def lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -184,7 +191,12 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the rows whose id is among (node)."""
+    """(node, shingles) of the rows whose id is among (node), one for each. A table of bits leaves
+    most others out where texts are read; no text is moved."""
+    table = docs.sparkSession.sparkContext.broadcast(tuple(bit_table(ids.select(F.xxhash64("node").alias("mark")), "mark")))
+
+    def wanted(batch: pa.RecordBatch) -> np.ndarray:
+        return BitTable(*table.value).hits(batch.column("mark").to_numpy().view(np.uint64))
 
     def make(sets) -> Iterator[pa.RecordBatch]:
         for batch, found in sets:
@@ -192,14 +204,35 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 [batch.column("doc_id"), lists([s.view(np.int64) for s in found])], ["node", "shingles"]
             )
 
-    wanted = ids.select(F.col("node").alias("doc_id"))
-    held = documents_of(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _set_hashes(held, size, make, "node bigint, shingles array<bigint>")
+    texts = documents_of(docs).withColumn("mark", F.xxhash64("doc_id"))
+    read = _set_hashes(texts, size, make, "node bigint, shingles array<bigint>", wanted)
+    return read.join(ids, "node", "left_semi").dropDuplicates(["node"])
+
+
+def prefix_members(firsts: DataFrame, wanted: BitTable) -> DataFrame:
+    """(node, n, matches, place, shingle): the prefixes' shingles that the table holds."""
+    table = firsts.sparkSession.sparkContext.broadcast(tuple(wanted))
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefixes = batch.column("prefix")
+            ends = prefixes.offsets.to_numpy()
+            flat = prefixes.values.to_numpy()[ends[0] : ends[-1]]
+            row = np.repeat(np.arange(len(prefixes)), np.diff(ends))
+            place = np.arange(len(flat)) - (ends[:-1] - ends[0])[row]
+            hit = BitTable(*table.value).hits(flat.view(np.uint64))
+            rows = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c).take(rows) for c in ("doc_id", "n_shingles", "matches")),
+                    pa.array(place[hit].astype(np.int32)),
+                    pa.array(flat[hit]),
+                ],
+                ["node", "n", "matches", "place", "shingle"],
+            )
 
-def crowds(members: DataFrame, *key: str) -> DataFrame:
-    """(key, n, all other aggregates) of keys with two nodes or more."""
-    return members.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("center")).filter("n > 1")
+    schema = "node bigint, n bigint, matches int, place int, shingle bigint"
+    return firsts.select("doc_id", "n_shingles", "matches", "prefix").mapInArrow(make, schema)
 
 
 def direct_pairs(members: DataFrame, rule: Rule, *key: str) -> DataFrame:
@@ -248,20 +281,30 @@ def _arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
 def differences(groups: DataFrame, sets: DataFrame, counters, rule: Rule) -> DataFrame:
     """(center, node, n, width, excess, parts) for (center, node) rows.
 
-    ``parts`` is the difference between a set and the shingles that more than half of its group
-    hold (``width`` of them): first what it has beyond them, from rare to frequent, then what it lacks.
+    ``parts`` is the difference between a set and the shingles that more than half of some sets of its
+    group hold (``width`` of them; a shingle all hold is always among them): first what it has beyond them, from rare to frequent, then what it lacks.
     ``excess`` is ``far * |parts| - near * n``. For two sets of a group, the difference d between
     them has at most |parts| + |parts'| shingles, so they link if their excesses add up to
     zero or less; otherwise a link needs common parts, one for each 2 far of the sum or more.
     """
-    held = stored(groups.join(sets, "node"))
-    total = held.groupBy("center").agg(F.count(F.lit(1)).alias("members"))
-    holders = held.select("center", F.explode("shingles").alias("shingle")).groupBy("center", "shingle").count()
-    most = holders.join(total, "center").filter("2 * count > members")
-    # A group's shared shingles are fewer than twice those of its mean set.
-    base = total.select("center").join(
-        most.groupBy("center").agg(F.sort_array(F.collect_list("shingle")).alias("base")), "center", "left"
+    total = groups.groupBy("center").agg(F.count(F.lit(1)).alias("members"))
+    drawn = Window.partitionBy("center").orderBy(F.xxhash64("node"), "node")
+    asked = groups.withColumn("turn", F.row_number().over(drawn)).filter(F.col("turn") <= ASKED)
+
+    def common(table: pa.Table) -> pa.Table:
+        column = table.column("shingles").combine_chunks()
+        values, counts = np.unique(np.concatenate(list(_arrays(column))), return_counts=True)
+        most = values[2 * counts > len(column)]
+        return pa.table({"center": table.column("center")[:1], "base": lists([most])})
+
+    base = asked.join(sets, "node").groupBy("center").applyInArrow(common, "center bigint, base array<bigint>")
+    # Of a large group, each part of about SPREAD sets meets a copy of its own.
+    copies = total.select("center", F.ceil(F.col("members") / SPREAD).alias("copies"))
+    base = base.join(copies, "center").withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)"))).drop("copies")
+    held = groups.join(copies, "center").select(
+        "center", "node", F.pmod(F.xxhash64("node"), "copies").alias("copy")
     )
+    joined = held.join(sets, "node").join(base, ["center", "copy"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counters.value
@@ -286,9 +329,6 @@ def differences(groups: DataFrame, sets: DataFrame, counters, rule: Rule) -> Dat
                 ["center", "node", *columns, "parts"],
             )
 
-    joined = held.join(base, "center").withColumn(
-        "base", F.coalesce("base", F.expr("CAST(array() AS array<bigint>)"))
-    )
     schema = "center bigint, node bigint, n bigint, width bigint, excess bigint, parts array<bigint>"
     return joined.select("center", "node", "shingles", "base").mapInArrow(make, schema)
 
@@ -361,30 +401,23 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     some = prints.filter("n_shingles > 0")
     classes = stored(some.groupBy(*signature).agg(F.min("doc_id").alias("rep")))
     firsts = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    members = firsts.select(
-        F.col("doc_id").alias("node"),
-        F.col("n_shingles").alias("n"),
-        "matches",
-        F.posexplode("prefix").alias("place", "shingle"),
-    )
-    shared = stored(crowds(members, "shingle").withColumnRenamed("n", "holders"))
-    few = members.join(shared.filter(F.col("holders") <= CROWD).select("shingle"), "shingle")
-    met = direct_pairs(stored(few), rule, "shingle")
-    pairs = stored(
-        met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("got"), F.min("need").alias("need")).filter("got >= need").select("a", "b")
-    )
-    crowded = members.join(shared.filter(F.col("holders") > CROWD).select("shingle", "center"), "shingle")
-    groups = stored(crowded.select("center", "node").distinct())
-    ids = groups.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    sets = stored(shingle_sets(docs, ids, size))
-    links = [compared(pairs, sets, rule)]
+    holders = firsts.select(F.col("doc_id").alias("node"), F.explode("prefix").alias("shingle")).groupBy("shingle")
+    shared = stored(holders.agg(F.count("node").alias("holders"), F.min("node").alias("center")).filter("holders > 1"))
+    members = prefix_members(firsts, bit_table(shared, "shingle"))
+    met = stored(members.join(shared, "shingle"))
+    pairs = direct_pairs(met.filter(F.col("holders") <= CROWD).drop("holders", "center"), rule, "shingle")
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("got"), F.min("need").alias("need"))
+    pairs = [stored(pairs.filter("got >= need").select("a", "b"))]
+    groups = stored(met.filter(F.col("holders") > CROWD).select("center", "node").distinct())
+    ids = groups.select("node").union(pairs[0].select("a")).union(pairs[0].select("b")).distinct()
+    sets = stored(shingle_sets(docs, stored(ids), size))
+    links = []
     while not groups.isEmpty():
         known, candidates, groups = split_crowds(groups, sets, counters, rule)
-        links += [known, compared(candidates, sets, rule)]
-    found = links[0]
-    for more in links[1:]:
-        found = found.union(more)
-    labels = connected_components(found)
+        links.append(known)
+        pairs.append(candidates)
+    links.append(compared(reduce(DataFrame.union, pairs).distinct(), sets, rule))
+    labels = connected_components(reduce(DataFrame.union, links))
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         *signature, F.coalesce("component", "rep").alias("component_id")
     )
