@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from qloom.functions.binding import let
+from qloom.functions.scopes import scoped_names
 
 # The patterns and word lists that decide results.
 FENCED_BLOCK = r"(?is)^.*?```(?:sql)?\s*(.*?)```.*$"
@@ -26,10 +27,6 @@ LINE_COMMENT = r"--[^\n]*"
 COMMENT_OR_LITERAL = r"(?s)/\*.*?\*/|--[^\n]*|'[^']*'"
 COMMENT_LITERAL_OR_NAME = COMMENT_OR_LITERAL + r'|"[^"]*"|`[^`]*`'
 QUERY_START = r"(?i)^[\s(]*(?:select|with)\b"
-# FROM that names no table.
-FROM_IN_CALL = r"(?i)\b((?:extract|trim|substring|overlay)\s*\([^()]*?)\bfrom\b"
-DISTINCT_FROM = r"(?i)\bis\s+(?:not\s+)?distinct\s+from\b"
-QUOTED_NAME = r"[`\"]([A-Za-z_]\w*)[`\"]"
 DANGLING_ENDS = ("WHERE", "JOIN", "FROM", "ON", "AND", "OR")
 WRITE_VERBS = ("DROP", "DELETE", "UPDATE", "CREATE", "INSERT", "ALTER")
 LEAK_KEY_STEPS = (
@@ -47,15 +44,6 @@ SELECT_STAR = r"(?is)(?:\bselect\s+(?:all\s+|distinct\s+)?|,\s*|\.)\*"
 LOGIC_WORDS = r"(?i)\b(?:where|group|join|order)\b"
 AGGREGATE_CALL = r"(?i)\b(?:count|sum|avg|min|max|stddev|variance|array_agg|string_agg)\s*\("
 COMMA_JOIN = r"(?is)\bfrom\s+[\w\".]+(?:\s+(?:as\s+)?\w+)?\s*,"
-NOT_AN_ALIAS = (
-    "where", "on", "using", "inner", "left", "right", "full", "cross", "natural", "join",
-    "group", "order", "having", "limit", "offset", "union", "intersect", "except",
-)
-TABLE_REFERENCE = (
-    r'(?i)\b(?:from|join)\s+(?:[a-z_]\w*\.)*"?([a-z_]\w*)"?(?:\s+(?:as\s+)?"?(?!(?:' + "|".join(NOT_AN_ALIAS) + r')\b)([a-z_]\w*)"?)?'
-)
-COLUMN_EQUALITY = r"(?i)\b([a-z_]\w*)\.([a-z_]\w*)\s*=\s*([a-z_]\w*)\.([a-z_]\w*)"
-QUALIFIED_COLUMN = r"(?i)\b([a-z_]\w*)\.([a-z_]\w*)"
 CLAUSE_KEYWORD = r"(?i)\s+(?:WHERE|GROUP\s+BY|ORDER\s+BY|HAVING|LIMIT)\s+"
 WORD = r"(?i)\b[a-z_]\w*\b"
 
@@ -126,13 +114,6 @@ def without_literals(sql: Column) -> Column:
     return _drop(sql, COMMENT_OR_LITERAL, " ")
 
 
-def statement_text(sql: Column) -> Column:
-    """What names of tables and columns are looked for in: no comments and literals,
-    plain names without their quotes, and no FROM but those that name a table."""
-    bare = _drop(without_literals(sql), QUOTED_NAME, "$1")
-    return _drop(_drop(bare, DISTINCT_FROM, "<>"), FROM_IN_CALL, "$1 ")
-
-
 def is_read_only(sql: Column) -> Column:
     """A query: it starts with SELECT or WITH and has no writing verb outside comments,
     literals and quoted names."""
@@ -185,80 +166,25 @@ def comparable(sql: Column) -> Column:
     return F.lower(_drop(text, r"\s+", " "))
 
 
-def _references(bare: Column) -> Column:
-    names = F.regexp_extract_all(bare, F.lit(TABLE_REFERENCE), F.lit(1))
-    aliases = F.regexp_extract_all(bare, F.lit(TABLE_REFERENCE), F.lit(2))
-
-    def both(p: Column) -> Column:
-        own = F.struct(p["name"].alias("alias"), p["name"].alias("name"))
-        aliased = F.struct(p["alias"].alias("alias"), p["name"].alias("name"))
-        return F.when(p["alias"] != "", F.array(own, aliased)).otherwise(F.array(own))
-
-    return F.flatten(F.transform(F.arrays_zip(names.alias("name"), aliases.alias("alias")), both))
-
+def statement_names(sql: Column) -> Column:
+    """struct<tables, columns, keys, words>: names by scope, see ``scopes.scoped_names``."""
+    return scoped_names(without_literals(sql))
 
-def table_references(sql: Column) -> Column:
-    """array<struct<alias, name>>: each table under its name and under its alias."""
-    return let(statement_text(sql), _references)
 
-
-def _tables(bare: Column) -> Column:
-    names = F.regexp_extract_all(bare, F.lit(TABLE_REFERENCE), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(names, F.lower)))
+def statement_shape(sql: Column) -> Column:
+    """The statement without comments, literals and numbers: statements of one shape name
+    the same tables and columns."""
+    return strip(_drop(without_literals(sql), r"\b\d[\w.]*", "0"))
 
 
 def accessed_tables(sql: Column) -> Column:
     """Sorted, lower-cased, distinct table names."""
-    return _tables(statement_text(sql))
-
-
-def resolve_alias(references: Column, alias: Column) -> Column:
-    """Table behind an alias, NULL if unknown; a later declaration wins."""
-    hits = F.filter(references, lambda r: r["alias"] == alias)
-    return F.try_element_at(hits, F.lit(-1))["name"]
-
-
-def _groups(bare: Column, pattern: str, *names: str) -> Column:
-    """array<struct>: the groups of every match of a pattern."""
-    lists = [F.regexp_extract_all(bare, F.lit(pattern), F.lit(i)).alias(n) for i, n in enumerate(names, start=1)]
-    return F.arrays_zip(*lists)
+    return statement_names(sql)["tables"]
 
 
 def join_keys(sql: Column) -> Column:
     """array<string> of ``t.c = u.c``, one per column equality between two tables."""
-
-    def keys(bare: Column) -> Column:
-        def between(references: Column) -> Column:
-            resolved = F.transform(
-                _groups(bare, COLUMN_EQUALITY, "lq", "lc", "rq", "rc"),
-                lambda e: F.struct(
-                    resolve_alias(references, e["lq"]).alias("lt"),
-                    e["lc"].alias("lc"),
-                    resolve_alias(references, e["rq"]).alias("rt"),
-                    e["rc"].alias("rc"),
-                ),
-            )
-            return F.filter(resolved, lambda e: e["lt"].isNotNull() & e["rt"].isNotNull() & (e["lt"] != e["rt"]))
-
-        return F.transform(
-            let(_references(bare), between),
-            lambda e: F.array_join(
-                F.array_sort(F.array(F.concat_ws(".", e["lt"], e["lc"]), F.concat_ws(".", e["rt"], e["rc"]))), " = "
-            ),
-        )
-
-    return let(statement_text(sql), keys)
-
-
-def used_names(sql: Column, known_columns: Column) -> Column:
-    """struct<tables, columns>: table names of the statement, and those of the
-    known columns it mentions, both sorted and distinct."""
-
-    def names(bare: Column) -> Column:
-        mentioned = F.array_intersect(known_columns, F.regexp_extract_all(bare, F.lit(WORD), F.lit(0)))
-        return F.struct(_tables(bare).alias("tables"), F.array_sort(mentioned).alias("columns"))
-
-    return let(statement_text(sql), names)
+    return statement_names(sql)["keys"]
 
 
 def words(sql: Column) -> Column:
@@ -268,17 +194,7 @@ def words(sql: Column) -> Column:
 
 def qualified_columns(sql: Column) -> Column:
     """array<string> of ``table.column`` with aliases resolved; unknown aliases are left out."""
-
-    def resolved(bare: Column) -> Column:
-        def named(references: Column) -> Column:
-            return F.transform(
-                _groups(bare, QUALIFIED_COLUMN, "q", "c"),
-                lambda p: F.concat(resolve_alias(references, p["q"]), F.lit("."), p["c"]),
-            )
-
-        return F.array_distinct(F.filter(let(_references(bare), named), lambda r: r.isNotNull()))
-
-    return let(statement_text(sql), resolved)
+    return statement_names(sql)["columns"]
 
 
 def truncate_text(value: Column, limit: int = 120) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qloom.functions import text
-from qloom.plans import top_per_group
+from qloom.plans import lookup_join, top_per_group
 
 JOIN_NODES = ("Nested Loop", "Hash Join", "Merge Join")  # fixed values
 
@@ -100,9 +100,31 @@ def join_paths(plans: DataFrame, column: str = "plan_json") -> DataFrame:
 
 
 def static_join_keys(statements: DataFrame, sql: str = "sql") -> DataFrame:
-    """Column equalities between two tables, counted per occurrence."""
-    keys = statements.select(F.explode(text.join_keys(F.col(sql))).alias("join_key"))
-    return keys.groupBy("join_key").agg(F.count(F.lit(1)).alias("n"))
+    """Column equalities between two tables, counted per occurrence.
+
+    Statements are counted by shape before names are looked for, so each shape is read once.
+    """
+    shapes = statements.groupBy(text.statement_shape(F.col(sql)).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+    keys = shapes.select("n", F.explode(text.join_keys(F.col("shape"))).alias("join_key"))
+    return keys.groupBy("join_key").agg(F.sum("n").alias("n"))
+
+
+def with_names(statements: DataFrame, sql: str = "sql") -> DataFrame:
+    """Adds ``names``: struct<tables, columns, keys, words> of each statement.
+
+    Names are looked for once per shape and joined back; a shape that many statements
+    share, as templates and logs have, is a hot key of that join. NULL statements have NULL names.
+    """
+    shaped = statements.withColumn("__shape", text.statement_shape(F.col(sql)))
+    shapes = shaped.select("__shape").filter("__shape IS NOT NULL").distinct()
+    # A row more of the lookup is a shape more, however often it is used.
+    named = shapes.select("__shape", text.statement_names(F.col("__shape")).alias("names"))
+    return lookup_join(shaped, named, ["__shape"]).drop("__shape")
+
+
+def accessed_tables(statements: DataFrame, sql: str = "sql") -> DataFrame:
+    """Adds ``tables``: sorted, lower-cased, distinct table names of each statement."""
+    return with_names(statements, sql).withColumn("tables", F.col("names.tables")).drop("names")
 
 
 def inventory_arrays(inventory: DataFrame, db_id: str | Column = "db_id") -> DataFrame:
@@ -117,23 +139,27 @@ def inventory_arrays(inventory: DataFrame, db_id: str | Column = "db_id") -> Dat
 def referenced_columns(statements: DataFrame, schema: DataFrame, sql: str = "sql") -> DataFrame:
     """Adds ``tables`` and ``columns``: sorted, distinct names of the statement that
     the schema knows. ``schema`` is ``inventory_arrays``, a row per database."""
-    known = statements.join(schema, "db_id")
-    # Unfolding keeps later filters behind the extraction, which then runs once.
-    named = known.select(
-        *statements.columns, "known_tables", F.inline(F.array(text.used_names(F.col(sql), F.col("known_columns"))))
+    known = with_names(statements, sql).join(schema, "db_id")
+    return known.select(
+        *statements.columns,
+        F.array_intersect("names.tables", "known_tables").alias("tables"),
+        F.array_sort(F.array_intersect("known_columns", "names.words")).alias("columns"),
     )
-    return named.withColumn("tables", F.array_intersect("tables", "known_tables")).drop("known_tables")
 
 
 def schema_validity(predictions: DataFrame, schema: DataFrame, sql: str = "sql", by: str = "arm") -> DataFrame:
     """Per arm: statements that name a column the schema does not have."""
-    judged = predictions.join(schema, "db_id").withColumn(
-        "unknown", F.size(F.array_except(text.qualified_columns(F.col(sql)), "known_names")) > 0
+    shaped = predictions.groupBy(by, "db_id", text.statement_shape(F.col(sql)).alias("shape")).agg(
+        F.count(F.lit(1)).alias("n")
     )
+    unknown = F.size(F.array_except(text.qualified_columns(F.col("shape")), "known_names")) > 0
+    # Unfolding keeps the two sums from looking for the names twice.
+    judged = shaped.join(schema, "db_id").select(by, "n", F.explode(F.array(F.coalesce(unknown, F.lit(False)))).alias("unknown"))
+    wrong = F.sum(F.when(F.col("unknown"), F.col("n")).otherwise(0))
     return judged.groupBy(by).agg(
-        F.count(F.lit(1)).alias("statements"),
-        F.count_if("unknown").alias("invalid"),
-        F.round(100 * F.avg(F.col("unknown").cast("double")), 6).alias("invalid_share"),
+        F.sum("n").alias("statements"),
+        wrong.alias("invalid"),
+        F.round(100 * wrong / F.sum("n").cast("double"), 6).alias("invalid_share"),
     )
 
 

@@ -110,6 +110,127 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Statements whose names depend on scopes, with the names they have, written by hand: tables, qualified
+# columns and join keys, each in order. # stands for the row's order key.
+STATEMENTS = (
+    (
+        "SELECT a.o_totalprice FROM orders a, customer b, nation AS n WHERE a.o_custkey = b.c_custkey AND b.c_nationkey = n.n_nationkey AND a.o_orderkey = #",
+        "customer, nation, orders",
+        "customer.c_custkey, customer.c_nationkey, nation.n_nationkey, orders.o_custkey, orders.o_orderkey, orders.o_totalprice",
+        "customer.c_custkey = orders.o_custkey, customer.c_nationkey = nation.n_nationkey",
+    ),
+    (
+        "SELECT t.o_totalprice FROM orders t WHERE t.o_orderkey IN (SELECT t.l_orderkey FROM lineitem t JOIN part p ON t.l_partkey = p.p_partkey) AND t.o_custkey = #",
+        "lineitem, orders, part",
+        "lineitem.l_orderkey, lineitem.l_partkey, orders.o_custkey, orders.o_orderkey, orders.o_totalprice, part.p_partkey",
+        "lineitem.l_partkey = part.p_partkey",
+    ),
+    (
+        "SELECT o.o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_tax > #)",
+        "lineitem, orders",
+        "lineitem.l_orderkey, lineitem.l_tax, orders.o_orderkey",
+        "lineitem.l_orderkey = orders.o_orderkey",
+    ),
+    (
+        "WITH big AS (SELECT o.o_custkey FROM orders o WHERE o.o_totalprice > #) SELECT big.o_custkey, c.c_name FROM big JOIN customer c ON big.o_custkey = c.c_custkey",
+        "big, customer, orders",
+        "big.o_custkey, customer.c_custkey, customer.c_name, orders.o_custkey, orders.o_totalprice",
+        "big.o_custkey = customer.c_custkey",
+    ),
+    (
+        "SELECT s.total, c.c_name FROM (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey) s JOIN customer c ON s.o_custkey = c.c_custkey WHERE c.c_custkey = #",
+        "customer, orders",
+        "customer.c_custkey, customer.c_name",
+        "",
+    ),
+    (
+        "SELECT c.c_name, x.o_orderkey FROM customer c, LATERAL (SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey) x WHERE c.c_custkey = #",
+        "customer, orders",
+        "customer.c_custkey, customer.c_name, orders.o_custkey, orders.o_orderkey",
+        "customer.c_custkey = orders.o_custkey",
+    ),
+    (
+        "SELECT count(*) FROM region r LEFT JOIN (nation n JOIN supplier s ON n.n_nationkey = s.s_nationkey) ON r.r_regionkey = n.n_regionkey WHERE r.r_regionkey = #",
+        "nation, region, supplier",
+        "nation.n_nationkey, nation.n_regionkey, region.r_regionkey, supplier.s_nationkey",
+        "nation.n_nationkey = supplier.s_nationkey, nation.n_regionkey = region.r_regionkey",
+    ),
+    (
+        "SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = # UNION ALL SELECT o.l_orderkey FROM lineitem o, part p WHERE o.l_partkey = p.p_partkey",
+        "lineitem, orders, part",
+        "lineitem.l_orderkey, lineitem.l_partkey, orders.o_custkey, orders.o_orderkey, part.p_partkey",
+        "lineitem.l_partkey = part.p_partkey",
+    ),
+    (
+        "SELECT EXTRACT(YEAR FROM o.o_orderdate), TRIM(BOTH 'x' FROM c.c_name) FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_name IS DISTINCT FROM o.o_orderstatus AND o.o_orderkey = #",
+        "customer, orders",
+        "customer.c_custkey, customer.c_name, orders.o_custkey, orders.o_orderdate, orders.o_orderkey, orders.o_orderstatus",
+        "customer.c_custkey = orders.o_custkey",
+    ),
+    (
+        "SELECT g.n, o.o_orderkey FROM generate_series(1, 9) g(n), orders o WHERE o.o_orderkey = g.n AND o.o_custkey = #",
+        "orders",
+        "orders.o_custkey, orders.o_orderkey",
+        "",
+    ),
+    (
+        "SELECT \"o\".\"o_orderkey\" FROM \"orders\" \"o\" JOIN public.customer AS c ON \"o\".o_custkey = c.\"c_custkey\" WHERE o.o_orderkey = #",
+        "customer, orders",
+        "customer.c_custkey, orders.o_custkey, orders.o_orderkey",
+        "customer.c_custkey = orders.o_custkey",
+    ),
+    (
+        "SELECT a.n_name, b.n_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey + 1 = b.n_nationkey AND a.n_nationkey < #",
+        "nation",
+        "nation.n_name, nation.n_nationkey, nation.n_regionkey",
+        "",
+    ),
+    (
+        "SELECT orders.o_orderkey FROM orders JOIN lineitem USING (l_orderkey) WHERE orders.o_custkey = lineitem.l_suppkey - # OR orders.o_orderkey = lineitem.l_orderkey",
+        "lineitem, orders",
+        "lineitem.l_orderkey, lineitem.l_suppkey, orders.o_custkey, orders.o_orderkey",
+        "lineitem.l_orderkey = orders.o_orderkey",
+    ),
+    (
+        "SELECT (SELECT max(l.l_tax) FROM lineitem l WHERE l.l_orderkey = l2.l_orderkey) FROM lineitem l2, (SELECT s.s_suppkey FROM supplier s) l WHERE l.s_suppkey = l2.l_suppkey AND l2.l_partkey = #",
+        "lineitem, supplier",
+        "lineitem.l_orderkey, lineitem.l_partkey, lineitem.l_suppkey, lineitem.l_tax, supplier.s_suppkey",
+        "",
+    ),
+    (
+        "SELECT p.p_name /* FROM nowhere n */ FROM part p -- JOIN nothing x ON x.a = p.b\n JOIN lineitem l ON p.p_partkey = l.l_partkey WHERE p.p_name = 'from part q' AND l.l_orderkey = # AND z.a = p.p_partkey",
+        "lineitem, part",
+        "lineitem.l_orderkey, lineitem.l_partkey, part.p_name, part.p_partkey",
+        "lineitem.l_partkey = part.p_partkey",
+    ),
+    (
+        "SELECT o.o_orderkey FROM orders AS o JOIN (SELECT c.c_custkey FROM customer c WHERE c.c_nationkey IN (SELECT o.n_nationkey FROM nation o JOIN region r ON o.n_regionkey = r.r_regionkey)) AS c ON o.o_custkey = c.c_custkey, supplier s WHERE s.s_suppkey = o.o_orderkey AND o.o_orderkey = #",
+        "customer, nation, orders, region, supplier",
+        "customer.c_custkey, customer.c_nationkey, nation.n_nationkey, nation.n_regionkey, orders.o_custkey, orders.o_orderkey, region.r_regionkey, supplier.s_suppkey",
+        "nation.n_regionkey = region.r_regionkey, orders.o_orderkey = supplier.s_suppkey",
+    ),
+)
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of ``STATEMENTS`` per order."""
+    texts = F.array(*[F.lit(text) for text, *_ in STATEMENTS])
+    shape = F.pmod("o_orderkey", F.lit(len(STATEMENTS))).cast("int")
+    return _read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("statement_id"),
+        F.replace(F.get(texts, shape), F.lit("#"), F.col("o_orderkey").cast("string")).alias("sql"),
+    )
+
+
+def _expected_statements() -> str:
+    rows = ", ".join(f"({k}, '{tables}', '{columns}', '{keys}')" for k, (_, tables, columns, keys) in enumerate(STATEMENTS))
+    return (
+        "SELECT o_orderkey AS statement_id, expected_tables, expected_columns, expected_keys FROM orders "
+        f"JOIN (VALUES {rows}) v(shape, expected_tables, expected_columns, expected_keys) "
+        f"ON o_orderkey % {len(STATEMENTS)} = shape"
+    )
+
+
 # The same views in DuckDB SQL, each with the views it needs.
 SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "f_pairs": (
@@ -125,6 +246,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         "o_orderkey % 17 <> 0 AS parse_ok, o_orderkey % 7 <> 0 AS exec_ok, "
         "CAST(o_orderkey % 5 AS BIGINT) AS row_count FROM orders",
     ),
+    "f_statements": ((), _expected_statements()),
     "f_eval": (
         (),
         "SELECT o_orderkey AS question_id, concat('db_', o_orderstatus) AS db_id, "

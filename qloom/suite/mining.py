@@ -10,7 +10,7 @@ from qloom.suite import fixtures
 from qloom.suite.profiling import COLUMNS, RELATIONAL, tables
 from qloom.suite.registry import query
 
-PL, P = ("f_plans",), ("f_pairs",)
+PL, P, S = ("f_plans",), ("f_pairs",), ("f_statements",)
 
 NODES = """
 RECURSIVE walk AS (
@@ -112,8 +112,8 @@ NAMES = r"regexp_extract_all(sql, '(?i)\b(?:from|join)\s+([a-z_]\w*)', 1)"
     P,
 )
 def accessed_tables(spark, sf_dir):
-    found = F.array_join(text.accessed_tables(F.col("sql")), ",")
-    return fixtures.pairs(spark, sf_dir).select("pair_id", found.alias("tables"))
+    found = workload.accessed_tables(fixtures.pairs(spark, sf_dir))
+    return found.select("pair_id", F.array_join("tables", ",").alias("tables"))
 
 
 KNOWN = "[" + ", ".join(f"'{c}'" for t in RELATIONAL for c, _ in COLUMNS[t]) + "]"
@@ -155,6 +155,27 @@ def schema_validity(spark, sf_dir):
     return workload.schema_validity(predictions, schema(spark, sf_dir))
 
 
+# Names of statements with scopes, each list as one text.
+NAMED = "SELECT statement_id, {} FROM f_statements"
+
+
+@query("w6_scoped_join_keys", "SELECT unnest(string_split(expected_keys, ', ')) AS join_key, count(*) AS n FROM f_statements WHERE expected_keys <> '' GROUP BY 1", S)
+def scoped_join_keys(spark, sf_dir):
+    return workload.static_join_keys(fixtures.statements(spark, sf_dir))
+
+
+@query("w7_scoped_tables", NAMED.format("expected_tables AS tables"), S)
+def scoped_tables(spark, sf_dir):
+    found = workload.accessed_tables(fixtures.statements(spark, sf_dir))
+    return found.select("statement_id", F.array_join("tables", ", ").alias("tables"))
+
+
+@query("w9_scoped_columns", NAMED.format("expected_columns AS columns"), S)
+def scoped_columns(spark, sf_dir):
+    found = workload.with_names(fixtures.statements(spark, sf_dir))
+    return found.select("statement_id", F.array_join(F.array_sort("names.columns"), ", ").alias("columns"))
+
+
 @query(
     "w10_access_ranking",
     f"""WITH {NODES},

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from qloom.functions import text
-from qloom.operators import curate, outcomes, tasks
+from qloom.operators import curate, outcomes, tasks, workload
 from qloom.sources import records
+from qloom.suite import fixtures
 
 # (statement, tables, join keys), the expected columns written by hand.
 PARSED = [
@@ -38,6 +39,42 @@ def test_names_of_real_statements(rows):
         assert (list(r.t), list(r.k)) == PARSED[r.id][1:], PARSED[r.id][0]
 
 
+def test_names_by_scope(rows):
+    """Hand-written names of every shape of the registered view, and of broken or empty statements."""
+    frame = rows([(k, s.replace("#", "7")) for k, (s, *_) in enumerate(fixtures.STATEMENTS)], "id int, sql string")
+    names = frame.select("id", text.statement_names(F.col("sql")).alias("n")).select("id", "n.*")
+    for r in names.collect():
+        got = tuple(", ".join(x) for x in (r.tables, sorted(r.columns), r.keys))
+        assert got == fixtures.STATEMENTS[r.id][1:], fixtures.STATEMENTS[r.id][0]
+
+
+def test_names_of_odd_statements(rows):
+    odd = {
+        "": [],
+        ")))(((": [],
+        "SELECT": [],
+        "SELECT a FROM": [],
+        "SELECT 1 FROM t1, t2 b, (t3 JOIN t4 ON t3.a = t4.a), t5": ["t1", "t2", "t3", "t4", "t5"],
+        "SELECT a FROM s.t1 WHERE x IN (SELECT y FROM t2 WHERE z = (SELECT max(w) FROM t3))": ["t1", "t2", "t3"],
+        "SELECT a FROM t1 LEFT OUTER JOIN t2 USING (a) CROSS JOIN t3 NATURAL JOIN t4 ORDER BY a": ["t1", "t2", "t3", "t4"],
+        "SELECT v FROM (VALUES (1), (2)) AS t(v) JOIN base ON base.id = t.v": ["base"],
+        "SELECT a FROM t1 UNION SELECT b FROM t2 EXCEPT SELECT c FROM t3": ["t1", "t2", "t3"],
+        "SELECT " + ", ".join(f"t1.c{k}" for k in range(3000)) + " FROM t1": ["t1"],
+        "(" * 300 + "SELECT a FROM t1" + ")" * 300: ["t1"],
+    }
+    frame = rows([*odd.items(), (None, None)], "sql string, expected array<string>")
+    got = frame.select("sql", "expected", text.accessed_tables(F.col("sql")).alias("tables")).collect()
+    assert all(r.tables == r.expected for r in got), [(r.sql, r.tables) for r in got if r.tables != r.expected]
+
+
+def test_names_once_per_shape(rows):
+    frame = rows([(k, f"SELECT o.a FROM orders o WHERE o.k = {k % 3} AND o.s = 'x{k}'") for k in range(50)] + [(50, None)], "id int, sql string")
+    assert frame.select(text.statement_shape(F.col("sql")).alias("s")).distinct().count() == 2
+    found = {r.id: r.names for r in workload.with_names(frame).collect()}
+    assert len(found) == 51 and found[50] is None
+    assert all(found[k].tables == ["orders"] and found[k].columns == ["orders.a", "orders.k", "orders.s"] for k in range(50))
+
+
 def test_only_queries_are_read_only(rows):
     statements = {
         "SELECT `update` FROM t": True,
