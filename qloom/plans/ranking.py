@@ -2,25 +2,22 @@
 
 Two ideas carry all of it: counting per bucket first (map-side combined), so
 only the bucket that holds the wanted rank is ever sorted; and buckets that are
-even by construction, either prefixes of a hash or intervals between values
-drawn from the data itself.
+even by construction, either prefixes of a hash or ranges of the values as Spark's
+range partitioning draws them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qloom.plans.lineage import cut_lineage
 from qloom.plans.sizing import inline_if_small
 from qloom.plans.skew import lookup_join
 
 PREFIX_DIGITS = 4
-STRIDE = 32
-SPLITS = STRIDE * STRIDE - 1
-MAX_SPLIT_GROUPS = 256
 
 
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, rank: str = "rn") -> DataFrame:
@@ -108,40 +105,26 @@ def first_by_hash(
     return joined.filter(chosen).drop("cutoff")
 
 
-def _with_interval(freq: DataFrame, groups: Sequence[str], value: str) -> tuple[DataFrame, bool]:
-    """Attach the interval number of each distinct value, and tell whether the
-    groups were counted to be few.
+def _ranges(df: DataFrame, groups: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct values with their counts, range partitioned by group and value, and where
+    each range lies in its group.
 
-    The split points are up to ``SPLITS`` distinct values per group picked in
-    hash order, so the intervals hold about equally many distinct values
-    whatever the type or distribution of the column.
+    Returns (groups, value, __c, __p) and (groups, __p, __in, __before, n): rows of the group in the
+    range, in earlier ones, and in all. The first is written once, for ranges are drawn anew
+    whenever a plan runs. There are as many ranges as shuffle partitions, so they grow with the
+    cluster, and the second frame has a row per range and one more per group at most.
     """
-    in_hash_order = [F.xxhash64(value), F.col(value)]
-    gathered = F.sort_array(F.collect_list(value)).alias("s")
-    every = F.expr(f"filter(s, (v, i) -> i % {STRIDE} = {STRIDE - 1})").alias("m")
-    if groups:
-        drawn = top_per_group(freq.select(*groups, value), groups, in_hash_order, SPLITS)
-        splits = drawn.groupBy(*groups).agg(gathered).select(*groups, F.struct("s", every).alias("__sp"))
-        splits, few = inline_if_small(splits, MAX_SPLIT_GROUPS)
-        if few:
-            placed = freq.join(F.broadcast(splits), list(groups), "inner")
-        else:
-            placed = lookup_join(freq, splits, groups, "inner")
-    else:
-        drawn = freq.select(value).orderBy(*in_hash_order).limit(SPLITS)
-        splits = drawn.agg(gathered).select(F.struct("s", every))
-        placed, few = freq.withColumn("__sp", splits.scalar()), True
-
-    # Split points below the value: every STRIDE-th first, then those behind it.
-    # Written out term by term, which stays in generated code.
-    def below(points: str, start: Column, count: int) -> Column:
-        terms = [F.when(F.get(points, start + j) < F.col(value), 1).otherwise(0) for j in range(count)]
-        return reduce(lambda x, y: x + y, terms)
-
-    coarse = below("__sp.m", F.lit(0), SPLITS // STRIDE) * STRIDE
-    placed = placed.withColumn("__coarse", coarse)
-    fine = below("__sp.s", F.col("__coarse"), STRIDE)
-    return placed.withColumn("__i", F.col("__coarse") + fine).drop("__sp", "__coarse"), few
+    keys = list(groups)
+    freq = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    ranged = freq.repartitionByRange(*keys, value).withColumn("__p", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = ranged.groupBy(*keys, "__p").agg(F.sum("__c").alias("__in"))
+    places = places.select(
+        *keys, "__p", "__in", (F.sum("__in").over(earlier) - F.col("__in")).alias("__before"), F.sum("__in").over(whole).alias("n")
+    )
+    return ranged, places
 
 
 def order_statistics(
@@ -154,37 +137,28 @@ def order_statistics(
 
     ``ranks`` maps a label to a function of the row count, or is one function
     giving an array of (label, rank). Returns (groups, label, n, value). Only
-    intervals holding a wanted rank are sorted.
+    ranges that hold a wanted rank are sorted, each in a task of its own.
     """
     keys = list(groups)
-    freq = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    placed, few = _with_interval(freq, keys, value)
-
-    # At most SPLITS + 1 rows per group reach these windows.
-    whole = Window.partitionBy(*keys)
-    running = whole.orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    intervals = placed.groupBy(*keys, "__i").agg(F.sum("__c").alias("__ic"))
-    intervals = intervals.select(
-        *keys, "__i", "__ic", F.sum("__ic").over(running).alias("__end"), F.sum("__ic").over(whole).alias("n")
-    )
+    ranged, places = _ranges(df, keys, value)
     if callable(ranks):
         wanted = ranks(F.col("n"))
     else:
         wanted = F.array(*[F.struct(F.lit(label), rank(F.col("n")).cast("bigint")) for label, rank in ranks.items()])
     targets = (
-        intervals.select("*", F.inline(wanted).alias("label", "__rank"))
-        .filter((F.col("__end") - F.col("__ic") < F.col("__rank")) & (F.col("__rank") <= F.col("__end")))
-        .select(*keys, "label", "n", "__i", (F.col("__rank") - F.col("__end") + F.col("__ic")).alias("__need"))
+        places.select("*", F.inline(wanted).alias("label", "__rank"))
+        .filter((F.col("__before") < F.col("__rank")) & (F.col("__rank") <= F.col("__before") + F.col("__in")))
+        .select(*keys, "label", "n", "__p", (F.col("__rank") - F.col("__before")).alias("__need"))
     )
-    # Rows of targets = groups x labels, and the groups were counted above.
-    inside = placed.join(F.broadcast(targets) if few else targets, [*keys, "__i"])
-    order = (
-        Window.partitionBy(*keys, "label").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Several ranks may lie in one range; its values are sorted once for all of them.
+    asked = targets.groupBy(*keys, "__p", "n").agg(F.collect_list(F.struct("label", "__need")).alias("__asked"))
+    inside = Window.partitionBy(*keys, "__p").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = ranged.join(asked, [*keys, "__p"]).withColumn("__run", F.sum("__c").over(inside))
+    hits = F.filter(
+        "__asked", lambda t: (F.col("__run") - F.col("__c") < t["__need"]) & (t["__need"] <= F.col("__run"))
     )
-    return (
-        inside.withColumn("__run", F.sum("__c").over(order))
-        .filter((F.col("__run") - F.col("__c") < F.col("__need")) & (F.col("__need") <= F.col("__run")))
-        .select(*keys, "label", "n", F.col(value).alias("value"))
+    return run.select(*keys, "n", value, F.explode(hits).alias("__hit")).select(
+        *keys, "__hit.label", "n", F.col(value).alias("value")
     )
 
 
@@ -199,15 +173,8 @@ def exact_median(df: DataFrame, groups: Sequence[str], value: str, name: str = "
 def ranks_of_values(df: DataFrame, value: str, descending: bool = True) -> DataFrame:
     """``rank()`` over the whole frame, as a table (value, rank) with one row per
     distinct value; no un-partitioned window is involved. NULLs are left out."""
-    freq = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
-    placed, _ = _with_interval(freq, [], value)
-    placed = placed.withColumn("__i", F.col("__i") * (-1 if descending else 1))
-    # One row per interval, so at most SPLITS + 1.
-    before = Window.orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = placed.groupBy("__i").agg(F.sum("__c").alias("__ic"))
-    totals = totals.select("__i", (F.sum("__ic").over(before) - F.col("__ic")).alias("__before"))
-    by_value = F.col(value).desc() if descending else F.col(value).asc()
-    inside = Window.partitionBy("__i").orderBy(by_value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.join(F.broadcast(totals), "__i").select(
-        value, (F.col("__before") + F.sum("__c").over(inside) - F.col("__c") + 1).cast("bigint").alias("rank")
-    )
+    ranged, places = _ranges(df, [], value)
+    inside = Window.partitionBy("__p").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.col("__before") + F.sum("__c").over(inside)
+    rank = F.col("n") - upto + 1 if descending else upto - F.col("__c") + 1
+    return ranged.join(places, "__p").select(value, rank.cast("bigint").alias("rank"))

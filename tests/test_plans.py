@@ -13,6 +13,7 @@ from qloom.plans import (
     inline_if_small,
     lookup_join,
     order_statistics,
+    ranking,
     ranks_of_values,
     skew,
 )
@@ -79,6 +80,37 @@ def test_order_statistics_match_sorting(spark):
         assert got[(g, "max")] == values[-1]
 
 
+def test_ranges_grow_with_partitions_and_split_a_hot_group(spark):
+    """A group of many values lies in as many ranges as there are partitions; ranks stay right."""
+    df = spark.range(6000).select(
+        F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 900)).alias("g"),
+        F.concat(F.lit("x" * 150), F.lpad((F.col("id") * 7919 % 6007).cast("string"), 5, "0")).alias("v"),
+    )
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    seen = []
+    try:
+        for partitions in (3, 12):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            ranged, places = ranking._ranges(df, ["g"], "v")
+            rows = ranged.filter("g = 'hot'").groupBy("__p").count().collect()
+            seen.append(len(rows))
+            assert max(r["count"] for r in rows) < 2 * 6000 / partitions
+            assert places.count() <= 301 + partitions
+            got = {r.g: r.value for r in order_statistics(df, ["g"], "v", {"last": lambda n: n}).collect()}
+            assert got == {r.g: r.v for r in df.groupBy("g").agg(F.max("v").alias("v")).collect()}
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+    assert seen[0] < seen[1] and seen[1] >= 6
+
+
+def test_ranks_of_no_rows_and_of_nulls(spark):
+    df = spark.createDataFrame([(None,), (None,)], "v double")
+    assert ranks_of_values(df, "v").count() == 0
+    assert order_statistics(df, [], "v", {"first": lambda n: F.lit(1)}).count() == 0
+
+
 def test_exact_median_averages_the_middle(spark):
     df = spark.createDataFrame([(1,), (2,), (10,), (20,)], "v int")
     assert exact_median(df, [], "v").collect()[0].median == 6.0
