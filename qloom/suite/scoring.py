@@ -72,6 +72,11 @@ EVALUATED = tuple(
         ("both_ambiguous", "ambiguous", "ambiguous", 1),
         ("one_ambiguous", "ambiguous", _SAME, 0),
         ("error", _SAME, "error", 0),
+        ("small_double_and_zero", "SELECT count(*) * 1e-25D FROM orders WHERE o_orderkey < 9", "SELECT count(*) * 0.0D FROM orders", 0),
+        ("small_doubles", "SELECT 1.2345678901234567E-15D FROM nation", "SELECT 1.2345678901234999E-15D FROM nation", 0),
+        ("large_double_and_whole", "SELECT CAST(1e17 AS DOUBLE) FROM nation", "SELECT 100000000000000000 FROM nation", 1),
+        ("larger_double_and_whole", "SELECT power(2.0D, 60) FROM nation", "SELECT 1152921504606846976 FROM nation", 1),
+        ("neighbours_of_a_double", "SELECT power(2.0D, 60) FROM nation", "SELECT 1152921504606846977 FROM nation", 0),
         ("both_empty", "SELECT o_orderkey FROM orders WHERE o_totalprice < 0", "SELECT o_custkey FROM orders WHERE 1 = 0", None),
     )
 )

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qloom.functions import text
-from qloom.operators import curate, outcomes, tasks, workload
+from qloom.operators import curate, outcomes, score, tasks, workload
 from qloom.sources import records
 from qloom.suite import fixtures
 
@@ -179,3 +179,88 @@ def test_all_training_questions_of_a_leak(rows):
     asked = rows([(1, "d", "select a from t where b=1")], "question_id int, db_id string, gold_sql string")
     assert curate.leak_report(train, asked).count() == 9
     assert curate.leak_counts(train, asked).first().train_hits == 9
+
+
+def test_numbers_have_one_canonical_text(spark):
+    """Pairs of one number in two types, and of two numbers that are close."""
+    def texts(sql):
+        return {r.row for r in spark.sql(sql).select(outcomes.canonical_row(spark.sql(sql))).collect()}
+
+    same = [
+        ("1", "1.0D"), ("TRUE", "1.000BD"), ("CAST(1e17 AS DOUBLE)", "100000000000000000"), ("-0.0D", "0"),
+        ("CAST(2.5 AS FLOAT)", "2.50BD"), ("1e-25D", "0.0000000000000000000000001BD"), ("-12300", "-1.23E4D"),
+        ("power(2.0D, 60)", "1152921504606846976"), ("power(2.0D, 100)", "1267650600228229401496703205376BD"),
+        ("-power(2.0D, 70)", "-1180591620717411303424BD"), ("CAST(16777217 AS FLOAT)", "16777216"),
+        ("9007199254740993", "9007199254740993BD"), ("CAST(0.1 AS FLOAT)", "0.1BD"), ("-9223372036854775808L", "-9223372036854775808BD"),
+    ]
+    other = [
+        ("1e-25D", "0.0D"), ("1.2345678901234567E-15D", "1.2345678901234999E-15D"), ("9007199254740993", "9007199254740992"),
+        ("power(2.0D, 60)", "1152921504606846977"), ("1", "10"), ("0.1D", "0.01D"), ("-1", "1"), ("'1'", "1"), ("1e300D", "1e301D"),
+        ("double('NaN')", "double('Infinity')"), ("double('Infinity')", "double('-Infinity')"), ("NULL", "0"),
+    ]
+    for pairs, expected in ((same, True), (other, False)):
+        for a, b in pairs:
+            assert (texts(f"SELECT {a}") == texts(f"SELECT {b}")) is expected, (a, b)
+
+
+def questions(spark, many, statements):
+    """Questions that share a few statements; every third prediction is wrong, every 50th does not run."""
+    gold = F.concat(F.lit("SELECT id FROM range("), F.col("id") % statements, F.lit(")"))
+    wrong = F.concat(F.lit("SELECT id + 1 FROM range("), F.col("id") % statements + 1, F.lit(")"))
+    predicted = F.when(F.col("id") % 50 == 49, "SELECT nothing FROM nowhere").when(F.col("id") % 3 == 0, wrong).otherwise(gold)
+    return spark.range(many).select(F.col("id").cast("string").alias("id"), gold.alias("gold_sql"), predicted.alias("predicted_sql"))
+
+
+def test_many_questions_in_blocks(spark, tmp_path, monkeypatch):
+    """20,000 questions on few statements: no more than a block ever reaches the driver."""
+    held = []
+    inner = outcomes._blocks
+    monkeypatch.setattr(outcomes, "_blocks", lambda frame, size: (held.append(len(b)) or b for b in inner(frame, size)))
+    asked = questions(spark, 20_000, 7)
+    got = outcomes.evaluate(spark, asked, str(tmp_path / "run"), block=4)
+    counts = {(r.score, r.failed): r["count"] for r in got.groupBy("score", F.col("error").isNotNull().alias("failed")).count().collect()}
+    bad = sum(k % 50 == 49 for k in range(20_000))
+    wrong = sum(k % 50 != 49 and k % 3 == 0 for k in range(20_000))
+    assert counts == {(0, True): bad, (0, False): wrong, (1, False): 20_000 - bad - wrong}
+    assert max(held) <= 4 and sum(held) == 15
+
+
+def test_a_broken_run_goes_on(spark, tmp_path, monkeypatch):
+    folder, ran, inner = str(tmp_path / "run"), [], outcomes._run_one
+
+    def counted(session, statement_id, *rest):
+        if len(ran) == 5:
+            raise KeyboardInterrupt
+        ran.append(statement_id)
+        return inner(session, statement_id, *rest)
+
+    asked = questions(spark, 60, 6)
+    monkeypatch.setattr(outcomes, "_run_one", counted)
+    with pytest.raises(BaseException):
+        outcomes.evaluate(spark, asked, folder, concurrency=1, block=3).collect()
+    before = len(ran)
+    monkeypatch.setattr(outcomes, "_run_one", lambda *a: ran.append(a[1]) or inner(*a))
+    got = {r.id: r.score for r in outcomes.evaluate(spark, asked, folder, concurrency=1, block=3).collect()}
+    assert before == 5 and len(ran) - before == 6
+    assert got == {r.id: r.score for r in outcomes.evaluate(spark, asked, str(tmp_path / "whole")).collect()}
+
+
+def test_timed_repeats_feed_the_score(spark, tmp_path, monkeypatch):
+    """Runs take turns, failed runs are left out, and the upper median is taken."""
+    ticks = iter(range(100_000))
+    order, taken = [], {"SELECT 1 AS a": [5.0, 1.0, 3.0], "SELECT 1 AS b": [2.0, 9.0, None]}
+    inner = outcomes._seconds
+
+    def seconds(session, sql, limit, clock):
+        order.append(sql)
+        assert inner(session, sql, limit, clock) == 1
+        return taken[sql].pop(0)
+
+    monkeypatch.setattr(outcomes, "_seconds", seconds)
+    asked = [("x", "SELECT 1 AS a", "SELECT 1 AS b"), ("y", "SELECT 1 AS a", "SELECT 2 AS b"), ("z", "ambiguous", "ambiguous"), ("n", "SELECT 1 AS a", None)]
+    got = outcomes.evaluate(spark, asked, str(tmp_path), repeats=3, clock=lambda: next(ticks))
+    rows = {r.id: r for r in score.with_ratio(got).collect()}
+    assert order == ["SELECT 1 AS a", "SELECT 1 AS b"] * 3
+    assert (rows["x"].t_gold, rows["x"].t_pred) == (3.0, 9.0) and rows["x"].exec_ratio == pytest.approx((3 / 9) ** 0.5)
+    assert [rows[k].score for k in "xyzn"] == [1, 0, 1, 0] and rows["y"].t_gold is None and rows["y"].exec_ratio == 0
+    assert rows["n"].error == "no statement"
