@@ -34,7 +34,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").selectExpr(
+    return _read(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS question_id",
         "concat('db_', o_orderstatus) AS db_id",
         "concat('Spend of customer ', CAST(o_custkey AS STRING)) AS question",
@@ -254,7 +254,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         "concat('select o_totalprice from orders join customer on o_custkey=c_custkey where c_custkey=', "
         "CAST(o_custkey AS VARCHAR)) AS gold_sql, "
         "CASE o_orderkey % 3 WHEN 0 THEN 'simple' WHEN 1 THEN 'moderate' ELSE 'challenging' END AS difficulty "
-        "FROM orders WHERE o_orderkey % 10 = 0",
+        "FROM orders",
     ),
     "f_scores": (
         ("f_eval",),

@@ -128,11 +128,11 @@ def table_version(spark, sf_dir):
 
 @query(
     "s9_merge_batches",
-    """WITH u AS (SELECT 0 AS b, * FROM f_pairs WHERE pair_id % 2 = 0 UNION ALL SELECT 1, * FROM f_pairs WHERE pair_id % 3 = 0),
+    """WITH u AS (SELECT 0 AS b, * FROM f_pairs WHERE pair_id % 2 = 0 UNION ALL SELECT 1, * FROM f_pairs WHERE pair_id % 2 <> 0 OR pair_id % 3 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY question, sql ORDER BY b, pair_id) AS rn FROM u)
 SELECT pair_id, db_id, question, sql FROM r WHERE rn = 1""",
     ("f_pairs",),
 )
 def merge_batches(spark, sf_dir):
     pairs = fixtures.pairs(spark, sf_dir).select("pair_id", "db_id", "question", "sql")
-    return records.merge_batches(pairs.filter("pair_id % 2 = 0"), pairs.filter("pair_id % 3 = 0"))
+    return records.merge_batches(pairs.filter("pair_id % 2 = 0"), pairs.filter("pair_id % 2 <> 0 OR pair_id % 3 = 0"))

@@ -121,7 +121,7 @@ def render_turns(spark, sf_dir):
     "c18_build_prompts",
     f"""WITH s AS (SELECT text FROM ({ORACLES['p14_compact_schema']})),
 q AS (SELECT o_orderkey AS question_id, 'db_' || o_orderstatus AS db_id, 'Spend of customer ' || o_custkey AS question
-      FROM orders WHERE o_orderkey % 10 = 0)
+      FROM orders)
 SELECT question_id, {DB_LINE}Answer with one SQL statement.' || E'\\n\\nSchema:\\n' ||
   CASE WHEN db_id = 'db_P' THEN '' ELSE s.text END AS system,
   'question: ' || question || ', evidence (may be empty): ' AS "user" FROM q, s""",
