@@ -8,7 +8,7 @@ are too large to count exactly.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +26,11 @@ SAMPLE_ROWS = 5
 TEXT_MAX = 120
 DISTINCT_SHARE = 0.1
 
+#: Share of the rows that bounds the first values of a column.
+SHARE = 0.01
+#: One in so many hashes of a value is looked at before all values are.
+GLANCE = 64
+
 INVENTORY_SCHEMA = T.StructType(
     [
         T.StructField("table", T.StringType(), False),
@@ -113,21 +118,42 @@ def value_frequencies(name: str, df: DataFrame, columns: Sequence[str] | None =
     """(table, column, value as text, n), NULLs left out: every scalar column is
     unpivoted and counted with partial aggregation before the one shuffle."""
     columns = list(columns or scalar_columns(df))
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), counting_key(F.col(f"`{c}`").cast("string")).alias("value"))
-            for c in columns
-        ]
-    )
     return (
-        df.select(F.inline(cells))
-        .filter(F.col("value").isNotNull())
+        _cells(df, columns)
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.lit(name).alias("table"), "column", "value", "n")
     )
 
 
+def _cells(df: DataFrame, columns: Sequence[str], caps: Mapping[str, str] | None = None) -> DataFrame:
+    """(column, value as text) of every cell that is not NULL nor above the column's cap."""
+
+    def cell(c: str) -> Column:
+        key = counting_key(F.col(f"`{c}`").cast("string"))
+        kept = F.when(key <= F.lit(caps[c]), key) if caps and c in caps else key
+        return F.struct(F.lit(c).alias("column"), kept.alias("value"))
+
+    return df.select(F.inline(F.array(*[cell(c) for c in columns]))).filter(F.col("value").isNotNull())
+
+
+def smallest_values(name: str, df: DataFrame, columns: Sequence[str] | None, k: int) -> DataFrame:
+    """(table, column, value, rn): the first ``k`` distinct values of each column in text order.
+
+    Of a share of the rows, the k-th smallest distinct value of a column is a bound: no larger
+    value is among the first k of all rows. So larger ones go where they are read, and about
+    ``k / SHARE`` distinct values of a column are shuffled, however many it has. A column with fewer
+    than k values in that share has no bound, and few values to shuffle unless most are rare.
+    The driver gets one value per column.
+    """
+    columns = list(columns or scalar_columns(df))
+    first = top_per_group(_cells(df.sample(SHARE, seed=13), columns).distinct(), ["column"], [F.col("value")], k)
+    bounds = first.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("cap")).filter(F.col("n") == k)
+    caps = {row.column: row.cap for row in bounds.collect()}
+    few = top_per_group(_cells(df, columns, caps).distinct(), ["column"], [F.col("value")], k)
+    return few.select(F.lit(name).alias("table"), "column", "value", "rn")
+
+
 def signed_distinct(n_distinct: Column, rows: Column) -> Column:
     """Server convention: a count, or minus the share of rows once distinct values
     make up more than a tenth of them."""
@@ -196,7 +222,7 @@ def value_domain(
     At most ``max_all + 1`` values per column survive the first step. Values are
     taken in ascending text order and cut like other long text.
     """
-    few = top_per_group(value_frequencies(name, df, columns), ["table", "column"], [F.col("value")], max_all + 1)
+    few = smallest_values(name, df, columns, max_all + 1)
     listed = few.groupBy("table", "column").agg(
         F.array_sort(F.collect_list(F.struct("rn", text.truncate_text(F.col("value"), TEXT_MAX).alias("value")))).alias("v")
     )
@@ -343,7 +369,94 @@ def discover_keys(tables: Tables, max_share_missing: float = 0.1) -> DataFrame:
     return union_all(frames) if frames else local_frame(spark, [], "table string, column string")
 
 
-Pair = tuple[tuple[str, str], tuple[str, str]]
+def _sketch_sets(tables: Tables, sets: Mapping[str, Sequence[tuple[str, ...]]]) -> dict[tuple[str, tuple[str, ...]], tuple[int, int, float]]:
+    """(rows, rows without NULL, estimated distinct values) of column sets, from one job over all tables."""
+    frames = []
+    for name, wanted in sets.items():
+        measures: dict[str, Column] = {}
+        for at, columns in enumerate(wanted):
+            filled = reduce(Column.__and__, [F.col(f"`{c}`").isNotNull() for c in columns])
+            measures[f"{at}/rows"] = F.count(F.lit(1))
+            measures[f"{at}/filled"] = F.count_if(filled)
+            measures[f"{at}/distinct_values"] = sketched_distinct(
+                F.when(filled, F.xxhash64(*[F.col(f"`{c}`") for c in columns])), 14
+            )
+        if wanted:
+            found = _per_column(tables[name], [str(k) for k in range(len(wanted))], measures)
+            frames.append(found.withColumn("table", F.lit(name)))
+    rows = union_all(frames).collect() if frames else []
+    return {(r.table, sets[r.table][int(r.column)]): (r.rows, r.filled, r.distinct_values) for r in rows}
+
+
+def _unrefuted(tables: Tables, sets: Mapping[str, Sequence[tuple[str, ...]]], share: int) -> set[tuple[str, tuple[str, ...]]]:
+    """Column sets without a repeat among the values whose hash falls on one in ``share``; all values
+    for a share of one. A table is read once for all its sets: a row gives one pair of 64-bit hashes
+    per set, and those looked at are counted in one shuffle."""
+    frames = []
+    for name, wanted in sets.items():
+        if not wanted:
+            continue
+        cells = []
+        for at, columns in enumerate(wanted):
+            refs = [F.col(f"`{c}`") for c in columns]
+            cells.append(
+                F.struct(F.lit(at).alias("at"), F.xxhash64(*refs).alias("h1"), F.xxhash64(F.lit(at), *refs).alias("h2"))
+            )
+        seen = tables[name].select(F.inline(F.array(*cells)))
+        if share > 1:
+            seen = seen.filter(F.pmod("h1", F.lit(share)) == 0)
+        repeated = seen.groupBy("at", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        frames.append(repeated.select(F.lit(name).alias("table"), "at").distinct())
+    rows = union_all(frames).collect() if frames else []
+    refuted = {(r.table, sets[r.table][r.at]) for r in rows}
+    return {(name, s) for name, found in sets.items() for s in found} - refuted
+
+
+def discover_composite_keys(tables: Tables, most_columns: int = 2, missing: float = 0.05) -> DataFrame:
+    """(table, columns): minimal sets of up to ``most_columns`` columns that hold no NULL and whose
+    values together are all distinct; columns in schema order, joined by ", ".
+
+    Sets grow by a column a level. A set is tried if no key is part of it, none of its columns has a
+    NULL, and the product of its parts' distinct counts can reach the row count. A level has three jobs over
+    all tables: sketches of all sets leave out those clearly repeated (a sketch errs by under one in a hundred,
+    ``missing`` is five times that), a look at one value in 64 those with repeats that are not rare, and
+    what is left is counted, by 128 bits of hash. Only names and counts reach the driver.
+    """
+    columns = {name: scalar_columns(df) for name, df in tables.items()}
+    sets = {name: [(c,) for c in found] for name, found in columns.items()}
+    keys: list[tuple[str, tuple[str, ...]]] = []
+    sizes: dict[tuple[str, tuple[str, ...]], tuple[int, int, float]] = {}
+
+    def grown(name: str, part: tuple[str, ...], level: int) -> Iterator[tuple[str, ...]]:
+        """Sets of one column more, each reached once."""
+        own = [set(k) for table, k in keys if table == name]
+        rows, _, some = sizes[name, part]
+        for c in columns[name][columns[name].index(part[-1]) + 1 :]:
+            filled = sizes[name, (c,)][1] == rows
+            # A set of the last level is of no use below the row count.
+            reaches = level < most_columns or some * sizes[name, (c,)][2] >= (1 - missing) ** 2 * rows
+            if filled and reaches and not any(k <= {*part, c} for k in own):
+                yield (*part, c)
+
+    for level in range(1, most_columns + 1):
+        if level > 1:
+            sets = {name: [g for part in found for g in grown(name, part, level)] for name, found in sets.items()}
+        sizes |= _sketch_sets(tables, sets)
+        sets = {name: [s for s in found if sizes[name, s][0] == sizes[name, s][1] > 0] for name, found in sets.items()}
+        likely = {
+            name: [s for s in found if sizes[name, s][2] >= (1 - missing) * sizes[name, s][0]] for name, found in sets.items()
+        }
+        glanced = _unrefuted(tables, likely, GLANCE)
+        left = {name: [s for s in found if (name, s) in glanced] for name, found in likely.items()}
+        proven = _unrefuted(tables, left, 1)
+        keys += [(name, s) for name, found in left.items() for s in found if (name, s) in proven]
+        sets = {name: [s for s in found if (name, s) not in proven] for name, found in sets.items()}
+    spark = next(iter(tables.values())).sparkSession
+    return local_frame(spark, [(name, ", ".join(s)) for name, s in keys], "table string, columns string")
+
+
+Names = str | tuple[str, ...]
+Pair = tuple[tuple[str, Names], tuple[str, Names]]
 
 
 def same_suffix_pairs(tables: Tables, keys: Sequence[tuple[str, str]]) -> list[Pair]:
@@ -363,18 +476,26 @@ def same_suffix_pairs(tables: Tables, keys: Sequence[tuple[str, str]]) -> list[P
 
 def discover_edges(tables: Tables, pairs: Sequence[Pair]) -> DataFrame:
     """(table, column, to_table, to_column, missing): an edge holds when every child
-    value is found in the key column. Child values are made distinct, with partial
-    aggregation, before they meet the key."""
+    value is found in the key. Both may be several columns, given as a tuple and shown joined by
+    ", "; a child row with a NULL in one of them refers to nothing. Child values are made distinct,
+    with partial aggregation, before they meet the key."""
+
+    def side(table: str, names: Names) -> DataFrame:
+        listed = [names] if isinstance(names, str) else names
+        return tables[table].select(*[F.col(f"`{c}`").alias(f"v{k}") for k, c in enumerate(listed)])
+
+    def shown(names: Names) -> Column:
+        return F.lit(names if isinstance(names, str) else ", ".join(names))
+
     frames = []
     for (child_table, child), (key_table, key) in pairs:
-        values = tables[child_table].select(F.col(child).alias("v")).filter(F.col("v").isNotNull()).distinct()
-        known = tables[key_table].select(F.col(key).alias("v"))
+        values = side(child_table, child).dropna().distinct()
         frames.append(
-            values.join(known, "v", "left_anti")
+            values.join(side(key_table, key), values.columns, "left_anti")
             .agg(F.count(F.lit(1)).alias("missing"))
             .select(
-                F.lit(child_table).alias("table"), F.lit(child).alias("column"), F.lit(key_table).alias("to_table"),
-                F.lit(key).alias("to_column"), "missing",
+                F.lit(child_table).alias("table"), shown(child).alias("column"), F.lit(key_table).alias("to_table"),
+                shown(key).alias("to_column"), "missing",
             )
         )
     return union_all(frames)

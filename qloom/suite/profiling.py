@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from qloom.operators import profile, schema_text
@@ -283,6 +285,52 @@ def discover_edges(spark, sf_dir):
     return profile.discover_edges(opened, profile.same_suffix_pairs(opened, keys))
 
 
+# Tables whose keys may have several columns.
+KEYED = {**{t: [c for c, _ in COLUMNS[t]] for t in RELATIONAL}, "conversations": ["conv_id", "turn", "role", "text"], "labels": ["doc_id", "quality", "toxic"]}
+
+
+def _key_rows():
+    """All sets of one or two columns, as rows (table, columns, part of it, whether it is a key)."""
+    for t, columns in KEYED.items():
+        sets = [s for k in (1, 2) for s in combinations(columns, k)]
+        tests = ", ".join(
+            f"count(*) > 0 AND count(*) = count(DISTINCT ({', '.join(s)}, 0)) AND count(*) = count(*) FILTER ({' AND '.join(f'{c} IS NOT NULL' for c in s)})"
+            for s in sets
+        )
+        names = ", ".join("'" + ", ".join(s) + "'" for s in sets)
+        yield f"""SELECT '{t}' AS "table", unnest([{names}]) AS columns, unnest([{tests}]) AS is_key FROM {t}"""
+
+
+@query(
+    "p12_composite_keys",
+    f"""WITH k AS (SELECT "table", columns, string_split(columns, ', ') AS parts FROM ({union(_key_rows())}) WHERE is_key)
+SELECT "table", columns FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o."table" = k."table"
+AND len(o.parts) < len(k.parts) AND len(list_intersect(o.parts, k.parts)) = len(o.parts))""",
+)
+def composite_keys(spark, sf_dir):
+    opened = tables(spark, sf_dir, list(KEYED))
+    return profile.discover_composite_keys(opened)
+
+
+RETURNED = "SELECT l_orderkey AS r_orderkey, l_linenumber + CASE WHEN l_quantity > 49 THEN 7 ELSE 0 END AS r_linenumber FROM lineitem WHERE l_returnflag = 'R'"
+
+
+@query(
+    "p12_composite_edges",
+    f"""SELECT 'returned' AS "table", 'r_orderkey, r_linenumber' AS "column", 'lineitem' AS to_table,
+'l_orderkey, l_linenumber' AS to_column, count(*) AS missing FROM
+(SELECT DISTINCT * FROM ({RETURNED}) r WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = r_orderkey AND l_linenumber = r_linenumber))
+UNION ALL SELECT 'lineitem', 'l_orderkey, l_linenumber', 'returned', 'r_orderkey, r_linenumber', count(*) FROM
+(SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM ({RETURNED}) r WHERE l_orderkey = r_orderkey AND l_linenumber = r_linenumber))""",
+)
+def composite_edges(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    moved = F.col("l_linenumber") + F.when(F.col("l_quantity") > 49, 7).otherwise(0)
+    returned = lines.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("r_orderkey"), moved.alias("r_linenumber"))
+    child, parent = ("returned", ("r_orderkey", "r_linenumber")), ("lineitem", ("l_orderkey", "l_linenumber"))
+    return profile.discover_edges({"lineitem": lines, "returned": returned}, [(child, parent), (parent, child)])
+
+
 def column_rows(spark, sf_dir, names, with_examples):
     """Schema rows in the shape the renderers take; keys are the first columns."""
     opened = tables(spark, sf_dir, names)

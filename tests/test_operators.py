@@ -387,3 +387,47 @@ def test_jdbc_options():
     options = tables.jdbc_options("jdbc:postgresql://host/db?ssl=true", "t", tables.FILTER_STATEMENT_TIMEOUT)
     assert options["url"].endswith("ssl=true&connectTimeout=15") and options["queryTimeout"] == "15"
     assert options["sessionInitStatement"] == "SET statement_timeout = 15000"
+
+
+def test_composite_keys_are_minimal(spark):
+    """Order lines: neither column alone is a key, both are; no superset is told; NULLs keep a column out."""
+    lines = spark.range(4000).selectExpr("id div 4 AS order_id", "id % 4 AS line", "id div 2 % 7 AS qty", "concat('x', id % 3) AS flag")
+    cube = spark.range(1000).selectExpr("id div 100 AS a", "id div 10 % 10 AS b", "id % 10 AS c", "if(id = 5, NULL, id) AS d", "1 AS e")
+    single = spark.range(50).selectExpr("id AS k", "id % 5 AS g", "named_struct('x', 1) AS nested")
+    tables = {"lines": lines, "cube": cube, "single": single, "none": lines.filter("false")}
+    got = {tuple(r) for r in profile.discover_composite_keys(tables, 3).collect()}
+    assert got == {("lines", "order_id, line"), ("cube", "a, b, c"), ("single", "k")}
+    assert {tuple(r) for r in profile.discover_composite_keys(tables).collect()} == got - {("cube", "a, b, c")}
+
+
+def test_one_rare_repeat_refutes_a_key(spark):
+    rows = spark.range(20_000).selectExpr("id div 2 AS a", "id % 2 AS b").unionByName(spark.createDataFrame([(77, 1)], "a long, b long"))
+    assert profile.discover_composite_keys({"t": rows}).count() == 0
+
+
+def test_edges_of_several_columns(spark):
+    parent = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "a int, b int")
+    child = spark.createDataFrame([(1, 2), (1, 2), (2, 2), (None, 1)], "x int, y int")
+    found = profile.discover_edges({"p": parent, "c": child}, [(("c", ("x", "y")), ("p", ("a", "b"))), (("c", "x"), ("p", "a"))])
+    assert sorted((r["column"], r.to_column, r.missing) for r in found.collect()) == [("x", "a", 0), ("x, y", "a, b", 1)]
+
+
+def test_first_values_without_shuffling_all(spark, monkeypatch):
+    """A bound from a share of the rows leaves nearly all of many values where they are read."""
+    monkeypatch.setattr(profile, "SHARE", 0.05)
+    df = spark.range(60_000).selectExpr("id * 7919 % 60013 AS many", "id % 4 AS few", "concat(repeat('long ', 40), id) AS text", "if(id % 2 = 0, NULL, 'x') AS one")
+    passed, inner = [], profile._cells
+
+    def counted(frame, columns, caps=None):
+        cells = inner(frame, columns, caps)
+        if caps is not None:
+            passed.append({r.column: r["count"] for r in cells.distinct().groupBy("column").count().collect()})
+        return cells
+
+    monkeypatch.setattr(profile, "_cells", counted)
+    got = {}
+    for r in profile.smallest_values("t", df, None, 16).orderBy("rn").collect():
+        got.setdefault(r.column, []).append(r.value)
+    assert got["many"] == sorted(map(str, {k * 7919 % 60013 for k in range(60_000)}))[:16]
+    assert got["few"] == ["0", "1", "2", "3"] and got["one"] == ["x"] and len(got["text"]) == 16
+    assert passed[0]["many"] < 2000 and passed[0]["text"] < 2000
