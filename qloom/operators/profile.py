@@ -253,7 +253,7 @@ def low_cardinality_hints(name: str, df: DataFrame, threshold: int = HINT_MAX) -
     as_text = F.col("column").isin(*[c for c, is_text in quoted.items() if is_text])
     shown = F.transform("values", lambda v: F.when(as_text, F.concat(F.lit("'"), v, F.lit("'"))).otherwise(v))
     hint = F.concat(
-        F.lit('Possible values for "'), "table", F.lit("."), "column", F.lit('": ['), F.array_join(shown, ", "), F.lit("]")
+        F.lit('All values of "'), "table", F.lit("."), "column", F.lit('": ['), F.array_join(shown, ", "), F.lit("]")
     )
     return domain.filter((F.col("kind") == "all_values") & (F.size("values") >= 1)).select("table", "column", hint.alias("hint"))
 

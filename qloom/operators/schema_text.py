@@ -87,7 +87,7 @@ def compact_schema(columns: DataFrame, db_id: str, edges: DataFrame | None = Non
         return text.select(F.lit(db_id).alias("db_id"), "text", "tables", F.lit(0).cast("bigint").alias("edges"))
     arrow = F.concat(
         F.lit("  "), "table", F.lit("."), "column", F.lit(" -> "), "to_table", F.lit("."), "to_column",
-        F.when(F.col("implied"), F.lit("  (implied by name)")).otherwise(F.lit("")),
+        F.when(F.col("implied"), F.lit("  (same column name)")).otherwise(F.lit("")),
     )
     listed = edges.agg(
         ordered_text(F.struct("implied", "position"), arrow, "\n").alias("links"), F.count(F.lit(1)).alias("n")
@@ -96,7 +96,7 @@ def compact_schema(columns: DataFrame, db_id: str, edges: DataFrame | None = Non
         F.lit(db_id).alias("db_id"),
         F.concat(
             "text",
-            F.lit("\n\nHow tables connect:\n"),
+            F.lit("\n\nJoins between tables:\n"),
             F.when(F.col("s.n") > 0, F.col("s.links")).otherwise(F.lit(NOTHING_DECLARED)),
         ).alias("text"),
         "tables",

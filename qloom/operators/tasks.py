@@ -32,6 +32,7 @@ DEFAULT_TEMPLATES = {
     "noise_correction": "Database `{db_id}`. One column of this statement is wrong. Answer with the right statement.",
     "continuation_writing": "Database `{db_id}`. Finish the statement. Answer with the missing part.",
 }
+ASKED = "Question: {question}\nHint: {evidence}"
 
 
 def fill(template: str, values: Mapping[str, Column]) -> Column:
@@ -204,20 +205,20 @@ def render_turns(turns: DataFrame, turn: str = "<|{role}|>\n{content}\n") -> Dat
 
 
 def build_prompts(
-    questions: DataFrame, schemas: DataFrame | None = None, system: str = DEFAULT_TEMPLATES["sql_generation"]
+    questions: DataFrame,
+    schemas: DataFrame | None = None,
+    system: str = DEFAULT_TEMPLATES["sql_generation"],
+    user: str = ASKED,
 ) -> DataFrame:
     """Adds ``system`` and ``user``. With schemas (db_id, text) the schema follows
     the system line. Question rows of a hot database are spread by the lookup."""
     line = fill(system, {"db_id": F.col("db_id")})
-    user = fill(
-        "question: {question}, evidence (may be empty): {evidence}",
-        {"question": F.col("question"), "evidence": F.col("evidence")},
-    )
+    request = fill(user, {"question": F.col("question"), "evidence": F.col("evidence")})
     if schemas is None:
-        return questions.withColumns({"system": line, "user": user})
+        return questions.withColumns({"system": line, "user": request})
     joined = lookup_join(questions, schemas.select("db_id", F.col("text").alias("__schema")), ["db_id"])
     with_schema = F.concat(line, F.lit("\n\nSchema:\n"), F.coalesce("__schema", F.lit("")))
-    return joined.withColumns({"system": with_schema, "user": user}).drop("__schema")
+    return joined.withColumns({"system": with_schema, "user": request}).drop("__schema")
 
 
 def fewshot(pairs: DataFrame, databases: DataFrame, k: int = FEWSHOT, seed: object = 0) -> DataFrame:

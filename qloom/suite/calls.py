@@ -62,8 +62,8 @@ def token_budget(spark, sf_dir):
 
 @query(
     "t3_prompt_tokens_by_db",
-    rf"""WITH p AS (SELECT db_id, {DB_LINE}Answer with one SQL statement.' || 'question: ' || question ||
-  ', evidence (may be empty): ' AS text FROM f_eval)
+    rf"""WITH p AS (SELECT db_id, {DB_LINE}Answer with one SQL statement.' || 'Question: ' || question ||
+  E'\nHint: ' AS text FROM f_eval)
 SELECT 'without schema' AS arm, db_id, round(avg({TOKENS}), 1) AS mean FROM p GROUP BY db_id""",
     ("f_eval",),
 )

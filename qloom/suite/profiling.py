@@ -172,7 +172,7 @@ def value_domain(spark, sf_dir):
         for t in ("customer", "lineitem")
         for c, kind in COLUMNS[t]
     )
-    + """) SELECT "table", "column", 'Possible values for "' || "table" || '.' || "column" || '": [' ||
+    + """) SELECT "table", "column", 'All values of "' || "table" || '.' || "column" || '": [' ||
 string_agg(CASE WHEN quoted THEN '''' || v || '''' ELSE v END, ', ' ORDER BY v) || ']' AS hint
 FROM d GROUP BY "table", "column" HAVING count(*) BETWEEN 1 AND 10""",
 )
@@ -389,7 +389,7 @@ def render_mschema(spark, sf_dir):
 COMPACT = "\\n".join(f"{t}({', '.join(' '.join(c) for c in COLUMNS[t])})" for t in RELATIONAL)
 # Edges that hold in the data are listed; a child value without a parent removes the line.
 HELD = "(" + union(
-    f"""SELECT {i} AS position, '  {a}.{b} -> {c}.{d}  (implied by name)' AS line
+    f"""SELECT {i} AS position, '  {a}.{b} -> {c}.{d}  (same column name)' AS line
     WHERE NOT EXISTS (SELECT 1 FROM {a} WHERE {b} NOT IN (SELECT {d} FROM {c}))"""
     for i, (a, b, c, d) in enumerate(EDGES)
 ) + ")"
@@ -403,7 +403,7 @@ def held_edges(spark, sf_dir):
 
 @query(
     "p14_compact_schema",
-    f"""SELECT 'tpch' AS db_id, E'{COMPACT}\\n\\nHow tables connect:\\n' || string_agg(line, E'\\n' ORDER BY position) AS text,
+    f"""SELECT 'tpch' AS db_id, E'{COMPACT}\\n\\nJoins between tables:\\n' || string_agg(line, E'\\n' ORDER BY position) AS text,
 CAST({len(RELATIONAL)} AS BIGINT) AS tables, count(*) AS edges FROM {HELD} h""",
 )
 def compact_schema(spark, sf_dir):
@@ -413,7 +413,7 @@ def compact_schema(spark, sf_dir):
 
 @query(
     "p15_profile_size",
-    f"""WITH s AS (SELECT 'tpch' AS db_id, E'{COMPACT}\\n\\nHow tables connect:\\n' ||
+    f"""WITH s AS (SELECT 'tpch' AS db_id, E'{COMPACT}\\n\\nJoins between tables:\\n' ||
   string_agg(line, E'\\n' ORDER BY position) AS text, count(*) AS edges FROM {HELD} h)
 SELECT db_id, CAST({len(RELATIONAL)} AS BIGINT) AS tables, edges,
        CAST(len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS BIGINT) AS tokens FROM s""",

@@ -124,7 +124,7 @@ q AS (SELECT o_orderkey AS question_id, 'db_' || o_orderstatus AS db_id, 'Spend
       FROM orders)
 SELECT question_id, {DB_LINE}Answer with one SQL statement.' || E'\\n\\nSchema:\\n' ||
   CASE WHEN db_id = 'db_P' THEN '' ELSE s.text END AS system,
-  'question: ' || question || ', evidence (may be empty): ' AS "user" FROM q, s""",
+  'Question: ' || question || E'\\nHint: ' AS "user" FROM q, s""",
 )
 def build_prompts(spark, sf_dir):
     names = F.explode(F.array(F.lit("db_F"), F.lit("db_O")))
@@ -136,7 +136,7 @@ def build_prompts(spark, sf_dir):
 @query(
     "c18_build_prompts_without_schema",
     f"""SELECT question_id, {DB_LINE}Answer with one SQL statement.' AS system,
-'question: ' || question || ', evidence (may be empty): ' AS "user" FROM f_eval""",
+'Question: ' || question || E'\\nHint: ' AS "user" FROM f_eval""",
     ("f_eval",),
 )
 def build_prompts_without_schema(spark, sf_dir):

@@ -391,7 +391,7 @@ def test_jdbc_options():
 
 def test_composite_keys_are_minimal(spark):
     """Order lines: neither column alone is a key, both are; no superset is told; NULLs keep a column out."""
-    lines = spark.range(4000).selectExpr("id div 4 AS order_id", "id % 4 AS line", "id div 2 % 7 AS qty", "concat('x', id % 3) AS flag")
+    lines = spark.range(4000).selectExpr("id div 4 AS order_id", "id % 4 AS line", "id div 2 % 7 AS qty", "concat('x', id div 4 % 3) AS flag")
     cube = spark.range(1000).selectExpr("id div 100 AS a", "id div 10 % 10 AS b", "id % 10 AS c", "if(id = 5, NULL, id) AS d", "1 AS e")
     single = spark.range(50).selectExpr("id AS k", "id % 5 AS g", "named_struct('x', 1) AS nested")
     tables = {"lines": lines, "cube": cube, "single": single, "none": lines.filter("false")}
