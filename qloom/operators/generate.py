@@ -22,11 +22,29 @@ PAIR_LIST = T.ArrayType(
 )
 
 
+#: Calls in flight over all tasks of a job.
+IN_FLIGHT = 64
+
+
 def batch_generate(
-    prompts: DataFrame, fn: Callable[[str], str], prompt: str = "prompt", concurrency: int = 8
+    prompts: DataFrame,
+    fn: Callable[[str], str],
+    prompt: str = "prompt",
+    concurrency: int = 8,
+    in_flight: int = IN_FLIGHT,
 ) -> DataFrame:
-    """Adds ``reply`` and ``failure``: ``fn`` is called once per prompt, at most
-    ``concurrency`` calls in flight per task. A failed or blank reply is NULL."""
+    """Adds ``reply`` and ``failure``: ``fn`` is called once per prompt. A failed or blank reply is NULL.
+
+    At most ``concurrency`` calls are in flight per task, and ``in_flight`` in all, whatever the number of
+    partitions or executors: rows are dealt to as many tasks as the bound has room for. Each task
+    streams its rows. A task that Spark runs again asks again.
+    """
+    if in_flight < 1 or concurrency < 1:
+        raise ValueError("at least one call must be in flight")
+    concurrency = min(concurrency, in_flight)
+    # Explicit numbers of partitions are kept by adaptive execution.
+    spread = F.xxhash64(*[c for c in prompts.columns if prompts.schema[c].dataType.typeName() not in ("map", "variant")])
+    prompts = prompts.repartition(in_flight // concurrency, spread)
     schema = T.StructType(
         [*prompts.schema.fields, T.StructField("reply", T.StringType()), T.StructField("failure", T.StringType())]
     )
@@ -64,6 +82,7 @@ def retry_until_valid(
     max_attempts: int = 7,
     concurrency: int = 8,
     ask_again: Callable[[Column, int], Column] = lambda value, attempt: value,
+    in_flight: int = IN_FLIGHT,
 ) -> DataFrame:
     """Adds ``sql``, ``attempts`` and ``status``: rows whose statement is not valid
     are asked again, up to ``max_attempts`` times, then marked ``error``.
@@ -76,7 +95,7 @@ def retry_until_valid(
     open_rows, finished = prompts, None
     for attempt in range(1, max_attempts + 1):
         worded = open_rows.withColumn("__prompt", ask_again(F.col(prompt), attempt))
-        asked = batch_generate(worded, fn, "__prompt", concurrency).drop("__prompt")
+        asked = batch_generate(worded, fn, "__prompt", concurrency, in_flight).drop("__prompt")
         reply = text.sanitize_sql(F.col("reply")) if sanitize else text.strip(F.col("reply"))
         cleaned = asked.withColumn("sql", text.strip_comments(reply))
         judged = cut_lineage(cleaned.withColumn("__ok", F.coalesce(validator(F.col("sql")), F.lit(False))))

@@ -431,3 +431,25 @@ def test_first_values_without_shuffling_all(spark, monkeypatch):
     assert got["many"] == sorted(map(str, {k * 7919 % 60013 for k in range(60_000)}))[:16]
     assert got["few"] == ["0", "1", "2", "3"] and got["one"] == ["x"] and len(got["text"]) == 16
     assert passed[0]["many"] < 2000 and passed[0]["text"] < 2000
+
+
+@pytest.mark.parametrize("in_flight, concurrency", [(3, 1), (4, 2), (2, 8)])
+def test_calls_in_flight_are_bounded_over_all_tasks(spark, tmp_path, in_flight, concurrency):
+    """Every call leaves a file while it lasts; with 32 partitions no call ever sees more than the bound."""
+    folder = str(tmp_path)
+
+    def model(prompt):
+        import os
+        import time
+        import uuid
+
+        mine = f"{folder}/{uuid.uuid4().hex}"
+        open(mine, "w").close()
+        time.sleep(0.02)
+        seen = len(os.listdir(folder))
+        os.remove(mine)
+        return str(seen)
+
+    prompts = spark.range(0, 96, 1, 32).select(F.concat(F.lit("p"), "id").alias("prompt"))
+    seen = [int(r.reply) for r in generate.batch_generate(prompts, model, concurrency=concurrency, in_flight=in_flight).collect()]
+    assert len(seen) == 96 and 1 <= max(seen) <= in_flight
