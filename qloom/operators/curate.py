@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from qloom.plans import (
     most_rows,
     row_sample,
 )
+from qloom.sources.records import table_version
 
 KEPT = "kept"
 UNPARSABLE = "unparsable"
@@ -178,9 +180,12 @@ def nested_sizes(pairs: DataFrame, sizes: Sequence[int], seed: object = 0, key:
     )
 
 
-def manifest(train: DataFrame, val: DataFrame, leaks_removed: int | Column = 0) -> DataFrame:
+def manifest(
+    train: DataFrame, val: DataFrame, leaks_removed: int | Column, sources: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
     """Tidy counts (section, name, n): databases and difficulties over all rows,
-    tasks over training rows, totals of both parts and the leaks removed."""
+    tasks over training rows, totals of both parts and the leaks removed. Each of ``sources`` gives
+    a row with its name, the version of its content (``table_version``), and its number of rows."""
     columns = ["db_id", "difficulty", "task"]
     rows = (
         train.select(*columns, F.lit("train").alias("part"))
@@ -200,12 +205,18 @@ def manifest(train: DataFrame, val: DataFrame, leaks_removed: int | Column = 0)
     removed = train.sparkSession.range(1).select(
         F.lit("total").alias("section"), F.lit("eval_leaks_removed").alias("name"), leaks.cast("bigint").alias("n")
     )
+    def versioned(source: tuple[str, DataFrame]) -> DataFrame:
+        name, df = source
+        shown = F.concat(F.lit(f"{name} "), "version")
+        return table_version(df).select(F.lit("source").alias("section"), shown.alias("name"), F.col("rows").alias("n"))
+
     return (
         section("by_db", F.col("db_id"), every)
         .unionByName(section("by_difficulty", F.col("difficulty"), every))
         .unionByName(section("by_task", F.col("task"), F.col("part") == "train"))
         .unionByName(section("total", F.concat(F.lit("n_"), F.col("part")), every))
         .unionByName(removed)
+        .unionByName(reduce(DataFrame.unionByName, [removed.limit(0), *map(versioned, (sources or {}).items())]))
     )
 
 

@@ -166,20 +166,41 @@ def nested_sizes(spark, sf_dir):
     return curate.nested_sizes(fixtures.pairs(spark, sf_dir), [50, 143, 347, 1171]).select("variant", "pair_id")
 
 
+_CELL = "coalesce(concat(length(CAST({0} AS VARCHAR)), ':', {0}), '-')"
+
+
+def _version(name, view, columns):
+    return f"""SELECT 'source', concat('{name} ', sum(CAST(concat('0x', substr(h, 1, 15)) AS BIGINT)), '-', sum(CAST(concat('0x', substr(h, 17, 15)) AS BIGINT))), count(*)
+FROM (SELECT md5(concat_ws('|', {", ".join(_CELL.format(c) for c in columns)})) AS h FROM {view})"""
+
+
+TRAIN_COLUMNS, EVAL_COLUMNS = ("pair_id", "db_id", "question", "sql"), ("question_id", "db_id", "gold_sql")
+
+
 @query(
     "c10_manifest",
-    f"""WITH {SPLIT},
+    f"""WITH {LEAKS},
+clean AS (SELECT * FROM tk WHERE pair_id NOT IN (SELECT pair_id FROM leaks)),
+{SPLIT.replace("FROM f_pairs", "FROM clean")},
 t AS (SELECT db_id, coalesce(difficulty, 'unknown') AS difficulty, 'sql_generation' AS task, split FROM split)
 SELECT 'by_db' AS section, db_id AS name, count(*) AS n FROM t GROUP BY ALL
 UNION ALL SELECT 'by_difficulty', difficulty, count(*) FROM t GROUP BY ALL
 UNION ALL SELECT 'by_task', task, count(*) FROM t WHERE split = 'train' GROUP BY ALL
 UNION ALL SELECT 'total', concat('n_', split), count(*) FROM t GROUP BY ALL
-UNION ALL SELECT 'total', 'eval_leaks_removed', 0""",
-    P,
+UNION ALL SELECT 'total', 'eval_leaks_removed', count(DISTINCT pair_id) FROM leaks
+UNION ALL {_version("pairs", "f_pairs", TRAIN_COLUMNS)}
+UNION ALL {_version("questions", "f_eval", EVAL_COLUMNS)}""",
+    PE,
 )
 def manifest(spark, sf_dir):
-    rows = curate.tag_source(curate.stratified_split(fixtures.pairs(spark, sf_dir)), "synthetic")
-    return curate.manifest(rows.filter("split = 'train'"), rows.filter("split = 'val'"))
+    pairs, questions = train_rows(spark, sf_dir), asked(spark, sf_dir)
+    removed = curate.find_leaks(pairs, questions).agg(F.count_distinct("pair_id")).scalar()
+    rows = curate.tag_source(curate.stratified_split(curate.drop_leaks(pairs, questions)), "synthetic")
+    sources = {
+        "pairs": fixtures.pairs(spark, sf_dir).select(*TRAIN_COLUMNS),
+        "questions": fixtures.eval_set(spark, sf_dir).select(*EVAL_COLUMNS),
+    }
+    return curate.manifest(rows.filter("split = 'train'"), rows.filter("split = 'val'"), removed, sources)
 
 
 @query(
