@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qloom.functions.binding import let
-from qloom.plans import cut_lineage
+from qloom.plans import cut_lineage, key_bits, may_hold
 
 
 def _grams(value: Column, size: Column) -> Column:
@@ -19,6 +19,10 @@ def _grams(value: Column, size: Column) -> Column:
     return F.coalesce(let(F.length(value) - size + 1, pieces), F.array().cast("array<string>"))
 
 
+def _hashed(grams: Column) -> Column:
+    return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
+
+
 def containment_join(
     texts: DataFrame, patterns: DataFrame, text_id: str, text: str, pattern: str, gram: int = 3
 ) -> DataFrame:
@@ -27,17 +31,16 @@ def containment_join(
     A text holding a pattern holds each of its n-grams, so candidates come from
     an equality join on one n-gram per pattern, the one fewest texts hold, and
     only candidates are searched. Patterns shorter than ``gram`` are n-grams
-    themselves.
+    themselves. N-grams travel as hashes, and those no pattern has are dropped by a table of
+    bits before any row moves; a hash that stands for two n-grams only adds candidates.
     """
     wanted = patterns.select(pattern, F.least(F.length(pattern), F.lit(gram)).alias("__size"))
-    pieces = wanted.select(pattern, F.explode(_grams(F.col(pattern), F.col("__size"))).alias("__g"))
+    pieces = wanted.select(pattern, F.explode(_hashed(_grams(F.col(pattern), F.col("__size")))).alias("__g"))
     vocabulary = pieces.select("__g").distinct()
     sizes = F.array(*[F.lit(i) for i in range(1, gram + 1)])
-    held = cut_lineage(
-        texts.select(text_id, F.explode(F.flatten(F.transform(sizes, lambda s: _grams(F.col(text), s)))).alias("__g")).join(
-            vocabulary, "__g", "left_semi"
-        )
-    )
+    pieces_of_texts = F.flatten(F.transform(sizes, lambda size: _grams(F.col(text), size)))
+    read = texts.select(text_id, F.explode(_hashed(pieces_of_texts)).alias("__g"))
+    held = cut_lineage(read.filter(may_hold(key_bits(vocabulary), F.col("__g"))).join(vocabulary, "__g", "left_semi"))
     spread = held.groupBy("__g").agg(F.count(F.lit(1)).alias("__df"))
     rarest = Window.partitionBy(pattern).orderBy("__df", "__g")
     # A pattern with an n-gram no text holds is in no text.

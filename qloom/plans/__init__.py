@@ -1,6 +1,7 @@
 """Plan building blocks shared by the operators: skew-safe joins, ranks that do
 not funnel through one task, checked broadcasts and lineage cuts."""
 
+from qloom.plans.keybits import key_bits, may_hold
 from qloom.plans.lineage import cut_lineage
 from qloom.plans.ranking import (
     exact_median,
@@ -23,8 +24,10 @@ __all__ = [
     "hash_key",
     "hot_keys",
     "inline_if_small",
+    "key_bits",
     "local_frame",
     "lookup_join",
+    "may_hold",
     "most_rows",
     "order_statistics",
     "ranks_of_values",

@@ -152,3 +152,53 @@ def test_no_unbounded_window_or_cross_join_in_rank_plan(spark):
     df = spark.range(100).withColumn("v", F.col("id") % 10)
     plan = lookup_join(df, ranks_of_values(df, "v"), ["v"])._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_key_bits_hold_every_key_and_few_others(spark):
+    from qloom.plans import key_bits, may_hold
+
+    keys = spark.range(5000).select(F.when(F.col("id") % 7 != 0, F.xxhash64("id")).alias("k"))
+    asked = spark.range(100_000).select("id", F.xxhash64("id").alias("k"))
+    passed = {r.id for r in asked.filter(may_hold(key_bits(keys), F.col("k"))).collect()}
+    held = {i for i in range(5000) if i % 7}
+    assert held <= passed and len(passed - held) < 100
+    assert asked.filter(may_hold(key_bits(keys.limit(0)), F.col("k"))).count() == 0
+
+
+def test_overlap_moves_only_hashes_that_an_item_has(spark):
+    from qloom.operators import overlap
+
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 200), i -> concat('w', id * 1000 + i))) AS text")
+    items = docs.filter("doc_id < 3").selectExpr("doc_id AS item_id", "concat_ws(' ', slice(split(text, ' '), 50, 20)) AS text")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    moved = []
+    cut = overlap.cut_lineage
+
+    def watch(df):
+        moved.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    overlap.cut_lineage = watch
+    try:
+        got = {(r.doc_id, r.item_id, r.shared) for r in overlap.ngram_overlap(docs, items).collect()}
+    finally:
+        overlap.cut_lineage = cut
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {(i, i, 17) for i in range(3)}
+    # The filter on the table of bits stands between the n-grams and the join, and what is
+    # joined are ids, sizes and hashes.
+    lines = moved[0].splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join LeftSemi" in line)
+    below = next(i for i, line in enumerate(lines) if i > join and "scalar-subquery" in line)
+    assert "Filter" in lines[below] and any("Generate explode" in line for line in lines[below + 1 :])
+
+
+def test_overlap_splits_a_hash_that_many_texts_hold(spark, monkeypatch):
+    from qloom.operators import overlap
+
+    monkeypatch.setattr(overlap, "HOT_ROWS", 10)
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat('a b c d e f g h ', id) AS text")
+    items = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e z"), (3, "")], "item_id int, text string")
+    got = sorted((r.doc_id, r.item_id, r.shared, r.total) for r in overlap.ngram_overlap(docs, items, threshold=0.6).collect())
+    assert got == sorted([(i, 1, 5, 5) for i in range(200)] + [(i, 2, 2, 3) for i in range(200)])
