@@ -18,6 +18,9 @@ from qloom.llm.common import documents_of, stored
 #: the sampled splitters on the driver stay small however long the texts are.
 SPLITTER_BYTES = 64
 
+#: Stands for a NULL doc_id while rows are sorted: before every id.
+NO_ID = -(1 << 63)
+
 _RUNS = (
     "doc_id bigint, part int, run bigint, keep_id bigint, group_size bigint, text_sha256 string, "
     "top boolean, edge boolean, edge_text string"
@@ -121,7 +124,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
     Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256. All
     NULL and empty texts are one group; of repeated rows exactly one is kept. An
-    empty table gives an empty table; other columns are ignored.
+    empty table gives an empty table; other columns are ignored. A NULL doc_id counts as smaller
+    than any other: it is kept where all rows of a group have none, and comes back
+    as NULL. The id -2^63 stands for it and is taken as NULL too.
 
     Texts are range-partitioned by sampled splitters and sorted within the partitions,
     with spilling; neighbours are compared in full. The id is part of the
@@ -130,7 +135,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     partition; these alone are grouped by their text again.
     """
     beginning = F.substring(F.col("text").cast("binary"), 1, SPLITTER_BYTES)
-    rows = normalised(docs).select("doc_id", "text", beginning.alias("beginning"), F.xxhash64("text").alias("hash"))
+    doc_id = F.coalesce("doc_id", F.lit(NO_ID).cast("bigint")).alias("doc_id")
+    rows = normalised(docs).select(doc_id, "text", beginning.alias("beginning"), F.xxhash64("text").alias("hash"))
     ordered = rows.repartitionByRange("beginning", "hash", "doc_id").sortWithinPartitions(
         "beginning", "hash", "text", "doc_id"
     )
@@ -148,9 +154,10 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     totals = edges.join(whole, "edge_text").select("part", "run", "whole_keep", "whole_size")
     joined = found.drop("edge_text").join(F.broadcast(totals), ["part", "run"], "left")
     keep = F.coalesce("whole_keep", "keep_id")
+    none = F.lit(NO_ID).cast("bigint")
     return joined.select(
-        "doc_id",
-        keep.alias("keep_id"),
+        F.nullif("doc_id", none).alias("doc_id"),
+        F.nullif(keep, none).alias("keep_id"),
         F.coalesce("whole_size", "group_size").alias("group_size"),
         (F.col("top") & (F.col("doc_id") == keep)).alias("kept"),
         "text_sha256",

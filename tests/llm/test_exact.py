@@ -39,6 +39,17 @@ def test_repeated_rows_keep_one(documents):
     assert collect(exact_duplicates(docs.union(docs))) == brute([(0, "Ab"), (1, "aB")] * 2)
 
 
+def test_null_ids_are_the_smallest(spark):
+    rows = [(None, "Ab"), (3, "aB"), (None, "x"), (None, "X"), (None, None), (5, ""), (-4, "only")]
+    got = exact_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    found = sorted((r.doc_id is not None, r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got)
+    assert found == sorted(
+        [(False, 0, 3, 2, False), (True, 3, 3, 2, True), (False, 0, 0, 2, False), (False, 0, 0, 2, True)]
+        + [(False, 0, 5, 2, False), (True, 5, 5, 2, True), (True, -4, -4, 1, True)]
+    )
+    assert all(r.keep_id is None for r in got if r.doc_id is None and r.keep_id not in (3, 5))
+
+
 def test_groups_over_many_partitions(spark, documents):
     rng = random.Random(2)
     long = "same beginning " * 20
