@@ -203,6 +203,20 @@ class Index:
         order = np.argsort(keys.ravel(), kind="stable")
         self.keys, self.numbers = keys.ravel()[order], numbers[order]
 
+    def state(self) -> dict:
+        """What a task needs to search, as arrays, lists and numbers only: a broadcast names
+        the classes of its objects, and executors may lack this package."""
+        kept = {name: value for name, value in vars(self).items() if name not in ("hasher", "embedding")}
+        return {**kept, "walks": self.embedding.walks, "seed": self.embedding.seed, "samples": self.embedding.samples}
+
+    @classmethod
+    def of(cls, state: dict) -> Index:
+        index = cls.__new__(cls)
+        vars(index).update(state)
+        index.hasher, index.embedding = Hasher(), Embedding(state["walks"], state["seed"])
+        index.embedding.samples = dict(state["samples"])
+        return index
+
     def _prefix(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - self.bits_of_table)).astype(np.int64)
 
@@ -322,7 +336,7 @@ def broadcast_blocks(docs: DataFrame, benchmark: DataFrame, share: float, block_
     for block in range(blocks):
         part = wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").toArrow()
         index = Index(part.column("item_id").to_pylist(), part.column("text").to_pylist(), share)
-        yield docs.sparkSession.sparkContext.broadcast(vars(index))
+        yield docs.sparkSession.sparkContext.broadcast(index.state())
 
 
 def drop_contaminated(
@@ -336,8 +350,7 @@ def drop_contaminated(
 
 def _free_of(shared):
     def decide():
-        index, hasher = Index.__new__(Index), Hasher()
-        vars(index).update(shared.value)
+        index, hasher = Index.of(shared.value), Hasher()
 
         def approve(texts: pa.Array) -> np.ndarray:
             good = np.ones(len(texts), bool)
@@ -355,9 +368,7 @@ def _free_of(shared):
 
 def _search(docs: DataFrame, shared) -> DataFrame:
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index.__new__(Index)
-        vars(index).update(shared.value)
-        hasher = Hasher()
+        index, hasher = Index.of(shared.value), Hasher()
         for batch in batches:
             lower = pc.utf8_lower(batch.column("text"))
             columns: list[list[int]] = [[] for _ in range(6)]

@@ -7,7 +7,8 @@ import random
 import numpy as np
 import pytest
 
-from qloom.llm.decontam import Index, drop_contaminated, edited, find_passages, most_edits, prefix_distance
+from qloom.llm.decontam import Index, drop_contaminated, edited, find_passages, most_edits, prefix_distance, word_hashes
+from qloom.llm.words import Hasher
 
 
 def distance(a, b):
@@ -112,3 +113,18 @@ def test_nothing(documents, bench):
     _, benchmark = bench
     assert find_passages(documents([]), benchmark).collect() == []
     assert find_passages(documents(["a b c d e f g h"]), benchmark.limit(0)).collect() == []
+
+
+def test_what_tasks_get_names_no_class_of_the_package(prose):
+    import pickle
+    import pickletools
+
+    texts = [prose(k, 20) for k in range(6)]
+    built = Index(list(range(6)), texts)
+    sent = pickle.dumps(built.state(), 4)
+    named = {str(arg) for _, arg, _ in pickletools.genops(sent) if isinstance(arg, str)}
+    assert not any("qloom" in name for name in named)
+    again = Index.of(pickle.loads(sent))
+    hashes = word_hashes(prose(99, 30) + " " + texts[2] + " " + prose(98, 30), Hasher())
+    rows = np.array([0, len(hashes)])
+    assert list(again.matches(hashes, rows)) == list(built.matches(hashes, rows)) != []
