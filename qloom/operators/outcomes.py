@@ -18,6 +18,7 @@ from qloom.plans import local_frame
 
 AMBIGUOUS = "ambiguous"
 ERROR = "error"
+TIMEOUT = "timeout"
 
 OUTCOME_SCHEMA = T.StructType(
     [
@@ -65,7 +66,7 @@ def _blocks(frame: DataFrame, size: int) -> Iterator[list[tuple]]:
 
 
 def _run_one(
-    spark: SparkSession, statement_id: str, sql: str, timeout_seconds: float, empty_is_error: bool, archive: str | None
+    spark: SparkSession, statement_id: str, sql: str, timeout_seconds: float | None, empty_is_error: bool, archive: str | None
 ) -> tuple:
     context = spark.sparkContext
     tag = f"qloom-{statement_id}"
@@ -75,9 +76,10 @@ def _run_one(
         timed_out.set()
         context.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(timeout_seconds, expire)
+    timer = None if timeout_seconds is None else threading.Timer(timeout_seconds, expire)
     context.addJobTag(tag)
-    timer.start()
+    if timer is not None:
+        timer.start()
     try:
         # Every column is computed: a bare count would let the optimizer drop the select list.
         frame = spark.sql(sql)
@@ -90,10 +92,11 @@ def _run_one(
             whole.select(canonical_row(whole)).write.mode("overwrite").parquet(f"{archive}/statement={statement_id}")
         n = counted.get["n"]
     except Exception as exc:
-        reason = "timeout" if timed_out.is_set() else (str(exc).splitlines() or [type(exc).__name__])[0][:150]
+        reason = TIMEOUT if timed_out.is_set() else (str(exc).splitlines() or [type(exc).__name__])[0][:150]
         return statement_id, ERROR, None, None, reason
     finally:
-        timer.cancel()
+        if timer is not None:
+            timer.cancel()
         context.removeJobTag(tag)
     names = ",".join(frame.columns)
     if n == 0 and empty_is_error:
@@ -104,7 +107,7 @@ def _run_one(
 def run_candidates(
     spark: SparkSession,
     statements: Statements,
-    timeout_seconds: float = 30.0,
+    timeout_seconds: float | None = 30.0,
     concurrency: int = 8,
     empty_is_error: bool = False,
     archive: str | None = None,
@@ -117,7 +120,8 @@ def run_candidates(
     ``statements`` are (statement_id, sql), as a frame of any size or a short list. The driver takes
     them in blocks of ``block`` and submits at most ``concurrency`` at a time; each runs distributed, computes
     all its columns, and only its row count comes back. A statement over the time limit is cancelled by
-    its job tag. With ``archive`` the rows of each statement are kept in that shared folder, in the
+    its job tag; one that shared the machines with others until then is run again with none beside it, and
+    only what that run takes counts. None sets no limit. With ``archive`` the rows of each statement are kept in that shared folder, in the
     form of ``canonical_row``.
 
     With ``ledger``, a shared folder, outcomes are kept there block by block; a later call with the same
@@ -152,7 +156,11 @@ def run_candidates(
 
     with ThreadPoolExecutor(max_workers=concurrency) as pool:
         for items in _blocks(todo, block):
-            rows = sorted(pool.map(work, items))
+            rows = list(pool.map(work, items))
+            # Beside others a statement waits for cores, so its own time is known only alone.
+            if concurrency > 1 and len(items) > 1:
+                rows = [work(item) if row[4] == TIMEOUT else row for item, row in zip(items, rows)]
+            rows.sort()
             if ledger is None:
                 ended += rows
             else:
@@ -162,7 +170,7 @@ def run_candidates(
     return local_frame(spark, sorted(ended), OUTCOME_SCHEMA).unionByName(refused)
 
 
-def _seconds(spark: SparkSession, sql: str, timeout_seconds: float, clock: Callable[[], float]) -> float | None:
+def _seconds(spark: SparkSession, sql: str, timeout_seconds: float | None, clock: Callable[[], float]) -> float | None:
     """Time of one run of a statement; None if it fails or runs over the limit."""
     began = clock()
     status = _run_one(spark, "timed", sql, timeout_seconds, False, None)[1]
@@ -174,7 +182,7 @@ def time_repeats(
     questions: DataFrame,
     ledger: str,
     repeats: int = 5,
-    timeout_seconds: float = 30.0,
+    timeout_seconds: float | None = 30.0,
     clock: Callable[[], float] = time.perf_counter,
     block: int = BLOCK,
 ) -> DataFrame:
@@ -241,11 +249,21 @@ def _normal_digits(printed: Column) -> Column:
     return F.when(~printed.rlike(r"^-?\d"), printed).when(F.ltrim(short, F.lit("0")) == "", F.lit("0")).otherwise(shown)
 
 
+def _whole_digits(number: Column) -> Column:
+    """``_normal_digits`` of a whole number, without patterns."""
+    printed = number.cast("string")
+    short = F.rtrim(printed, F.lit("0"))
+    power = F.length(printed) - F.length(short)
+    return F.when(number == 0, F.lit("0")).otherwise(F.concat(short, F.lit("e"), power.cast("string")))
+
+
 def canonical_cell(data_type: T.DataType, column: Column) -> Column:
     """Text under which equal values of any types are equal: 1, 1.0, TRUE and decimal 1 are one
     number, text is never a number, NULL is NULL."""
 
-    if isinstance(data_type, (T.NumericType, T.BooleanType)):
+    if isinstance(data_type, (T.IntegralType, T.BooleanType)):
+        text_ = F.concat(F.lit("n"), _whole_digits(column.cast("bigint")))
+    elif isinstance(data_type, T.NumericType):
         text_ = F.concat(F.lit("n"), _normal_digits(_printed_number(data_type, column)))
     elif isinstance(data_type, (T.StringType, T.CharType, T.VarcharType)):
         text_ = F.concat(F.lit("s"), column)
@@ -268,7 +286,7 @@ def evaluate(
     spark: SparkSession,
     predictions: DataFrame | Iterable[tuple[str, str, str]],
     folder: str,
-    timeout_seconds: float = 30.0,
+    timeout_seconds: float | None = 30.0,
     concurrency: int = 8,
     repeats: int = 0,
     clock: Callable[[], float] = time.perf_counter,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from decimal import Decimal
 
 import pytest
@@ -264,3 +266,38 @@ def test_timed_repeats_feed_the_score(spark, tmp_path, monkeypatch):
     assert (rows["x"].t_gold, rows["x"].t_pred) == (3.0, 9.0) and rows["x"].exec_ratio == pytest.approx((3 / 9) ** 0.5)
     assert [rows[k].score for k in "xyzn"] == [1, 0, 1, 0] and rows["y"].t_gold is None and rows["y"].exec_ratio == 0
     assert rows["n"].error == "no statement"
+
+
+def test_the_time_limit_counts_a_statement_alone(spark, monkeypatch):
+    """A statement held up by others beside it is run again alone; one too slow by itself times out."""
+    lock, beside, calls = threading.Lock(), [0], []
+
+    def run(session, statement_id, sql, limit, *rest):
+        with lock:
+            beside[0] += 1
+            calls.append(statement_id)
+        time.sleep(0.3)
+        with lock:
+            crowded, beside[0] = beside[0] > 1, beside[0] - 1
+        if crowded or statement_id == "slow":
+            return statement_id, "error", None, None, "timeout"
+        return statement_id, "success", 1, "a", None
+
+    monkeypatch.setattr(outcomes, "_run_one", run)
+    asked = [(name, "SELECT 1 AS a FROM t") for name in ("one", "slow", "two")]
+    got = {r.statement_id: (r.status, r.error) for r in outcomes.run_candidates(spark, asked, concurrency=3).collect()}
+    assert got == {"one": ("success", None), "two": ("success", None), "slow": ("error", "timeout")}
+    assert calls.count("slow") == 2
+
+
+def test_no_time_limit(spark):
+    asked = [("a", "SELECT count(*) AS n FROM range(1000)")]
+    assert [r.status for r in outcomes.run_candidates(spark, asked, timeout_seconds=None).collect()] == ["success"]
+
+
+def test_whole_numbers_and_their_decimals_have_one_text(spark):
+    values = [0, 7, -7, 10, -1200, 2**63 - 1, -(2**63), 1000000007]
+    df = spark.createDataFrame([(v,) for v in values], "a bigint")
+    cell, other = outcomes.canonical_cell(df.schema["a"].dataType, F.col("a")), F.col("a").cast("decimal(19,0)")
+    wide = df.select(cell.alias("x"), outcomes.canonical_cell(df.select(other.alias("b")).schema["b"].dataType, other).alias("y"))
+    assert all(r.x == r.y for r in wide.collect())
