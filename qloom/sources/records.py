@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qloom.functions.binding import let
 from qloom.plans import local_frame
 
 PAIR_SCHEMA = T.StructType(
@@ -104,13 +106,52 @@ def write_records(df: DataFrame, path: str, by: str | None = "db_id", kind: str
     writer.format(kind).save(path)
 
 
+def json_number(value: Column) -> Column:
+    """A double as JSON writers print it: the shortest digits that mean it, and a power of ten
+    only below 10^-6 and from 10^21 on. The smallest subnormal ones may show a digit more."""
+    size = F.abs(value)
+
+    def printed(places: int) -> Column:
+        return F.format_string(f"%.{places}e", size)
+
+    # Java prints a digit too many now and then.
+    shortest = F.coalesce(*[F.when(printed(p).try_cast("double") == size, printed(p)) for p in (14, 15)], printed(16))
+
+    def laid_out(text: Column) -> Column:
+        digits = F.concat(F.substring(text, 1, 1), F.rtrim(F.substring_index(F.substring(text, 3, 40), "e", 1), F.lit("0")))
+        power = F.substring_index(text, "e", -1).try_cast("int")
+        return let(F.struct(digits.alias("d"), power.alias("p")), placed)
+
+    def placed(number: Column) -> Column:
+        digits, power = number["d"], number["p"]
+        whole = F.rpad(digits, power + 1, F.lit("0"))
+        rest = F.substr(digits, power + 2)
+        plain = F.concat(whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -1 - power), digits)
+        tail = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(F.lit(""))
+        raised = F.concat(F.substring(digits, 1, 1), tail, F.lit("e"), power.cast("string"))
+        return F.when(power.between(0, 20), plain).when(power.between(-6, -1), small).otherwise(raised)
+
+    sign = F.when(value.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    special = F.isnan(value) | (size == float("inf"))
+    return F.when(special, value.cast("string")).otherwise(F.concat(sign, let(shortest, laid_out)))
+
+
 def archive_results(results: DataFrame, keys: Sequence[str] = ("query_id", "side")) -> DataFrame:
     """(keys, row): each result row as JSON text."""
     cells = [c for c in results.columns if c not in keys]
     ready = portable(results.select(*cells, *[F.col(k).alias(f"__{k}") for k in keys]))
+
+    def member(name: str) -> Column:
+        ref = F.col(f"`{name}`")
+        if isinstance(ready.schema[name].dataType, T.DoubleType):
+            return F.concat(F.lit(json.dumps(name, ensure_ascii=False) + ":"), F.coalesce(json_number(ref), F.lit("null")))
+        shown = F.to_json(F.struct(ref.alias(name)), {"ignoreNullFields": "false"})
+        return let(shown, lambda m: F.substr(m, F.lit(2), F.length(m) - 2))
+
     return ready.select(
         *[F.col(f"__{k}").alias(k) for k in keys],
-        F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("row"),
+        F.concat(F.lit("{"), F.concat_ws(",", *map(member, cells)), F.lit("}")).alias("row"),
     )
 
 

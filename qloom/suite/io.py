@@ -92,8 +92,7 @@ def write_records(spark, sf_dir):
     ("f_results",),
 )
 def archive_results(spark, sf_dir):
-    exact = fixtures.results(spark, sf_dir).withColumn("c1", F.col("c1").cast("decimal(18,2)"))
-    return records.archive_results(exact)
+    return records.archive_results(fixtures.results(spark, sf_dir))
 
 
 @query(

@@ -301,3 +301,16 @@ def test_whole_numbers_and_their_decimals_have_one_text(spark):
     cell, other = outcomes.canonical_cell(df.schema["a"].dataType, F.col("a")), F.col("a").cast("decimal(19,0)")
     wide = df.select(cell.alias("x"), outcomes.canonical_cell(df.select(other.alias("b")).schema["b"].dataType, other).alias("y"))
     assert all(r.x == r.y for r in wide.collect())
+
+
+def test_archived_numbers_keep_all_digits(spark, duck):
+    """Digits of a double are the shortest that mean it, without a power of ten up to 10^21, as JSON writers print them."""
+    values = [0.1, 1e-6, 1.5e-7, 12345678.9, 1e7, 1e15, 1e20, 1e21, 1.23e25, 1e23, 2e-3, 8.41e21, -0.0, 65537.99000000001, 1e-300, 1 / 3, -98765432.109375, None]
+    values += [(k * 7919 % 999_983) / 100 * 10.0 ** (k % 17 - 5) + 1 for k in range(400)]
+    df = spark.createDataFrame([(k, v, 'a"\\é') for k, v in enumerate(values)], "query_id int, x double, `the \"name` string")
+    got = {r.query_id: r.row for r in records.archive_results(df, ["query_id"]).collect()}
+    for k, v in enumerate(values):
+        want = duck.execute("SELECT CAST(to_json(CAST(? AS DOUBLE)) AS VARCHAR)", [v]).fetchone()[0] or "null"
+        assert got[k] == '{"x":' + want + ',"the \\"name":"a\\"\\\\é"}'
+    one = spark.createDataFrame([(1, Decimal("12345678.50"), None)], "query_id int, x decimal(18,2), y double")
+    assert records.archive_results(one, ["query_id"]).first().row == '{"x":12345678.5,"y":null}'
