@@ -9,6 +9,7 @@ place.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,6 +41,17 @@ LEAK_KEY_STEPS = (
     (r"\s*([=<>,])\s*", "$1"),
     (r"\s+", " "),
 )
+# The same steps: fences before and brackets behind these need no pattern, and only texts that hold one of the
+# marks are changed by these. No step brings a mark in.
+LEAK_KEY_MARKS = ("distinct", "as", ".", "inner")
+LEAK_KEY_WORDS = (
+    (r"\bdistinct\b", " "),
+    (r"\bas\s+[a-z_]\w*", " "),
+    (r"\b[a-z_]\w*+\.", ""),
+    (r"\bas\b", " "),
+    (r"\binner\s+join\b", "join"),
+)
+LEAK_KEY_SPACES = ((r"\s*+([=<>,])\s*+", "$1"), (r"\s+", " "))
 SELECT_STAR = r"(?is)(?:\bselect\s+(?:all\s+|distinct\s+)?|,\s*|\.)\*"
 LOGIC_WORDS = r"(?i)\b(?:where|group|join|order)\b"
 AGGREGATE_CALL = r"(?i)\b(?:count|sum|avg|min|max|stddev|variance|array_agg|string_agg)\s*\("
@@ -143,8 +155,13 @@ def leak_key(sql: Column, unicode: bool = False) -> Column:
     """Key under which two statements with equal literals are the same query,
     whatever their aliases, qualifiers, parentheses and spacing."""
     flags = "(?U)" if unicode else ""
-    text = F.lower(sql)
-    for pattern, replacement in LEAK_KEY_STEPS:
+    bare = F.replace(F.replace(F.lower(sql), F.lit("```sql"), F.lit(" ")), F.lit("```"), F.lit(" "))
+    text = bare
+    for pattern, replacement in LEAK_KEY_WORDS:
+        text = _drop(text, flags + pattern, replacement)
+    marked = reduce(Column.__or__, [bare.contains(mark) for mark in LEAK_KEY_MARKS])
+    text = F.translate(F.when(marked, text).otherwise(bare), "();", "   ")
+    for pattern, replacement in LEAK_KEY_SPACES:
         text = _drop(text, flags + pattern, replacement)
     return strip(text)
 

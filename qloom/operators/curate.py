@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from qloom.functions import text
 from qloom.plans import (
     HOT_ROWS,
+    cut_lineage,
     first_by_hash,
     hash_cutoffs,
     hash_key,
@@ -115,11 +116,19 @@ def _against(train: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         return rows.withColumn("__key", _leak_hash("sql"))
 
     on = ["db_id", "__key"]
+    # The join reads the keys twice, and filters on them would compute each again.
+    keys = cut_lineage(keys)
     # Sampling comes before the key is computed, so only sampled rows pay for it.
     hot = hot_keys(keyed(row_sample(train.select("db_id", "sql"))), on)
     return lookup_join(keyed(train), keys, on, how, hot).drop("__key")
 
 
+def mark_leaks(train: DataFrame, eval_set: DataFrame, flag: str = "leaks") -> DataFrame:
+    """Training rows with whether each leaks: ``find_leaks`` and ``drop_leaks`` in one reading."""
+    keys = eval_keys(eval_set).select("db_id", "__key", F.lit(True).alias(flag))
+    return _against(train, keys, "left").withColumn(flag, F.col(flag).isNotNull())
+
+
 def find_leaks(train: DataFrame, eval_set: DataFrame) -> DataFrame:
     """Training rows whose statement is an evaluation answer of the same database."""
     return _against(train, eval_keys(eval_set), "inner")
@@ -192,8 +201,8 @@ def manifest(
         .unionByName(val.select(*columns, F.lit("val").alias("part")))
         .withColumn("difficulty", F.coalesce("difficulty", F.lit(PAIR_DEFAULTS["difficulty"])))
     )
-    # One row per combination leaves the map side; everything below is tiny.
-    cube = rows.groupBy("part", *columns).agg(F.count(F.lit(1)).alias("n"))
+    # One row per combination leaves the map side; kept, so that no section counts the rows again.
+    cube = cut_lineage(rows.groupBy("part", *columns).agg(F.count(F.lit(1)).alias("n")))
 
     def section(label: str, name: Column, keep: Column) -> DataFrame:
         return (
