@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qloom.operators import curate, overlap
+from qloom.plans import cut_lineage
 from qloom.suite import fixtures
 from qloom.suite.registry import query, table
 from qloom.suite.sqltext import NORMALIZED, TRIM, leak_key_sql
@@ -194,8 +195,11 @@ UNION ALL {_version("questions", "f_eval", EVAL_COLUMNS)}""",
 )
 def manifest(spark, sf_dir):
     pairs, questions = train_rows(spark, sf_dir), asked(spark, sf_dir)
-    removed = curate.find_leaks(pairs, questions).agg(F.count_distinct("pair_id")).scalar()
-    rows = curate.tag_source(curate.stratified_split(curate.drop_leaks(pairs, questions)), "synthetic")
+    # Kept narrow and once: the split and the counts read these rows several times.
+    marked = cut_lineage(curate.mark_leaks(pairs, questions).select("pair_id", "db_id", "difficulty", "leaks"))
+    removed = marked.filter("leaks").agg(F.count_distinct("pair_id")).scalar()
+    clean = marked.filter("NOT leaks").drop("leaks")
+    rows = curate.tag_source(curate.stratified_split(clean), "synthetic")
     sources = {
         "pairs": fixtures.pairs(spark, sf_dir).select(*TRAIN_COLUMNS),
         "questions": fixtures.eval_set(spark, sf_dir).select(*EVAL_COLUMNS),

@@ -159,6 +159,16 @@ def test_leaks_need_the_same_database_and_the_later_question_owns(rows):
     assert curate.leak_totals(train.filter("pair_id > 1"), asked).first().passed is True
 
 
+def test_leaks_are_marked_in_one_reading(spark, rows):
+    train = rows([(1, "d", "select a from t"), (2, "d", "select b from t"), (3, "e", "select a from t"), (4, None, None)], "pair_id int, db_id string, sql string")
+    asked = rows([(11, "d", "SELECT a FROM t;"), (None, "d", "select b from t")], "question_id int, db_id string, gold_sql string")
+    assert {r.pair_id: r.leaks for r in curate.mark_leaks(train, asked).collect()} == {1: True, 2: True, 3: False, 4: False}
+    part = rows([("d", "x", "t")], "db_id string, difficulty string, task string")
+    # Sections read the kept counts, not the rows again.
+    plan = curate.manifest(part, part, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [part" not in plan
+
+
 def test_split_keeps_every_row_and_one_validation_row(spark):
     pairs = spark.range(103).select(F.col("id").alias("pair_id"), F.when(F.col("id") < 3, "small").otherwise("big").alias("db_id"))
     counts = {(r.db_id, r.split): r["count"] for r in curate.stratified_split(pairs).groupBy("db_id", "split").count().collect()}
