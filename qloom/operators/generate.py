@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,20 @@ PAIR_LIST = T.ArrayType(
 IN_FLIGHT = 64
 
 
+def answers_of(pool: ThreadPoolExecutor, ask: Callable[[str], tuple], values: list[str], concurrency: int) -> list[tuple]:
+    """Answers in the order of the values. Each thread takes the next open one until none is left: a future
+    per value costs more than a quick call."""
+    answers: list = [None] * len(values)
+    following = count()
+
+    def work(_: int) -> None:
+        while (at := next(following)) < len(values):
+            answers[at] = ask(values[at])
+
+    list(pool.map(work, range(concurrency)))
+    return answers
+
+
 def batch_generate(
     prompts: DataFrame,
     fn: Callable[[str], str],
@@ -59,7 +74,7 @@ def batch_generate(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(max_workers=concurrency) as pool:
             for batch in batches:
-                answers = list(pool.map(ask, batch[prompt]))
+                answers = answers_of(pool, ask, list(batch[prompt]), concurrency)
                 yield batch.assign(reply=[a[0] for a in answers], failure=[a[1] for a in answers])
 
     return prompts.mapInPandas(run, schema)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
 import pytest
@@ -264,6 +265,19 @@ def test_retry_gives_up_after_the_limit(rows):
     assert {r.prompt: (r.attempts, r.status) for r in got} == {"1": (1, "success"), "3": (3, "success"), "9": (3, "error")}
 
 
+def test_quick_calls_cost_no_future_each():
+    class Counted(ThreadPoolExecutor):
+        submitted = 0
+
+        def submit(self, *args, **kwargs):
+            Counted.submitted += 1
+            return super().submit(*args, **kwargs)
+
+    with Counted(3) as pool:
+        got = generate.answers_of(pool, lambda value: (value, None), [str(k) for k in range(1000)], 3)
+    assert got == [(str(k), None) for k in range(1000)] and Counted.submitted == 3
+
+
 # --- profiles and plans ------------------------------------------------------------
 
 
