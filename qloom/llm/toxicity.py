@@ -133,15 +133,36 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, per_class: int = S
     logistic curve over its marginals on the documents' own labels.
     """
     drawn, rows = sample(docs, labels, training, per_class)
-    table = drawn.orderBy(F.xxhash64("text"), "toxic").toArrow()
+
+    def learn(table: pa.Table) -> pa.Table:
+        model = fit_sample(table.sort_by([("hash", "ascending"), ("toxic", "ascending")]), rows, per_class)
+        return pa.table({name: [part.tobytes()] for name, part in zip(Model._fields, model)})
+
+    # The bounded sample is one group, so that the driver holds the model only.
+    hashed = drawn.select(F.xxhash64("text").alias("hash"), "text", "toxic")
+    found = hashed.groupBy().applyInArrow(learn, "weights binary, transition binary, document binary").first()
+    if found is None:
+        return nothing_learned()
+    return Model(
+        np.frombuffer(found.weights, np.float32),
+        np.frombuffer(found.transition, np.float64).reshape(2, 2),
+        np.frombuffer(found.document, np.float64),
+    )
+
+
+def nothing_learned() -> Model:
+    return Model(np.zeros((1 << BITS) + 1, np.float32), np.zeros((2, 2)), np.array([-3.0, 0.0, 0.0, 0.0]))
+
+
+def fit_sample(table: pa.Table, rows: dict[int, int], per_class: int) -> Model:
+    """Fit on (text, toxic) rows in a fixed order; ``rows`` has the labelled rows of each class."""
     # Equal texts count once.
     table = table.group_by("text").aggregate([("toxic", "max")])
     texts = pc.utf8_lower(table.column("text").combine_chunks())
     y = table.column("toxic_max").to_numpy().astype(float)
     size = 1 << BITS
-    nothing = Model(np.zeros(size + 1, np.float32), np.zeros((2, 2)), np.array([-3.0, 0.0, 0.0, 0.0]))
     if not len(y) or y.min() == y.max():
-        return nothing
+        return nothing_learned()
     hasher = Hasher()
     parts = [(first, tokens_of(data, offsets, hasher)) for first, _, data, offsets in text_chunks(texts)]
 

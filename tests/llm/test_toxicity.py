@@ -86,3 +86,15 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted for r in clean) <= 0.03 * len(clean)
     toxic = [r for r in rows if truth[r.doc_id]]
     assert sum(r.predicted for r in toxic) >= 0.8 * len(toxic)
+
+
+def test_the_driver_takes_no_texts(corpus, monkeypatch):
+    """The fit runs in a task, so the driver's memory does not rise with its texts."""
+
+    def refuse(*_):
+        raise AssertionError("texts in the driver")
+
+    docs, labels, _ = corpus
+    monkeypatch.setattr(type(docs), "toArrow", refuse)
+    model = fit(docs, labels, F.col("doc_id") % 3 != 0)
+    assert model.weights.any() and model.weights.dtype == np.float32
