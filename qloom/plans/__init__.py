@@ -2,7 +2,7 @@
 not funnel through one task, checked broadcasts and lineage cuts."""
 
 from qloom.plans.keybits import key_bits, may_hold
-from qloom.plans.lineage import cut_lineage
+from qloom.plans.lineage import cut_lineage, scratch_folder
 from qloom.plans.ranking import (
     exact_median,
     first_by_hash,
@@ -32,5 +32,6 @@ __all__ = [
     "order_statistics",
     "ranks_of_values",
     "row_sample",
+    "scratch_folder",
     "top_per_group",
 ]

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from qloom.functions.binding import let
 from qloom.plans import local_frame
+from qloom.sources import large_files
 
 PAIR_SCHEMA = T.StructType(
     [
@@ -165,27 +166,36 @@ def short_sha1(content: Column) -> Column:
 
 def fingerprint_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(path, sha256, sha1): short content hashes, NULL for files that are not there. A
-    folder's hashes are those of the sorted list of its files' names and hashes."""
+    folder's hashes are those of the sorted list of its files' names and hashes. A file of more
+    than a block is hashed block by block, unless its name makes Spark's readers unpack it."""
     wanted = local_frame(spark, [(p, _qualified(spark, p)) for p in paths], "path string, __full string")
     present = [p for p in paths if _exists(spark, p)]
     if not present:
         return wanted.selectExpr("path", "CAST(NULL AS STRING) AS sha256", "CAST(NULL AS STRING) AS sha1")
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(present)
-        .select(
-            F.col("path").alias("__file"),
-            F.sha2("content", 256).alias("sha256"),
-            F.sha1("content").alias("sha1"),
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+
+    def hashed(whole: DataFrame) -> DataFrame:
+        return whole.select(
+            F.col("path").alias("__file"), F.sha2("content", 256).alias("sha256"), F.sha1("content").alias("sha1")
         )
-    )
+
+    listed = reader.load(present)
+    files = hashed(listed.filter(F.col("length") <= large_files.BLOCK))
+    # At most as many as there are blocks in the input.
+    key = F.xxhash64("_metadata.file_path").alias("key")
+    large = listed.filter(F.col("length") > large_files.BLOCK).select("path", "length", key).collect()
+    packed = {r.path for r in large if large_files.is_compressed(spark, r.path)}
+    if packed:
+        files = files.unionByName(hashed(reader.load([large_files.as_given(p) for p in packed])))
+    if len(packed) < len(large):
+        rows = large_files.large_file_hashes(spark, [r for r in large if r.path not in packed])
+        files = files.unionByName(local_frame(spark, rows, "__file string, sha256 string, sha1 string"))
     # The wanted paths are a list the caller wrote down.
     inside = F.col("__file").startswith(F.concat("__full", F.lit("/")))
     held = files.join(F.broadcast(wanted), (F.col("__file") == F.col("__full")) | inside)
-    listed = F.struct(F.substr("__file", F.length("__full") + 1).alias("name"), "sha256", "sha1")
+    entry = F.struct(F.substr("__file", F.length("__full") + 1).alias("name"), "sha256", "sha1")
     folded = held.groupBy("path", "__full").agg(
-        F.array_sort(F.collect_list(listed)).alias("__list"), F.bool_or(F.col("__file") == F.col("__full")).alias("__one")
+        F.array_sort(F.collect_list(entry)).alias("__list"), F.bool_or(F.col("__file") == F.col("__full")).alias("__one")
     )
 
     def whole(kind: str, hashed) -> Column:
