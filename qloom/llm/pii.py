@@ -16,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qloom.llm.boosting import Trees, fit_trees
-from qloom.llm.common import documents_of
+from qloom.llm.boosting import Trees, binned, cuts_of, grow, matrix, on_values, sums_over
+from qloom.llm.common import documents_of, stored
 from qloom.llm.tokens import small_runs
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 20_000
 PRECISION, SUPPORT = 0.99, 20
+#: Examples that the driver holds at most to fit on; more are read by tasks, with the same result.
+DRIVER_ROWS = 100_000
+#: Scores this close in log-odds stand or fall together.
+STEP = 1 / 1024
 
 # The base patterns. What stands before an @ and numbers with dots are taken as
 # whole runs, so that no long run is tried again from each of its characters.
@@ -252,51 +255,137 @@ class Judge(NamedTuple):
     thresholds: dict[str, float]
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Judge:
-    """Fit on the candidates of at most about ``sample_docs`` rows, drawn by a hash of
-    the id; thresholds come from another half of these rows."""
-    total = docs.count()
-    whole = 1 << 30
-    share = min(whole, int(whole * sample_docs / max(1, total)) + 1)
-    drawn = documents_of(docs).filter(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < share)
+def fit(docs: DataFrame, driver_rows: int = DRIVER_ROWS) -> Judge:
+    """Fit on the candidates of all rows, equal ones once: trees on those of one half of the
+    rows, drawn by a hash of the id, thresholds on those of the other half.
+
+    A candidate has a bounded length, so each feature has some thousand values at most and its
+    quantiles come from their counts. What the trees see of an example is its bins; equal
+    ones are counted.
+    """
 
     def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            rows = [
-                (features, label, kind, number & 1)
-                for first, texts in small_runs(batch.column("text"))
-                for number, text in zip(_halves(ids[first:]), texts)
-                if _DIGIT.search(text) or _HINT.search(text)
-                for features, label, kind in examples(text, number)
-            ]
-            columns = list(zip(*rows)) or [(), (), (), ()]
+            for first, texts in small_runs(batch.column("text")):
+                rows = {
+                    (np.array(features, np.float32).tobytes(), label, kind, number & 1)
+                    for number, text in zip(_halves(ids[first:]), texts)
+                    if _DIGIT.search(text) or _HINT.search(text)
+                    for features, label, kind in examples(text, number)
+                }
+                columns = list(zip(*rows)) or [(), (), (), ()]
+                kinds = [pa.binary(), pa.int32(), pa.string(), pa.int32()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values, kind) for values, kind in zip(columns, kinds)], ["x", "label", "kind", "half"]
+                )
+
+    found = documents_of(docs).mapInArrow(collect, "x binary, label int, kind string, half int")
+    told = stored(found.distinct())
+    fitted_on = told.filter("half = 0")
+    cuts = _cuts(fitted_on)
+    positive, rows = fitted_on.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
+    if not rows:
+        return Judge(grow([], 0, 0, lambda task: task), dict.fromkeys(KINDS, 2.0))
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = [row.tobytes() for row in binned(_features(batch.column("x")), cuts)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(columns[0], pa.list_(pa.float32())),
-                    pa.array(columns[1], pa.int32()),
-                    pa.array(columns[2], pa.string()),
-                    pa.array(columns[3], pa.int32()),
-                ],
-                ["x", "label", "kind", "half"],
+                [pa.array(bins, pa.binary()), *(batch.column(c) for c in ("label", "kind", "half"))],
+                ["bins", "label", "kind", "half"],
             )
 
-    table = (
-        drawn.mapInArrow(collect, "x array<float>, label int, kind string, half int")
-        .groupBy("x", "label", "kind", "half")
-        .count()
-        .orderBy("kind", "label", "half", "x")
-        .toArrow()
-    )
-    x = np.array(table.column("x").to_pylist(), float).reshape(-1, len(describe("", (0, 0, "ip"))))
-    y = table.column("label").to_numpy().astype(float)
-    kinds, half = np.array(table.column("kind").to_pylist(), object), table.column("half").to_numpy()
-    trees = fit_trees(x[half == 0], y[half == 0])
-    thresholds = {}
+    placed = told.mapInArrow(place, "bins binary, label int, kind string, half int")
+    counted = stored(placed.groupBy("bins", "label", "kind", "half").agg(F.count(F.lit(1)).alias("n")))
+    widths = [len(c) + 1 for c in cuts]
+    held = counted.limit(driver_rows + 1).toArrow()
+    if held.num_rows <= driver_rows:
+        half = held.column("half").to_numpy()
+        bins = matrix(held.column("bins"), WIDTH)
+        label, n = (held.column(c).to_numpy() for c in ("label", "n"))
+        mine = half == 0
+        trees = grow(widths, rows, positive, lambda task: task.sums(bins[mine], label[mine], n[mine]))
+        tally = _tally(trees, held.filter(pa.array(half == 1)))
+    else:
+        trees = grow(widths, rows, positive, sums_over(counted.filter("half = 0"), WIDTH))
+        tally = _tallies(trees, counted.filter("half = 1"))
+    return Judge(on_values(trees, cuts), _thresholds(tally))
+
+
+#: Features of a candidate.
+WIDTH = len(describe("", (0, 0, "ip")))
+_TALLY = pa.schema(
+    [("kind", pa.string()), ("step", pa.int64()), ("score", pa.float64()), ("n", pa.int64()), ("hits", pa.int64())]
+)
+
+
+def _features(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, WIDTH).astype(float)
+
+
+def _cuts(told: DataFrame) -> list[np.ndarray]:
+    """Quantiles of each feature, from how often each of its values occurs."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, column in enumerate(_features(batch.column("x")).T):
+                values, counts = np.unique(column, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k] * len(values), pa.int32()), pa.array(values), pa.array(counts, pa.int64())],
+                    ["feature", "value", "n"],
+                )
+
+    parts = told.mapInArrow(count, "feature int, value double, n bigint")
+    table = parts.groupBy("feature", "value").agg(F.sum("n").alias("n")).orderBy("feature", "value").toArrow()
+    feature, values, counts = (table.column(c).to_numpy() for c in ("feature", "value", "n"))
+    return [cuts_of(values[feature == k], counts[feature == k]) for k in range(WIDTH if len(feature) else 0)]
+
+
+def _tally(trees: Trees, rows: pa.Table | pa.RecordBatch) -> pa.Table:
+    """(kind, step, score, n, hits): examples and those with personal data by steps of the score, and
+    the lowest score of each."""
+    margins = trees.margins(matrix(rows.column("bins"), WIDTH))
+    label, n = (rows.column(c).to_numpy() for c in ("label", "n"))
+    columns = [
+        rows.column("kind"),
+        pa.array(np.floor(margins / STEP).astype(np.int64)),
+        pa.array(1 / (1 + np.exp(-margins))),
+        pa.array(n),
+        pa.array(n * label),
+    ]
+    return _merged(pa.Table.from_arrays(columns, schema=_TALLY))
+
+
+def _merged(parts: pa.Table) -> pa.Table:
+    wanted = [("score", "min"), ("n", "sum"), ("hits", "sum")]
+    found = parts.group_by(["kind", "step"]).aggregate(wanted).select(["kind", "step", "score_min", "n_sum", "hits_sum"])
+    return found.rename_columns(_TALLY.names)
+
+
+def _tallies(trees: Trees, rows: DataFrame) -> pa.Table:
+    """``_tally`` of a table of any size."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _tally(trees, batch).to_batches()
+
+    parts = rows.mapInArrow(run, "kind string, step bigint, score double, n bigint, hits bigint")
+    sums = [F.min("score").alias("score"), F.sum("n").alias("n"), F.sum("hits").alias("hits")]
+    return parts.groupBy("kind", "step").agg(*sums).toArrow()
+
+
+def _thresholds(tally: pa.Table) -> dict[str, float]:
+    """Per kind the lowest score from which at least ``PRECISION`` of the candidates are
+    personal data; above 1, which selects nothing, where too few tell."""
+    out = {}
     for kind in KINDS:
-        mine = (half == 1) & (kinds == kind)
-        thresholds[kind] = lowest_threshold(trees.scores(x[mine]), y[mine])
-    return Judge(trees, thresholds)
+        mine = tally.filter(pa.array([k == kind for k in tally.column("kind").to_pylist()], pa.bool_())).sort_by([("step", "descending")])
+        score, n, hits = (mine.column(c).to_numpy() for c in ("score", "n", "hits"))
+        caught = np.cumsum(hits)
+        allowed = np.flatnonzero((caught >= PRECISION * np.cumsum(n)) & (caught >= SUPPORT))
+        out[kind] = float(max(score[allowed[-1]], 0.5)) if len(allowed) else 2.0
+    return out
 
 
 def _halves(ids: list[int]) -> Iterator[int]:
@@ -304,18 +393,6 @@ def _halves(ids: list[int]) -> Iterator[int]:
         yield int.from_bytes(hashlib.blake2b(str(number).encode(), digest_size=4).digest(), "little")
 
 
-def lowest_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The lowest score from which at least ``PRECISION`` of the candidates are personal
-    data; above 1, which selects nothing, where too few tell."""
-    order = np.argsort(-scores, kind="stable")
-    hits = np.cumsum(labels[order])
-    good = hits / np.arange(1, len(order) + 1) >= PRECISION
-    # Equal scores stand or fall together.
-    last = np.append(scores[order][1:] != scores[order][:-1], True) if len(order) else np.zeros(0, bool)
-    allowed = np.flatnonzero(good & last & (hits >= SUPPORT))
-    return float(max(scores[order][allowed[-1]], 0.5)) if len(allowed) else 2.0
-
-
 def select_spans(text: str, base: list[Span], judge: Judge) -> list[Span]:
     """Base spans and, of the candidates that overlap none, the selected ones: best
     score first, none over another."""

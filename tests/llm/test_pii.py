@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from qloom.llm import pii
-from qloom.llm.boosting import fit_trees
+from qloom.llm.boosting import cuts_of, fit_trees, grow
 from qloom.llm.pii import KINDS, base_spans, candidates, describe, find_personal_data, fit, joined, luhn
 
 CARD = "4539 1488 0343 6467"
@@ -148,3 +148,37 @@ def test_boosting_learns_an_interaction():
     trees = fit_trees(x[:2000], y[:2000])
     assert ((trees.scores(x[2000:]) > 0.5) == y[2000:]).mean() > 0.97
     assert len(fit_trees(np.zeros((0, 3)), np.zeros(0)).scores(np.zeros((2, 3)))) == 2
+
+
+def test_every_row_is_learned_from(documents, prose, monkeypatch):
+    """Rows beyond the first 20,000 count: the last of many rows alone hold what is to be learned."""
+    texts = ["nothing 12 here"] * 30_000 + samples(prose)
+    seen = []
+    real = pii.grow
+    monkeypatch.setattr(pii, "grow", lambda widths, rows, positive, *rest: seen.append((rows, positive)) or real(widths, rows, positive, *rest))
+    judge = fit(documents(texts))
+    half = [(k, t) for k, t in enumerate(texts) if next(pii._halves([k])) & 1 == 0]
+    wanted = {
+        (tuple(np.float32(features)), label, kind)
+        for k, text in half
+        for features, label, kind in pii.examples(text, next(pii._halves([k])))
+    }
+    assert seen == [(len(wanted), sum(label for _, label, _ in wanted))]
+    assert len(judge.trees.leaves) == 60
+
+
+def test_passes_of_tasks_give_what_the_driver_gives(documents, prose, monkeypatch):
+    docs = documents([*samples(prose), "call 00375 555-4393 or write joe (at) mail7 (dot) example (dot) com now"])
+    monkeypatch.setattr(pii, "grow", lambda *given: grow(*given, trees=4))
+    here, there = fit(docs), fit(docs, driver_rows=0)
+    assert here.thresholds == there.thresholds and here.trees.base == there.trees.base
+    assert all(np.array_equal(a, b) for a, b in zip(here.trees[1:], there.trees[1:]))
+    assert len(here.trees.leaves) == 4
+
+
+def test_quantiles_of_counts_are_those_of_the_rows():
+    rng = np.random.default_rng(2)
+    for size in (1, 2, 31, 1000):
+        column = rng.integers(0, 60, size).astype(float)
+        values, counts = np.unique(column, return_counts=True)
+        assert np.allclose(cuts_of(values, counts), np.unique(np.quantile(column, np.linspace(0, 1, 32)[:-1])))
