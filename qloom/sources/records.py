@@ -47,10 +47,17 @@ def load_records(
     return rows
 
 
+# An object of one name whose text holds no escape is told by a pattern, which costs less than a JSON parser.
+_ONE_TEXT = r'^\{\s*"(?:query|sql)"\s*:\s*"([^"\\]++)"\s*\}$'
+
+
 def prediction_text(value: Column) -> Column:
     """Statement of a prediction value: plain text, or an object with ``query`` or ``sql``."""
     named = [F.nullif(F.get_json_object(value, f"$.{name}"), F.lit("")) for name in ("query", "sql")]
-    return F.when(value.rlike(r"^\s*\{"), F.coalesce(*named, F.lit(""))).otherwise(F.coalesce(value, F.lit("")))
+    parsed = F.coalesce(*named, F.lit(""))
+    is_object = F.ltrim(value, F.lit(" \t\n\x0b\f\r")).startswith("{")
+    found = let(F.regexp_extract(value, _ONE_TEXT, 1), lambda text: F.when(text != "", text).otherwise(parsed))
+    return F.when(is_object, found).otherwise(F.coalesce(value, F.lit("")))
 
 
 def load_predictions(
@@ -67,11 +74,12 @@ def load_predictions(
     parsed = F.from_json("value", "map<string, string>")
     refused = F.raise_error(F.concat(F.lit("not a map of predictions: "), F.col("__file"))).cast("map<string, string>")
     seed = F.nullif(F.regexp_extract("__file", name_pattern, 2), F.lit("")).cast("int")
-    entries = raw.select(
-        F.regexp_extract("__file", name_pattern, 1).alias("arm"),
-        F.coalesce(seed, F.lit(0)).alias("seed"),
-        F.explode(F.coalesce(parsed, refused)).alias("question_id", "__value"),
+    # The name is searched once per map, not once per prediction. The map itself is read where it is
+    # unfolded: of a column of maps, Spark asks the size first and reads it again.
+    named = raw.select(
+        "value", "__file", F.regexp_extract("__file", name_pattern, 1).alias("arm"), F.coalesce(seed, F.lit(0)).alias("seed")
     )
+    entries = named.select("arm", "seed", F.explode(F.coalesce(parsed, refused)).alias("question_id", "__value"))
     return entries.select("arm", "seed", "question_id", prediction_text(F.col("__value")).alias("sql"))
 
 

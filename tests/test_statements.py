@@ -314,3 +314,27 @@ def test_archived_numbers_keep_all_digits(spark, duck):
         assert got[k] == '{"x":' + want + ',"the \\"name":"a\\"\\\\é"}'
     one = spark.createDataFrame([(1, Decimal("12345678.50"), None)], "query_id int, x decimal(18,2), y double")
     assert records.archive_results(one, ["query_id"]).first().row == '{"x":12345678.5,"y":null}'
+
+
+def test_statements_of_objects_are_those_of_the_parser(spark, rows):
+    texts = [
+        None, "", "SELECT 1", " \t{\"query\": \"a\"}", "{}", "{", "{oops", '{"query":"}', '{"query":""}', '{"sql":""}', '{"query":"a"}', '{"sql": "b"}',
+        '{ "query" : "a b" }', '{"query":"a","sql":"b"}', '{"query":"","sql":"b"}', '{"query":null,"sql":"b"}', '{"query":"a\\"b"}', '{"sql":"\\u0061"}',
+        '{"query":"a\\\\"}', '{"query":"a"} x', '{"query":"a"}\n', '{"query":"a\nb"}', '{"query":5}', '{"query":{"sql":"c"}}', '{"other":"a"}', '{"query":"ж 中"}',
+        '{"sql":"a","sql":"b"}', "\x0b{\"sql\":\"a\"}", " {\"sql\":\"a\"}", '["query"]', '{"query":"' + "x y " * 50_000 + '"}',
+    ]
+    value = F.col("v")
+    named = [F.nullif(F.get_json_object(value, f"$.{name}"), F.lit("")) for name in ("query", "sql")]
+    by_parser = F.when(value.rlike(r"^\s*\{"), F.coalesce(*named, F.lit(""))).otherwise(F.coalesce(value, F.lit("")))
+    got = rows([(t,) for t in texts], "v string").select("v", records.prediction_text(value).alias("got"), by_parser.alias("want")).collect()
+    assert [(r.v, r.got) for r in got] == [(r.v, r.want) for r in got]
+
+
+def test_the_name_of_a_prediction_file_is_searched_once_per_map(spark, tmp_path):
+    (tmp_path / "query_results_a_seed1.json").write_text('{"1": "SELECT 1", "2": {"sql": "SELECT 2"}}')
+    df = records.load_predictions(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [("a", 1, "1", "SELECT 1"), ("a", 1, "2", "SELECT 2")]
+    above, _, below = df._jdf.queryExecution().optimizedPlan().toString().partition("Generate explode")
+    assert "query_results_" in below and "query_results_" not in above
+    # The map is read where it is unfolded and nowhere else.
+    assert below.partition("\n")[0].count("from_json") == 1 and "from_json" not in below.partition("\n")[2]
