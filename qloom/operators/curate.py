@@ -120,7 +120,7 @@ def _against(train: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     keys = cut_lineage(keys)
     # Sampling comes before the key is computed, so only sampled rows pay for it.
     hot = hot_keys(keyed(row_sample(train.select("db_id", "sql"))), on)
-    return lookup_join(keyed(train), keys, on, how, hot).drop("__key")
+    return lookup_join(keyed(train), keys, on, how, hot, hashed=True).drop("__key")
 
 
 def mark_leaks(train: DataFrame, eval_set: DataFrame, flag: str = "leaks") -> DataFrame:

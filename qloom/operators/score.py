@@ -173,7 +173,8 @@ def gap_in_sigma(board: DataFrame, baseline: str) -> DataFrame:
 
 def leak_corrected_scores(scored: DataFrame, leaked: DataFrame) -> DataFrame:
     """EX per arm with and without the contaminated question ids."""
-    marked = lookup_join(scored, leaked.select("question_id").distinct().withColumn("hit", F.lit(1)), ["question_id"])
+    hits = leaked.select("question_id").distinct().withColumn("hit", F.lit(1))
+    marked = lookup_join(scored, hits, ["question_id"], hashed=True)
     clean = F.col("hit").isNull()
     return marked.groupBy("arm").agg(
         F.count(F.lit(1)).alias("n"),

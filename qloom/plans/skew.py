@@ -40,7 +40,12 @@ def most_rows(counts: DataFrame, on: Sequence[str], n: str, min_rows: int) -> Da
 
 
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", hot: DataFrame | None = None
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    hot: DataFrame | None = None,
+    hashed: bool = False,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup`` (one row per key) without a hot reducer.
 
@@ -48,7 +53,9 @@ def lookup_join(
     ``HOT_KEYS`` rows and are then spread over ``SPREAD`` routes, where they match
     nothing new; all other rows take an ordinary shuffle join. ``how`` is ``left``,
     ``inner``, ``left_semi`` or ``left_anti``. ``hot`` gives the hot keys when
-    the caller knows them more cheaply than a sample of ``facts`` tells.
+    the caller knows them more cheaply than a sample of ``facts`` tells. ``hashed`` is for
+    lookups of short rows: a task holds its share of the lookup, which no hot key can make
+    large, and the many facts pass by unsorted.
     """
     on = list(on)
     payload = [c for c in lookup.columns if c not in on]
@@ -59,7 +66,8 @@ def lookup_join(
     if hot is None:
         hot = hot_keys(row_sample(facts.select(*on)), on)
     # A hot key without a lookup row is settled too: it is known to match nothing.
-    hot_rows = hot.limit(HOT_KEYS).join(flagged, on, "left").select(
+    few = hot.limit(HOT_KEYS)
+    hot_rows = (few.hint("shuffle_hash") if hashed else few).join(flagged, on, "left").select(
         *on,
         *[F.col(c).alias(f"{c}{_HOT}") for c in payload],
         F.coalesce(F.col(_FOUND), F.lit(False)).alias(f"{_FOUND}{_HOT}"),
@@ -72,7 +80,8 @@ def lookup_join(
     spread = 1 + F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns if _hashable(facts, c)]), F.lit(SPREAD))
     route = F.xxhash64(*on)
     routed = facts.join(F.broadcast(hot_rows), on, "left").withColumn(_ROUTE, F.when(settled, spread).otherwise(route))
-    joined = routed.join(flagged.withColumn(_ROUTE, route), [*on, _ROUTE], "left")
+    found_rows = flagged.withColumn(_ROUTE, route)
+    joined = routed.join(found_rows.hint("shuffle_hash") if hashed else found_rows, [*on, _ROUTE], "left")
     found = F.coalesce(F.col(f"{_FOUND}{_HOT}"), F.col(_FOUND), F.lit(False))
 
     if how == "left_anti":

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from qloom.operators import curate, score
 from qloom.plans import (
     cut_lineage,
     exact_median,
@@ -27,6 +28,34 @@ def skewed(spark):
     )
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+@pytest.mark.parametrize("hot", [False, True])
+def test_hashed_lookup_equals_plain_join_and_sorts_no_facts(spark, skewed, how, hot, monkeypatch):
+    if hot:
+        monkeypatch.setattr(skew, "SAMPLE_FRACTION", 1.0)
+        monkeypatch.setattr(skew, "MIN_SAMPLED_ROWS", 40)
+    monkeypatch.setattr(skew, "SPREAD", 8)
+    lookup = spark.range(0, 40, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    hashed, sorted_ones = (lookup_join(skewed, lookup, ["k"], how, hashed=h) for h in (True, False))
+    assert sorted(map(repr, hashed.collect())) == sorted(map(repr, sorted_ones.collect()))
+    plan = hashed._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_leak_corrected_scores_sort_no_scores(spark):
+    scored = spark.range(90).selectExpr("id % 30 AS question_id", "concat('a', id % 3) AS arm", "id % 2 AS score")
+    leaked = spark.range(0, 30, 5).selectExpr("id AS question_id")
+    found = score.leak_corrected_scores(scored, leaked)
+    got = {r.arm: (r.n, r.n_clean) for r in found.collect()}
+    assert got == {"a0": (30, 24), "a1": (30, 24), "a2": (30, 24)}
+    train = spark.createDataFrame([(1, "d", "SELECT a FROM t"), (2, "d", "SELECT b FROM t")], "pair_id int, db_id string, sql string")
+    asked = spark.createDataFrame([(7, "d", "select a from t")], "question_id int, db_id string, gold_sql string")
+    leaks = curate.find_leaks(train, asked)
+    assert [(r.pair_id, r.question_id) for r in leaks.collect()] == [(1, 7)]
+    for df in (found, leaks):
+        assert "SortMergeJoin [" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 @pytest.mark.parametrize("hot", [False, True])
 def test_lookup_join_equals_plain_join(spark, skewed, how, hot, monkeypatch):
