@@ -10,18 +10,24 @@ near copies, would give pairs by the square. Its sets are written as differences
 them hold. If two differences are small, both sets link to the smallest difference, which is
 known without a comparison; if not, two sets that link share a part of their differences, so they
 meet again under a much rarer key. That goes on until no key is crowded, and loses no link.
+
+Estimates tell frequent shingles from rare ones the worse the larger the input is. So shingles found
+in many prefixes go to the end of the order, and the sets that had them there choose again. Pairs
+are told apart by parity bits before their sets are read; sets travel as compressed texts, and a
+pair whose sets are in one component by then is not read at all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qloom.llm.common import documents_of, stored
@@ -40,11 +46,23 @@ MOST_MATCHES = 4
 COMPARE_ROWS, COMPARE_SHINGLES = 4, 16
 #: Sets that meet under one key in pairs; more are written as differences.
 CROWD = 32
+#: Times as many pairs as stars have rays from which on stars come first.
+STARS = 3
+#: Times that shingles in many prefixes are put last and their sets choose again.
+CHOICES = 2
+#: They do where such shingles have one place in a prefix, or more, for so many sets.
+WORTH = 8
+#: Of the table of such shingles, which is asked for every shingle of a prefix.
+SPARE = 12
+#: Bytes of texts that are unpacked at once.
+UNPACKED = 1 << 20
 #: Sets of a group that tell what most of its sets hold. Any answer gives right results.
 ASKED = 32
 #: Sets of a group that meet one copy of that answer.
 SPREAD = 512
-PRINTS = "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, matches int, prefix array<bigint>"
+#: Whether Spark deletes the shuffle files of an action when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+PRINTS = "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, matches int, prefix array<bigint>, parity binary"
 
 
 class Rule(NamedTuple):
@@ -71,6 +89,31 @@ class Rule(NamedTuple):
     def links(self, both, one, other) -> bool:
         return both > 0 and 100 * both >= self.percent * (one + other - both)
 
+    def may_link(self, differ, one, other) -> bool:
+        """Whether sets that differ in ``differ`` shingles at least can link."""
+        return self.far * differ <= self.near * (one + other)
+
+
+class Sets(NamedTuple):
+    """Where sets come from: a set is made of its text wherever it is needed."""
+
+    docs: DataFrame
+    size: int
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with the action that wrote them: what is used again is stored."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
 
 def _set_hashes(texts: DataFrame, size: int, make: Callable, schema: str, keep: Callable | None = None) -> DataFrame:
     """``make`` over batches, of the rows that ``keep`` flags, with the sets of their texts, each sorted."""
@@ -150,25 +193,48 @@ def choose_prefix(shingles: np.ndarray, counts: np.ndarray, common: int, rule: R
     return best, shingles[order[: n - least + best]]
 
 
-def prints_of(docs: DataFrame, size: int, counters, rule: Rule) -> DataFrame:
-    """Set size, a 128-bit signature of the whole set, and its prefix, per row."""
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """Of each bit whether an odd number of the shingles falls on it. The bits are a power of two, at least as
+    many as shingles, so folding the halves of a longer table onto each other makes it comparable."""
+    bits = 1 << max(6, (len(shingles) - 1).bit_length()) if len(shingles) else 64
+    at = (seeded(shingles, 9) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def parity_apart(one: bytes, other: bytes) -> int:
+    """In how many parity bits two sets differ: they differ in as many shingles at least."""
+    long, short = (np.frombuffer(x, np.uint64) for x in (one, other))
+    if len(long) < len(short):
+        long, short = short, long
+    while len(long) > len(short):
+        half = len(long) // 2
+        long = long[:half] ^ long[half:]
+    return int(np.bitwise_count(long ^ short).sum())
+
+
+def prints_of(docs: DataFrame, size: int, counters, rule: Rule, last=None, ids=None) -> DataFrame:
+    """Set size, a 128-bit signature of the whole set, its prefix and parity bits, per row. Shingles in
+    the table ``last`` end the order. With ``ids``, only rows whose id is in that table."""
+
+    def wanted(batch: pa.RecordBatch) -> np.ndarray:
+        return BitTable(*ids.value).hits(batch.column("mark").to_numpy().view(np.uint64))
 
     def make(sets) -> Iterator[pa.RecordBatch]:
         table = counters.value
-        common = int(np.median(table))
+        common, behind = int(np.median(table)), int(table.max()) + 1
         for batch, found in sets:
-            sizes, one, two, matches, prefixes = [], [], [], [], []
+            sizes, one, two, matches, prefixes, parity = [], [], [], [], [], []
             for shingles in found:
                 sizes.append(len(shingles))
                 one.append(int(mix(shingles).sum().view(np.int64)) if len(shingles) else 0)
                 two.append(int(seeded(shingles, 5).sum().view(np.int64)) if len(shingles) else 0)
-                least, prefix = (
-                    choose_prefix(shingles, table[counter_of(shingles)], common, rule)
-                    if len(shingles)
-                    else (0, shingles)
-                )
+                counts = table[counter_of(shingles)]
+                if last is not None:
+                    counts = counts + behind * BitTable(*last.value).hits(shingles)
+                least, prefix = choose_prefix(shingles, counts, common, rule) if len(shingles) else (0, shingles)
                 matches.append(least)
                 prefixes.append(prefix.view(np.int64))
+                parity.append(parity_bits(shingles))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -177,11 +243,65 @@ def prints_of(docs: DataFrame, size: int, counters, rule: Rule) -> DataFrame:
                     pa.array(two, pa.int64()),
                     pa.array(matches, pa.int32()),
                     lists(prefixes),
+                    pa.array(parity, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "sig1", "sig2", "matches", "prefix"],
+                ["doc_id", "n_shingles", "sig1", "sig2", "matches", "prefix", "parity"],
             )
 
-    return _set_hashes(documents_of(docs), size, make, PRINTS)
+    texts = documents_of(docs)
+    if ids is None:
+        return _set_hashes(texts, size, make, PRINTS)
+    return _set_hashes(texts.withColumn("mark", F.xxhash64("doc_id")), size, make, PRINTS, wanted)
+
+
+def holding(firsts: DataFrame, wanted) -> DataFrame:
+    """(node) of the sets with a shingle of the table in their prefix."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefixes = batch.column("prefix")
+            ends = prefixes.offsets.to_numpy()
+            hits = BitTable(*wanted.value).hits(prefixes.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64))
+            before = np.concatenate(([0], np.cumsum(hits)))
+            any_ = before[ends[1:] - ends[0]] > before[ends[:-1] - ends[0]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(any_))], ["node"])
+
+    return firsts.select("doc_id", "prefix").mapInArrow(make, "node bigint")
+
+
+def shared_shingles(firsts: DataFrame) -> DataFrame:
+    """(shingle, holders, center) of the shingles in several prefixes; the center is the smallest set of them."""
+    holders = firsts.select(F.col("doc_id").alias("node"), F.explode("prefix").alias("shingle")).groupBy("shingle")
+    return stored(holders.agg(F.count("node").alias("holders"), F.min("node").alias("center")).filter("holders > 1"))
+
+
+def choose_again(firsts: DataFrame, many: int, sets: Sets, counters, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """(sets with their prefixes, shared shingles) after those in many prefixes went to the end of the order.
+
+    A set with none of these in its prefix has the same prefix in the new order, so
+    only the others of the ``many`` sets are read again. Any order gives right results as long as it is the same for all.
+    """
+    context = firsts.sparkSession.sparkContext
+    shared, crowded = shared_shingles(firsts), None
+    for _ in range(CHOICES):
+        found = shared.filter(F.col("holders") > CROWD)
+        if crowded is not None:
+            found = found.join(crowded, "shingle", "left_anti")
+        found = stored(found.select("shingle", "holders"))
+        if WORTH * (found.agg(F.sum("holders")).first()[0] or 0) < many:
+            break
+        found = found.select("shingle")
+        new = context.broadcast(tuple(bit_table(found, "shingle", SPARE)))
+        crowded = found if crowded is None else crowded.union(found)
+        last = context.broadcast(tuple(bit_table(crowded, "shingle", SPARE)))
+        ids = stored(holding(firsts, new).distinct())
+        marks = context.broadcast(tuple(bit_table(ids.select(F.xxhash64("node").alias("mark")), "mark")))
+        ids = ids.withColumnRenamed("node", "doc_id")
+        changed = prints_of(*sets, counters, rule, last, marks).select(firsts.columns)
+        changed = stored(changed.join(ids, "doc_id", "left_semi"))
+        firsts = firsts.join(ids, "doc_id", "left_anti").unionByName(changed)
+        shared = shared_shingles(firsts)
+    return firsts, shared
 
 
 def lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -190,25 +310,39 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the rows whose id is among (node), one for each. A table of bits leaves
-    most others out where texts are read; no text is moved."""
-    table = docs.sparkSession.sparkContext.broadcast(tuple(bit_table(ids.select(F.xxhash64("node").alias("mark")), "mark")))
-
-    def wanted(batch: pa.RecordBatch) -> np.ndarray:
-        return BitTable(*table.value).hits(batch.column("mark").to_numpy().view(np.uint64))
+def packed_texts(sets: Sets, ids: DataFrame) -> DataFrame:
+    """(node, length, packed) of the rows whose id is among (node), one for each: their texts, compressed, which
+    are a third as long as their sets. A table of bits leaves most others out where texts are read."""
+    table = ids.sparkSession.sparkContext.broadcast(tuple(bit_table(ids.select(F.xxhash64("node").alias("mark")), "mark")))
 
-    def make(sets) -> Iterator[pa.RecordBatch]:
-        for batch, found in sets:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(BitTable(*table.value).hits(batch.column("mark").to_numpy().view(np.uint64))))
+            texts = batch.column("text").to_pylist()
+            packed = [pa.compress(t, codec="zstd", asbytes=True) for t in texts]
+            lengths = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), lists([s.view(np.int64) for s in found])], ["node", "shingles"]
+                [batch.column("doc_id"), lengths, pa.array(packed, pa.binary())], ["node", "length", "packed"]
             )
 
-    texts = documents_of(docs).withColumn("mark", F.xxhash64("doc_id"))
-    read = _set_hashes(texts, size, make, "node bigint, shingles array<bigint>", wanted)
+    texts = documents_of(sets.docs).select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id").alias("mark"))
+    read = texts.mapInArrow(make, "node bigint, length bigint, packed binary")
     return read.join(ids, "node", "left_semi").dropDuplicates(["node"])
 
 
+def unpacked(lengths: pa.Array, packed: pa.Array, size: int, hasher: Hasher) -> Iterator[np.ndarray]:
+    """The sets of compressed texts, each sorted; about ``UNPACKED`` bytes of texts are held."""
+    many = lengths.to_numpy()
+    part = np.cumsum(many) // UNPACKED
+    bounds = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(many) else [0]
+    for first, end in zip(bounds[:-1], bounds[1:], strict=True):
+        texts = [
+            pa.decompress(packed[k].as_buffer(), decompressed_size=int(many[k]), codec="zstd", asbytes=True)
+            for k in range(first, end)
+        ]
+        yield from distinct_shingles(pa.array(texts, pa.binary()), size, hasher)
+
+
 def prefix_members(firsts: DataFrame, wanted: BitTable) -> DataFrame:
     """(node, n, matches, place, shingle): the prefixes' shingles that the table holds."""
     table = firsts.sparkSession.sparkContext.broadcast(tuple(wanted))
@@ -235,11 +369,12 @@ def prefix_members(firsts: DataFrame, wanted: BitTable) -> DataFrame:
     return firsts.select("doc_id", "n_shingles", "matches", "prefix").mapInArrow(make, schema)
 
 
-def direct_pairs(members: DataFrame, rule: Rule, *key: str) -> DataFrame:
-    """(a, b, need) for every key that two sets share, if their sizes, and the places of the
-    shingle in both orders, leave room for a link. ``members`` meet at most ``CROWD`` at a key."""
+def direct_pairs(lefts: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b) of sets that share as many shingles as they must, a from the rows ``lefts``; those count where the sizes,
+    the places of the shingle in both orders and components leave room for a link. ``members`` meet at most ``CROWD`` at one."""
     sides = [
-        members.select(*key, *[F.col(c).alias(f"{c}_{s}") for c in members.columns if c not in key]) for s in "ab"
+        rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "matches", "place", "component")])
+        for s, rows in (("a", lefts), ("b", members))
     ]
     room = (
         F.least("place_a", "place_b")
@@ -249,26 +384,98 @@ def direct_pairs(members: DataFrame, rule: Rule, *key: str) -> DataFrame:
     fits = (100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b")) & (
         rule.far * room >= rule.percent * (F.col("n_a") + F.col("n_b"))
     )
-    met = sides[0].join(sides[1], [*key], "inner").filter(F.col("node_a") < F.col("node_b")).filter(fits)
-    return met.select(
-        F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.least("matches_a", "matches_b").alias("need")
-    )
+    met = sides[0].join(sides[1], "shingle").filter("node_a < node_b AND component_a <> component_b").filter(fits)
+    need = F.least("matches_a", "matches_b").alias("need")
+    pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), need).groupBy("a", "b")
+    return pairs.agg(F.count(F.lit(1)).alias("got"), F.min("need").alias("need")).filter("got >= need").select("a", "b")
+
+
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with their components, of the shingles that sets of several components hold. Which these are is
+    told from shingles and components alone; most other rows are then left out where they are read."""
+    named = labels.select("node", F.col("component").alias("label"))
+    own = F.coalesce("label", "node").alias("component")
+    held = members.select("node", "shingle").join(named, "node", "left").select("shingle", own).groupBy("shingle")
+    open_ = held.agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    open_ = stored(open_.select("shingle"))
+    table = members.sparkSession.sparkContext.broadcast(tuple(bit_table(open_, "shingle")))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(BitTable(*table.value).hits(batch.column("shingle").to_numpy().view(np.uint64))))
+
+    members = members.drop("component")
+    kept = members.mapInArrow(make, members.schema).join(open_, "shingle", "left_semi")
+    return kept.join(named, "node", "left").select(*members.columns, own)
+
 
+def not_apart(pairs: DataFrame, prints: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b, differ): the pairs (a, b) but those whose parity bits show that they do not link."""
+    bits = prints.select(F.col("doc_id").alias("node"), "n_shingles", "parity").dropDuplicates(["node"])
+    for s in "ab":
+        pairs = pairs.join(bits.toDF(s, f"n_{s}", f"parity_{s}"), s)
 
-def compared(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(batch.column("parity_a").to_pylist(), batch.column("parity_b").to_pylist(), strict=True)
+            differ = np.fromiter((parity_apart(one, other) for one, other in sides), np.int64, len(batch))
+            keep = rule.may_link(differ, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+            found = [batch.column("a"), batch.column("b"), pa.array(differ)]
+            yield pa.RecordBatch.from_arrays(found, ["a", "b", "differ"]).filter(pa.array(keep))
+
+    return pairs.mapInArrow(make, "a bigint, b bigint, differ bigint")
+
+
+def compared(pairs: DataFrame, sets: Sets, rule: Rule) -> DataFrame:
     """Pairs (a, b) whose full sets link."""
-    sides = [sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}")) for s in "ab"]
-    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b")
+    pairs = stored(pairs.select("a", "b"))
+    size = sets.size
+    texts = packed_texts(sets, stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+    joined = pairs.join(texts.toDF("b", "length_b", "packed_b"), "b").join(texts.toDF("a", "length_a", "packed_a"), "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        held, one = None, None
         for batch in batches:
             keep = []
-            for one, other in zip(_arrays(batch.column("set_a")), _arrays(batch.column("set_b")), strict=True):
+            ids, lengths, packed = (batch.column(c) for c in ("a", "length_a", "packed_a"))
+            others = unpacked(batch.column("length_b"), batch.column("packed_b"), size, hasher)
+            for k, other in enumerate(others):
+                # Rows come by a, so its set is mostly the one before.
+                if held != ids[k].as_py():
+                    held, one = ids[k].as_py(), next(unpacked(lengths[k : k + 1], packed[k : k + 1], size, hasher))
                 both = len(np.intersect1d(one, other, assume_unique=True))
                 keep.append(rule.links(both, len(one), len(other)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(verify, "a bigint, b bigint")
+    names = ["a", "b", "length_a", "packed_a", "length_b", "packed_b"]
+    return joined.select(*names).mapInArrow(verify, "a bigint, b bigint")
+
+
+def joined_components(known: DataFrame, pairs: DataFrame, sets: Sets, rule: Rule) -> DataFrame:
+    """(node, component) by the links ``known`` and those among the pairs (a, b, differ).
+
+    A pair within a component has nothing to add. So each set is compared with one of its
+    partners first, then each two components in their closest pair, then all that is left.
+    """
+    steps = [
+        lambda left: left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"),
+        lambda left: left.groupBy("x", "y").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b"),
+        lambda left: left.select("a", "b"),
+    ]
+    labels, left = connected_components(known), pairs
+    for step in steps:
+        ends = [labels.select(F.col("node").alias(s), F.col("component").alias(f"label_{s}")) for s in "ab"]
+        x, y = (F.coalesce(f"label_{s}", s) for s in "ab")
+        left = left.select("a", "b", "differ").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        left = stored(left.select("a", "b", "differ", F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).filter("x <> y"))
+        if left.isEmpty():
+            break
+        chosen = stored(step(left))
+        known = known.union(stored(compared(chosen, sets, rule)))
+        left = left.join(chosen, ["a", "b"], "left_anti")
+        labels = connected_components(known)
+    return labels
 
 
 def _arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
@@ -278,7 +485,7 @@ def _arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
         yield flat[ends[k] : ends[k + 1]]
 
 
-def differences(groups: DataFrame, sets: DataFrame, counters, rule: Rule) -> DataFrame:
+def differences(groups: DataFrame, sets: Sets, counters, rule: Rule) -> DataFrame:
     """(center, node, n, width, excess, parts) for (center, node) rows.
 
     ``parts`` is the difference between a set and the shingles that more than half of some sets of its
@@ -291,27 +498,32 @@ def differences(groups: DataFrame, sets: DataFrame, counters, rule: Rule) -> Dat
     drawn = Window.partitionBy("center").orderBy(F.xxhash64("node"), "node")
     asked = groups.withColumn("turn", F.row_number().over(drawn)).filter(F.col("turn") <= ASKED)
 
+    size = sets.size
+    texts = packed_texts(sets, stored(groups.select("node").distinct()))
+
     def common(table: pa.Table) -> pa.Table:
-        column = table.column("shingles").combine_chunks()
-        values, counts = np.unique(np.concatenate(list(_arrays(column))), return_counts=True)
-        most = values[2 * counts > len(column)]
-        return pa.table({"center": table.column("center")[:1], "base": lists([most])})
+        length, packed = (table.column(c).combine_chunks() for c in ("length", "packed"))
+        values, counts = np.unique(np.concatenate(list(unpacked(length, packed, size, Hasher()))), return_counts=True)
+        most = values[2 * counts > len(table)]
+        return pa.table({"center": table.column("center")[:1], "base": lists([most.view(np.int64)])})
 
-    base = asked.join(sets, "node").groupBy("center").applyInArrow(common, "center bigint, base array<bigint>")
+    base = asked.join(texts, "node").groupBy("center").applyInArrow(common, "center bigint, base array<bigint>")
     # Of a large group, each part of about SPREAD sets meets a copy of its own.
     copies = total.select("center", F.ceil(F.col("members") / SPREAD).alias("copies"))
     base = base.join(copies, "center").withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)"))).drop("copies")
     held = groups.join(copies, "center").select(
         "center", "node", F.pmod(F.xxhash64("node"), "copies").alias("copy")
     )
-    joined = held.join(sets, "node").join(base, ["center", "copy"])
+    joined = held.join(texts, "node").join(base, ["center", "copy"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counters.value
+        table, hasher = counters.value, Hasher()
         for batch in batches:
             columns = {c: [] for c in ("n", "width", "excess")}
             parts = []
-            for own, shared in zip(_arrays(batch.column("shingles")), _arrays(batch.column("base")), strict=True):
+            found = unpacked(batch.column("length"), batch.column("packed"), size, hasher)
+            for own, shared in zip(found, _arrays(batch.column("base")), strict=True):
+                own = own.view(np.int64)
                 beyond = np.setdiff1d(own, shared, assume_unique=True)
                 lacking = np.setdiff1d(shared, own, assume_unique=True)
                 order = np.lexsort((beyond, table[counter_of(beyond.view(np.uint64))]))
@@ -330,10 +542,10 @@ def differences(groups: DataFrame, sets: DataFrame, counters, rule: Rule) -> Dat
             )
 
     schema = "center bigint, node bigint, n bigint, width bigint, excess bigint, parts array<bigint>"
-    return joined.select("center", "node", "shingles", "base").mapInArrow(make, schema)
+    return joined.select("center", "node", "length", "packed", "base").mapInArrow(make, schema)
 
 
-def split_crowds(groups: DataFrame, sets: DataFrame, counters, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_crowds(groups: DataFrame, sets: Sets, counters, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, pairs to compare, smaller groups) for groups of sets: rows (center, node)."""
     written = stored(differences(groups, sets, counters, rule))
     hubs = written.groupBy("center").agg(F.min(F.struct("excess", "node")).alias("hub"))
@@ -393,36 +605,47 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     ``CROWD`` in pairs that are compared once they share enough of them, more as differences from
     what most of them hold (see the module). Sets are told apart by 64-bit shingle hashes.
     """
-    spark = docs.sparkSession
-    rule = Rule(percent)
-    counters = spark.sparkContext.broadcast(estimated_counts(docs, size))
+    with shuffles_dropped(docs.sparkSession):
+        prints, named = _named_classes(Sets(docs, size), Rule(percent))
+    return prints.join(named, ["n_shingles", "sig1", "sig2"], "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
+
+
+def _named_classes(sets: Sets, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """The prints of all rows, and the component of each class of equal sets."""
+    docs, size = sets
+    counters = docs.sparkSession.sparkContext.broadcast(estimated_counts(docs, size))
     prints = stored(prints_of(docs, size, counters, rule))
     signature = ["n_shingles", "sig1", "sig2"]
     some = prints.filter("n_shingles > 0")
     classes = stored(some.groupBy(*signature).agg(F.min("doc_id").alias("rep")))
     firsts = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    holders = firsts.select(F.col("doc_id").alias("node"), F.explode("prefix").alias("shingle")).groupBy("shingle")
-    shared = stored(holders.agg(F.count("node").alias("holders"), F.min("node").alias("center")).filter("holders > 1"))
+    firsts = firsts.select("doc_id", "n_shingles", "matches", "prefix")
+    firsts, shared = choose_again(firsts, classes.count(), sets, counters, rule)
     members = prefix_members(firsts, bit_table(shared, "shingle"))
     met = stored(members.join(shared, "shingle"))
-    pairs = direct_pairs(met.filter(F.col("holders") <= CROWD).drop("holders", "center"), rule, "shingle")
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("got"), F.min("need").alias("need"))
-    pairs = [stored(pairs.filter("got >= need").select("a", "b"))]
     groups = stored(met.filter(F.col("holders") > CROWD).select("center", "node").distinct())
-    ids = groups.select("node").union(pairs[0].select("a")).union(pairs[0].select("b")).distinct()
-    sets = stored(shingle_sets(docs, stored(ids), size))
-    links = []
+    links, pairs = [groups.filter("false").toDF("a", "b")], []
     while not groups.isEmpty():
         known, candidates, groups = split_crowds(groups, sets, counters, rule)
         links.append(known)
         pairs.append(candidates)
-    links.append(compared(reduce(DataFrame.union, pairs).distinct(), sets, rule))
-    labels = connected_components(reduce(DataFrame.union, links))
+    known = reduce(DataFrame.union, links)
+    few = met.filter(F.col("holders") <= CROWD).withColumn("component", F.col("node"))
+    sums = shared.filter(F.col("holders") <= CROWD).selectExpr("sum(holders * (holders - 1) / 2)", "sum(holders - 1)").first()
+    if (sums[0] or 0) > STARS * (sums[1] or 0):
+        # In groups of copies most pairs are of one component once each set has met the center of its keys.
+        rays = stored(direct_pairs(few.filter("node = center"), few, rule))
+        chosen = not_apart(rays, some, rule).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        known = known.union(stored(compared(chosen, sets, rule)))
+        few = stored(open_members(few, connected_components(known)))
+    pairs.append(stored(direct_pairs(few, few, rule)))
+    pairs = stored(not_apart(reduce(DataFrame.union, pairs).distinct(), some, rule))
+    labels = joined_components(known, pairs, sets, rule)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         *signature, F.coalesce("component", "rep").alias("component_id")
     )
-    return prints.join(named, signature, "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    return prints, named

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from shared import documents, odd, prose  # noqa: F401
 
@@ -163,3 +165,84 @@ def test_repeated_null_and_no_rows(spark, prose):
         (False, 1, 1), (False, 1, 1), (False, 3, 3), (False, 3, 3), (True, 0, 3)
     ]
     assert ngram_join.ngram_jaccard_join(docs.filter("false")).count() == 0
+
+
+def test_unrelated_texts_are_not_written_whole(spark, monkeypatch):
+    """Where estimates tell nothing, as in large inputs, frequent shingles stand in many prefixes; the sets that
+    hold them must not be written, nor their differences. Three near copies are found all the same."""
+    monkeypatch.setattr(ngram_join, "estimated_counts", lambda docs, size: np.ones(ngram_join.COUNTERS, np.int64))
+    monkeypatch.setattr(ngram_join, "CROWD", 8)
+    written, inner = [], ngram_join.stored
+
+    def measured(df):
+        out = inner(df)
+        written.extend(Path(f.removeprefix("file:")).stat().st_size for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", measured)
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    weights = [1 / (k + 1) for k in range(3000)]
+    texts = [rng.choices(vocabulary, weights, k=1200) for _ in range(250)]
+    texts += [changed(rng, texts[k], 9, vocabulary) for k in (3, 50, 77)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = result(ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute(rows)
+    assert [got[k][1] for k in (250, 251, 252)] == [3, 50, 77]
+    assert sum(written) < 8 * sum(n for n, _ in got.values())
+
+
+def test_pairs_within_a_component_are_not_read(spark, monkeypatch):
+    """Groups of near copies, smaller than a crowd: a set is compared about once, not with its whole group."""
+    compares, inner = [], ngram_join.compared
+
+    def counted(pairs, sets, rule):
+        compares.append(pairs.count())
+        return inner(pairs, sets, rule)
+
+    monkeypatch.setattr(ngram_join, "compared", counted)
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    rows = []
+    for _ in range(12):
+        first = [rng.choice(vocabulary) for _ in range(300)]
+        rows += [" ".join(changed(rng, first, 2, vocabulary)) for _ in range(24)]
+    rows = list(enumerate(rows))
+    got = result(ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute(rows)
+    assert sum(compares) <= 2 * len(rows)
+
+
+def test_parity_is_never_more_than_the_difference():
+    rng, rule = np.random.default_rng(3), Rule(90)
+    for n, m in ((1, 1), (60, 70), (500, 530), (1000, 1100), (5, 4000)):
+        one, other = (np.unique(rng.integers(0, 1 << 62, k).astype(np.uint64)) for k in (n, m))
+        other = np.unique(np.concatenate((one[: n - n // 30], other[: max(0, m - n)], other[: n // 30])))
+        apart = ngram_join.parity_apart(ngram_join.parity_bits(one), ngram_join.parity_bits(other))
+        assert apart == ngram_join.parity_apart(ngram_join.parity_bits(other), ngram_join.parity_bits(one))
+        assert apart <= len(np.setxor1d(one, other))
+        if rule.links(len(np.intersect1d(one, other)), len(one), len(other)):
+            assert rule.may_link(apart, len(one), len(other))
+    one, other = (np.unique(rng.integers(0, 1 << 62, 500).astype(np.uint64)) for _ in "ab")
+    assert not rule.may_link(ngram_join.parity_apart(*map(ngram_join.parity_bits, (one, other))), len(one), len(other))
+
+
+def test_unpacked_texts_give_their_sets(monkeypatch, prose):
+    monkeypatch.setattr(ngram_join, "UNPACKED", 300)
+    texts = [prose(k, words) for k, words in enumerate((5, 900, 40, 1, 60, 2))]
+    packed = pa.array([pa.compress(t.encode(), codec="zstd", asbytes=True) for t in texts], pa.binary())
+    lengths = pa.array([len(t.encode()) for t in texts], pa.int64())
+    hasher = ngram_join.Hasher()
+    found = list(ngram_join.unpacked(lengths, packed, 3, hasher))
+    direct = list(ngram_join.distinct_shingles(pa.array(texts), 3, hasher))
+    assert all(np.array_equal(a, b) for a, b in zip(found, direct, strict=True))
+    assert list(ngram_join.unpacked(lengths[:0], packed[:0], 3, hasher)) == []
+
+
+@pytest.mark.parametrize("crowd", [4, 32])
+def test_stars_first_equals_all_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(ngram_join, "STARS", 0)
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    rows = families(random.Random(5 + crowd), 10, 30, [f"w{k}" for k in range(200)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(ngram_join.ngram_jaccard_join(docs)) == brute(rows)
