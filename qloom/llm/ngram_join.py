@@ -50,10 +50,10 @@ CROWD = 32
 STARS = 3
 #: Times that shingles in many prefixes are put last and their sets choose again.
 CHOICES = 2
-#: They do where such shingles have one place in a prefix, or more, for so many sets.
-WORTH = 8
-#: Of the table of such shingles, which is asked for every shingle of a prefix.
-SPARE = 12
+#: They do where one of so many sets has such a shingle in its prefix, or more.
+WORTH = 16
+#: Bits, as a power of two, for each of these shingles, asked for every one of a prefix, and for each of their sets.
+SPARE, SPARE_IDS = 12, 8
 #: Bytes of texts that are unpacked at once.
 UNPACKED = 1 << 20
 #: Sets of a group that tell what most of its sets hold. Any answer gives right results.
@@ -282,28 +282,40 @@ def choose_again(firsts: DataFrame, many: int, sets: Sets, counters, rule: Rule)
     only the others of the ``many`` sets are read again. Any order gives right results as long as it is the same for all.
     """
     context = firsts.sparkSession.sparkContext
+    reps = firsts.select("doc_id")
     shared, crowded = shared_shingles(firsts), None
     for _ in range(CHOICES):
-        found = shared.filter(F.col("holders") > CROWD)
+        found = shared.filter(F.col("holders") > CROWD).select("shingle")
         if crowded is not None:
             found = found.join(crowded, "shingle", "left_anti")
-        found = stored(found.select("shingle", "holders"))
-        if WORTH * (found.agg(F.sum("holders")).first()[0] or 0) < many:
+        found = stored(found)
+        ids = stored(holding(firsts, context.broadcast(tuple(bit_table(found, "shingle", SPARE)))))
+        if WORTH * ids.count() < many or ids.isEmpty():
             break
-        found = found.select("shingle")
-        new = context.broadcast(tuple(bit_table(found, "shingle", SPARE)))
         crowded = found if crowded is None else crowded.union(found)
         last = context.broadcast(tuple(bit_table(crowded, "shingle", SPARE)))
-        ids = stored(holding(firsts, new).distinct())
-        marks = context.broadcast(tuple(bit_table(ids.select(F.xxhash64("node").alias("mark")), "mark")))
-        ids = ids.withColumnRenamed("node", "doc_id")
+        marks = context.broadcast(tuple(bit_table(ids.select(F.xxhash64("node").alias("mark")), "mark", SPARE_IDS)))
+        # Sets that are in the table by chance are read again as well; reading any again is right.
         changed = prints_of(*sets, counters, rule, last, marks).select(firsts.columns)
-        changed = stored(changed.join(ids, "doc_id", "left_semi"))
-        firsts = firsts.join(ids, "doc_id", "left_anti").unionByName(changed)
+        changed = stored(changed.join(reps, "doc_id", "left_semi"))
+        firsts = _outside(firsts, marks).unionByName(changed)
         shared = shared_shingles(firsts)
     return firsts, shared
 
 
+def _outside(firsts: DataFrame, marks) -> DataFrame:
+    """Rows whose id is not in the table."""
+
+    columns = firsts.columns
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = BitTable(*marks.value).hits(batch.column("mark").to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(~hits)).select(columns)
+
+    return firsts.withColumn("mark", F.xxhash64("doc_id")).mapInArrow(make, firsts.schema)
+
+
 def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     """A list column of whole numbers."""
     ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
@@ -623,7 +635,7 @@ def _named_classes(sets: Sets, rule: Rule) -> tuple[DataFrame, DataFrame]:
     some = prints.filter("n_shingles > 0")
     classes = stored(some.groupBy(*signature).agg(F.min("doc_id").alias("rep")))
     firsts = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    firsts = firsts.select("doc_id", "n_shingles", "matches", "prefix")
+    firsts = stored(firsts.select("doc_id", "n_shingles", "matches", "prefix"))
     firsts, shared = choose_again(firsts, classes.count(), sets, counters, rule)
     members = prefix_members(firsts, bit_table(shared, "shingle"))
     met = stored(members.join(shared, "shingle"))
